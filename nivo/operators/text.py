@@ -42,9 +42,15 @@ def mention_counts(
     df: DataFrame, text_col: str = "description", vocab: Mapping[str, Sequence[str]] = VOCABULARY
 ) -> DataFrame:
     """Add one count per vocabulary category. Phrases match inside words, ignoring case."""
-    lowered = df.withColumn("_lower", F.lower(F.coalesce(F.col(text_col), F.lit(""))))
-    counts = {name: phrase_count(F.col("_lower"), phrases) for name, phrases in vocab.items()}
-    return lowered.withColumns(counts).drop("_lower")
+    return df.withColumn("_lower", _lower(F.col(text_col))).withColumns(_counts(vocab)).drop("_lower")
+
+
+def _lower(text: Column) -> Column:
+    return F.lower(F.coalesce(text, F.lit("")))
+
+
+def _counts(vocab: Mapping[str, Sequence[str]]) -> dict[str, Column]:
+    return {name: phrase_count(F.col("_lower"), phrases) for name, phrases in vocab.items()}
 
 
 def risk_score(df: DataFrame, weights: TextWeights = config.TEXT_WEIGHTS) -> DataFrame:
@@ -100,7 +106,11 @@ def sentiment(
     neg: Sequence[str] = config.NEGATIVE_WORDS,
 ) -> Column:
     """positivo, negativo or neutral, by which word list has more words in the text."""
-    lowered = F.lower(F.coalesce(text, F.lit("")))
+    # Through the one-element array the text is lowered once, not once per word.
+    return F.transform(F.array(_lower(text)), lambda lowered: _mood(lowered, pos, neg))[0]
+
+
+def _mood(lowered: Column, pos: Sequence[str], neg: Sequence[str]) -> Column:
     sign = F.sign(phrase_count(lowered, pos) - phrase_count(lowered, neg)).cast("int")
     return F.element_at(F.array(F.lit("negativo"), F.lit("neutral"), F.lit("positivo")), sign + 2)
 
@@ -119,8 +129,14 @@ def difficulty() -> Column:
 
 def analyse(df: DataFrame, text_col: str = "description") -> DataFrame:
     """Counts, score, slopes, difficulty and sentiment of every report."""
-    scored = slope_mentions(risk_score(mention_counts(df, text_col)), text_col)
-    return scored.withColumns({"difficulty_level": difficulty(), "sentiment": sentiment(F.col(text_col))})
+    mood = _mood(F.col("_lower"), config.POSITIVE_WORDS, config.NEGATIVE_WORDS)
+    counted = (
+        df.withColumn("_lower", _lower(F.col(text_col)))
+        .withColumns({**_counts(VOCABULARY), "sentiment": mood})
+        .drop("_lower")
+    )
+    scored = slope_mentions(risk_score(counted), text_col)
+    return scored.withColumn("difficulty_level", difficulty())
 
 
 def patterns(
@@ -173,18 +189,22 @@ def by_sentiment(pattern_table: DataFrame) -> DataFrame:
 
 
 def summary(pattern_table: DataFrame) -> DataFrame:
-    """One row over the pattern table; equally common difficulties are taken by name."""
-    most_common = (
-        pattern_table.groupBy("difficulty_level")
-        .count()
-        .orderBy(F.desc("count"), "difficulty_level")
-        .limit(1)
-        .select("difficulty_level")
-    )
+    """One row over the pattern table; equally common difficulties are taken by name.
+
+    Grouped by difficulty first, so the table is read once.
+    """
     risky = (F.col("avalanche_events") > 0) | (F.col("confidence") >= 0.5)
-    return pattern_table.agg(
-        F.count("*").alias("total_reports"),
-        F.count_if(risky).alias("high_risk_reports"),
-        F.coalesce(F.avg("confidence"), F.lit(0.0)).alias("avg_risk_score"),
-        F.coalesce(F.sum("avalanche_events"), F.lit(0)).alias("total_avalanche_mentions"),
-    ).withColumn("most_common_difficulty", most_common.scalar())
+    groups = pattern_table.groupBy("difficulty_level").agg(
+        F.count("*").alias("n"),
+        F.count_if(risky).alias("risky"),
+        F.sum("confidence").alias("confidence"),
+        F.sum("avalanche_events").alias("events"),
+    )
+    rank = F.struct(-F.col("n"), "difficulty_level")
+    return groups.agg(
+        F.coalesce(F.sum("n"), F.lit(0)).alias("total_reports"),
+        F.coalesce(F.sum("risky"), F.lit(0)).alias("high_risk_reports"),
+        F.coalesce(F.try_divide(F.sum("confidence"), F.sum("n")), F.lit(0.0)).alias("avg_risk_score"),
+        F.coalesce(F.sum("events"), F.lit(0)).alias("total_avalanche_mentions"),
+        F.min_by("difficulty_level", rank).alias("most_common_difficulty"),
+    )
