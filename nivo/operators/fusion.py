@@ -197,6 +197,18 @@ def danger_summary(prediction_table: DataFrame) -> DataFrame:
     )
 
 
+def _restrict(table: DataFrame, needed: DataFrame) -> DataFrame:
+    """Rows of the needed locations and dates.
+
+    On a table stored by month the month is part of the join, so that Spark reads only the
+    months that are needed.
+    """
+    keys_ = ["location_name", "date"]
+    if "month" in table.columns:
+        needed, keys_ = needed.withColumn("month", weather.month(F.col("date"))), [*keys_, "month"]
+    return table.join(needed, keys_, "left_semi")
+
+
 def backtest(
     feature_table: DataFrame,
     triggers: DataFrame,
@@ -216,14 +228,20 @@ def backtest(
     equi-join on zone and date, so no task ever holds one zone's history.
     """
     if as_of is None:
-        as_of = feature_table.select(F.col("location_name").alias("zone_name"), F.col("date").alias("forecast_date"))
-    asked = as_of.select("zone_name", "forecast_date").distinct()
-    daily_keys = ["location_name", "date", "elevation_band"]
-    critical = triggers.where("is_critical").groupBy(*daily_keys).agg(F.count("*").alias("_critical"))
-    daily = feature_table.join(critical, daily_keys, "left").withColumnRenamed("location_name", "zone_name")
+        locations = feature_table.select("location_name", "date").distinct()
+        asked = locations.toDF("zone_name", "forecast_date")
+    else:
+        asked = as_of.select("zone_name", "forecast_date").distinct()
     look_back = asked.withColumn(
         "date", F.explode(F.sequence(F.date_sub("forecast_date", days - 1), F.col("forecast_date")))
     )
+    daily_keys = ["location_name", "date", "elevation_band"]
+    if as_of is not None:
+        needed = look_back.select(F.col("zone_name").alias("location_name"), "date")
+        feature_table = _restrict(feature_table, needed)
+        triggers = _restrict(triggers, needed)
+    critical = triggers.where("is_critical").groupBy(*daily_keys).agg(F.count("*").alias("_critical"))
+    daily = feature_table.join(critical, daily_keys, "left").withColumnRenamed("location_name", "zone_name")
     by_date = (
         look_back.join(daily, ["zone_name", "date"])
         .groupBy("zone_name", "forecast_date", "elevation_band")

@@ -171,21 +171,22 @@ def gradient(
 def _with_halo(cells: DataFrame, step: Column, tile: int) -> DataFrame:
     """Each cell once per tile that holds it or one of its eight neighbours."""
 
-    def tile_of(shift_row: Column | int, shift_col: Column | int) -> Column:
-        return F.struct(
-            F.floor((F.col("row") + shift_row) / tile).alias("_tile_row"),
-            F.floor((F.col("col") + shift_col) / tile).alias("_tile_col"),
-        )
-
-    def inner(index: str) -> Column:
-        place = F.pmod(F.col(index), F.lit(tile))
-        return (place >= step) & (place < tile - step)
-
-    around = [tile_of(r, c) for r in (-step, 0, step) for c in (-step, 0, step)]
-    tiles = F.when(inner("row") & inner("col"), F.array(tile_of(0, 0))).otherwise(
-        F.array_distinct(F.array(*around))
+    def tile_of(row: str, col: str) -> str:
+        return f"struct(floor({row} / {tile}) AS _tile_row, floor({col} / {tile}) AS _tile_col)"
+
+    def inner(index: str) -> str:
+        return f"pmod({index}, {tile}) >= _step AND pmod({index}, {tile}) < {tile} - _step"
+
+    around = ", ".join(tile_of(f"(row {r})", f"(col {c})") for r in _SHIFTS for c in _SHIFTS)
+    tiles = F.expr(
+        f"""CASE WHEN {inner("row")} AND {inner("col")} THEN array({tile_of("row", "col")})
+        ELSE array_distinct(array({around})) END"""
     )
-    return cells.withColumn("_tile", F.explode(tiles)).select(*cells.columns, "_tile.*")
+    tiled = cells.withColumn("_step", step).withColumn("_tile", F.explode(tiles))
+    return tiled.select(*cells.columns, "_tile.*")
+
+
+_SHIFTS = ("- _step", "", "+ _step")
 
 
 def _difference(before: Column, here: Column, after: Column, spacing: float | Column) -> Column:

@@ -43,7 +43,22 @@ def date_window(
 ) -> DataFrame:
     """Rows a run for ``as_of`` reads: the 7 days up to it, or the 16 days from it."""
     first, last = date_bounds(as_of, mode, today)
-    return df.where(F.col(date_col).between(F.lit(first), F.lit(last)))
+    return between_dates(df, F.lit(first), F.lit(last), date_col)
+
+
+def between_dates(df: DataFrame, first: Column, last: Column | None = None, date_col: str = "date") -> DataFrame:
+    """Rows of a date interval. A table stored by month is read for those months only."""
+    date = F.col(date_col)
+    kept = df.where(date >= first if last is None else date.between(first, last))
+    if "month" not in df.columns:
+        return kept
+    kept = kept.where(F.col("month") >= month(first))
+    return kept if last is None else kept.where(F.col("month") <= month(last))
+
+
+def month(date: Column) -> Column:
+    """The month a date is stored under, see :func:`nivo.sinks.by_month`."""
+    return F.date_format(date, "yyyy-MM")
 
 
 def last_n_days(
@@ -54,9 +69,9 @@ def last_n_days(
     The newest date is a scalar subquery, which file scans can use to skip partitions.
     """
     if as_of is None:
-        return df.where(F.col(date_col) >= F.date_sub(df.agg(F.max(date_col)).scalar(), n - 1))
+        return between_dates(df, F.date_sub(df.agg(F.max(date_col)).scalar(), n - 1), None, date_col)
     last = as_of if isinstance(as_of, Column) else F.lit(as_of)
-    return df.where(F.col(date_col).between(F.date_sub(last, n - 1), last))
+    return between_dates(df, F.date_sub(last, n - 1), last, date_col)
 
 
 # --- Features ----------------------------------------------------------------------------

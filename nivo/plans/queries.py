@@ -26,6 +26,7 @@ from nivo import (
 )
 from nivo.config import BBox
 from nivo.plans import testdata as td
+from nivo.sources.staging import spread, stage
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -74,8 +75,12 @@ def _susceptibility(spark, d):
     return terrain.susceptibility_table(_cells_v1(spark, d), "v1")
 
 
+def _reports(spark, d):
+    return spread(td.reports(spark, d), "route_id")
+
+
 def _patterns(spark, d):
-    return text.patterns(td.reports(spark, d), F.col("zone_name"))
+    return text.patterns(_reports(spark, d), F.col("zone_name"))
 
 
 def _topo(spark, d):
@@ -83,9 +88,14 @@ def _topo(spark, d):
     return fusion.topo_evidence(terrain.susceptibility_table(cells, "v1"))
 
 
+def _weather_tables(spark, d):
+    """Feature table and triggers, both made from one written feature frame."""
+    rows = stage(_features(spark, d))
+    return weather.feature_table(rows), weather.detect_triggers(rows)
+
+
 def _fusion_inputs(spark, d):
-    table = weather.feature_table(_features(spark, d))
-    return table, _triggers(spark, d), _topo(spark, d), text.by_band(_patterns(spark, d))
+    return *_weather_tables(spark, d), _topo(spark, d), text.by_band(_patterns(spark, d))
 
 
 def _fused(spark, d):
@@ -392,18 +402,20 @@ def dominant_aspect_circular(spark, d):
 
 @_register
 def susceptibility_map(spark, d):
-    return rounded(terrain.susceptibility_map(_cells_v1(spark, d), _susceptibility(spark, d)))
+    cells = stage(_cells_v1(spark, d))
+    return rounded(terrain.susceptibility_map(cells, terrain.susceptibility_table(cells, "v1")))
 
 
 @_register
 def susceptibility_map_v2(spark, d):
-    cells = terrain.keep_quality(_cells_v2(spark, d))
+    cells = terrain.keep_quality(stage(_cells_v2(spark, d)))
     return rounded(terrain.susceptibility_map(cells, terrain.susceptibility_table(cells, "v2")))
 
 
 @_register
 def risk_distribution(spark, d):
-    mapped = terrain.susceptibility_map(_cells_v1(spark, d), _susceptibility(spark, d))
+    cells = stage(_cells_v1(spark, d))
+    mapped = terrain.susceptibility_map(cells, terrain.susceptibility_table(cells, "v1"))
     return frames.distribution(mapped, "risk_category", "pixel_count")
 
 
@@ -414,7 +426,7 @@ def terrain_summary(spark, d):
 
 @_register
 def slope_histogram(spark, d):
-    return rounded(frames.histogram(td.slopes(spark, d), "slope_degrees", 50))
+    return rounded(frames.histogram(stage(td.slopes(spark, d)), "slope_degrees", 50))
 
 
 # --- Text --------------------------------------------------------------------------------
@@ -422,13 +434,13 @@ def slope_histogram(spark, d):
 
 @_register
 def text_mentions(spark, d):
-    counted = text.risk_score(text.mention_counts(td.reports(spark, d)))
+    counted = text.risk_score(text.mention_counts(_reports(spark, d)))
     return rounded(counted.select("route_id", *text.VOCABULARY, "nlp_risk_score"))
 
 
 def _slope_query(strict):
     def query(spark, d):
-        found = text.slope_mentions(td.reports(spark, d), strict=strict)
+        found = text.slope_mentions(_reports(spark, d), strict=strict)
         return rounded(found.select("route_id", "mentioned_slope_min", "mentioned_slope_max", "mentioned_slope_avg"))
 
     return query
@@ -440,12 +452,12 @@ QUERIES["text_slopes_strict"] = _slope_query(True)
 
 @_register
 def text_sentiment(spark, d):
-    return td.reports(spark, d).select("route_id", text.sentiment(F.col("description")).alias("sentiment"))
+    return _reports(spark, d).select("route_id", text.sentiment(F.col("description")).alias("sentiment"))
 
 
 @_register
 def text_difficulty(spark, d):
-    return text.analyse(td.reports(spark, d)).select("route_id", "difficulty_level")
+    return text.analyse(_reports(spark, d)).select("route_id", "difficulty_level")
 
 
 @_register
@@ -584,7 +596,8 @@ def snowfall_summary(spark, d):
 
 @_register
 def weather_summary(spark, d):
-    return rounded(weather.summary(_features(spark, d), _triggers(spark, d)))
+    rows = stage(_features(spark, d))
+    return rounded(weather.summary(rows, weather.detect_triggers(rows)))
 
 
 # --- Fusion ------------------------------------------------------------------------------
@@ -592,12 +605,12 @@ def weather_summary(spark, d):
 
 @_register
 def weather_by_band(spark, d):
-    return rounded(fusion.weather_by_band(weather.feature_table(_features(spark, d)), _triggers(spark, d)))
+    return rounded(fusion.weather_by_band(*_weather_tables(spark, d)))
 
 
 @_register
 def weather_all_bands(spark, d):
-    table = fusion.weather_by_band(weather.feature_table(_features(spark, d)), _triggers(spark, d))
+    table = fusion.weather_by_band(*_weather_tables(spark, d))
     spread = fusion.zone_weather_to_bands(table)
     return rounded(spread.select("zone_name", "elevation_band", "max_snowfall_72h", "critical_trigger_count"))
 

@@ -12,6 +12,7 @@ from pyspark.sql.types import StructType
 from nivo import bulletins, config, contracts, frames, fusion, quality, sinks, sources, terrain, text
 from nivo import validation as scoring
 from nivo import weather
+from nivo.sources.staging import spread, stage
 
 
 @dataclass(frozen=True)
@@ -46,14 +47,6 @@ class Layers:
         sinks.write_table(df, self.path(table), schema, **options)
         return self.read(table, schema)
 
-    def checkpoint(self, df: DataFrame) -> DataFrame:
-        """Materialise a frame two tables are made of, in the folder the cluster names."""
-        context = self.spark.sparkContext
-        named = self.spark.conf.get("spark.checkpoint.dir", None)
-        if not named and not context.getCheckpointDir():
-            context.setCheckpointDir(f"{self.root}/_checkpoints")
-        return df.checkpoint()
-
 
 def build_terrain(layers: Layers, inputs: Inputs) -> None:
     dx, dy = inputs.cell_metres
@@ -76,11 +69,11 @@ def build_terrain(layers: Layers, inputs: Inputs) -> None:
 
 def build_text(layers: Layers, inputs: Inputs) -> None:
     zone = F.col("zone_name") if "zone_name" in inputs.reports.columns else inputs.report_zone
-    layers.write(text.patterns(inputs.reports, zone), "nlp_risk_patterns")
+    layers.write(text.patterns(spread(inputs.reports, "route_id"), zone), "nlp_risk_patterns")
 
 
 def build_weather(layers: Layers, inputs: Inputs, frame: str = "rows") -> None:
-    rows = layers.checkpoint(weather.features(inputs.daily, frame))
+    rows = stage(weather.features(inputs.daily, frame))
     monthly = sinks.by_month("date")
     layers.write(weather.feature_table(rows), "weather_features", partition_by=monthly)
     layers.write(

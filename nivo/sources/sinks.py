@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from nivo import contracts
-from nivo.operators import frames
+from nivo.operators import frames, weather
 
 
 def write_table(
@@ -65,7 +65,7 @@ def write_table(
 
 def by_month(date_col: str = "date") -> dict[str, Column]:
     """Partition by month: a partition per location and day would hold a row or two."""
-    return {"month": F.date_format(date_col, "yyyy-MM")}
+    return {"month": weather.month(F.col(date_col))}
 
 
 def write_text(df: DataFrame, path: str, partition_by: tuple[str, ...], text_col: str = "bulletin_text") -> None:

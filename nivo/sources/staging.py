@@ -1,0 +1,44 @@
+"""Writing an intermediate result that several parts of a plan read."""
+
+from __future__ import annotations
+
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+
+
+def folder(spark: SparkSession) -> str:
+    """The shared folder of ``spark.checkpoint.dir``; a temporary one in local mode only."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if named:
+        return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder all executors share")
+    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="nivo-"))
+    return spark.sparkContext.getCheckpointDir()
+
+
+def stage(df: DataFrame) -> DataFrame:
+    """The frame, written to the shared folder and read back.
+
+    It is computed once however often it is read, a lost executor costs none of it, and
+    unlike a checkpoint it is columnar: readers skip columns they do not need, and Spark
+    knows its size.
+    """
+    path = f"{folder(df.sparkSession)}/staged-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Rows spread over all cores by their keys, if the scan has fewer partitions than that.
+
+    For work that is heavy per row, such as searching texts: a file of one large row group
+    is a single task however many cores are idle. A scan with enough partitions, as any
+    large table has, is left as it is and not shuffled.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores, *keys)
