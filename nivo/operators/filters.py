@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from nivo.config import HIGH_SUSCEPTIBILITY, BBox
+from nivo.operators.frames import newest_per_key
 
 
 def inside(bbox: BBox, lat: str = "latitude", lon: str = "longitude") -> Column:
@@ -17,6 +18,32 @@ def in_bbox(df: DataFrame, bbox: BBox) -> DataFrame:
     return df.where(inside(bbox))
 
 
+def assign_zone(points: DataFrame, zones: DataFrame, key: str, bucket: float = 0.1) -> DataFrame:
+    """Add ``zone_name``, the zone whose box (zone_name, south, north, west, east) holds the point.
+
+    Points in several boxes get the first zone by name, points in none NULL. Boxes and
+    points meet on shared grid buckets of ``bucket`` degrees, so this is an equi-join.
+    """
+
+    def bucket_of(degrees: str) -> Column:
+        return F.floor(F.col(degrees) / bucket)
+
+    def reach(low: str, high: str) -> Column:
+        return F.explode(F.sequence(bucket_of(low), bucket_of(high)))
+
+    boxes = zones.select("*", reach("south", "north").alias("_lat")).select(
+        "zone_name", "south", "north", "west", "east", "_lat", reach("west", "east").alias("_lon")
+    )
+    holds = (
+        (bucket_of("latitude") == F.col("_lat"))
+        & (bucket_of("longitude") == F.col("_lon"))
+        & F.col("latitude").between(F.col("south"), F.col("north"))
+        & F.col("longitude").between(F.col("west"), F.col("east"))
+    )
+    joined = points.join(boxes, holds, "left").drop("south", "north", "west", "east", "_lat", "_lon")
+    return newest_per_key(joined, [key], [F.asc("zone_name")])
+
+
 def filter_or_all(df: DataFrame, predicate: Column) -> DataFrame:
     """Rows that satisfy the predicate, or every row when none does.
 

@@ -36,7 +36,7 @@ def newest_per_key(df: DataFrame, keys: list[str], order: list[Column]) -> DataF
     return df.withColumn("_rank", F.row_number().over(window)).where("_rank = 1").drop("_rank")
 
 
-def distribution(df: DataFrame, col: str, count_name: str = "count", total_pct: bool = True) -> DataFrame:
+def distribution(df: DataFrame, col: str, total_pct: bool = True, count_name: str = "count") -> DataFrame:
     """Rows per value and, with ``total_pct``, their percentage rounded to two places."""
     counts = df.groupBy(col).agg(F.count("*").alias(count_name))
     if not total_pct:

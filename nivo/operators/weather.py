@@ -12,6 +12,7 @@ from nivo import config
 from nivo.config import TriggerThresholds
 from nivo.functions import bands, keys
 from nivo.operators import lookback
+from nivo.sources.payloads import attach_location, flatten_daily, flatten_hourly  # noqa: F401
 
 BLOCK_DAYS = 366
 

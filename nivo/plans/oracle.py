@@ -505,6 +505,10 @@ def _select(name: str, spec: str, source: str, rest: str = "") -> None:
 
 _BOX = "latitude BETWEEN -33.40::DOUBLE AND -33.30::DOUBLE AND longitude BETWEEN -70.32::DOUBLE AND -70.22::DOUBLE"
 _select("filter_bbox", "route_id ~latitude ~longitude", "reports", f"WHERE {_BOX}")
+_oracle("zone_assign", """SELECT route_id, min(r_name) AS zone_name FROM reports LEFT JOIN region
+    ON latitude BETWEEN -33.45::DOUBLE + r_regionkey * 0.05::DOUBLE AND -33.41::DOUBLE + r_regionkey * 0.05::DOUBLE
+    AND longitude BETWEEN -70.37::DOUBLE + r_regionkey * 0.05::DOUBLE AND -70.34::DOUBLE + r_regionkey * 0.05::DOUBLE
+    GROUP BY 1""", "reports")
 _oracle("filter_or_all", f"""SELECT route_id, zone_name FROM reports
     WHERE ({_BOX}) OR NOT EXISTS (SELECT 1 FROM reports WHERE {_BOX})""", "reports")
 _select("filter_or_all_no_match", "route_id zone_name", "reports")

@@ -132,6 +132,20 @@ def filter_bbox(spark, d):
     return rounded(filters.in_bbox(td.reports(spark, d), config.PILOT_ZONE.bbox).select("route_id", "latitude", "longitude"))
 
 
+@_register
+def zone_assign(spark, d):
+    shift = F.col("r_regionkey") * 0.05
+    zones = td.read(spark, d, "region").select(
+        F.col("r_name").alias("zone_name"),
+        (F.lit(-33.45) + shift).alias("south"),
+        (F.lit(-33.41) + shift).alias("north"),
+        (F.lit(-70.37) + shift).alias("west"),
+        (F.lit(-70.34) + shift).alias("east"),
+    )
+    reports = td.reports(spark, d).drop("zone_name", "description")
+    return filters.assign_zone(reports, zones, "route_id").select("route_id", "zone_name")
+
+
 @_register
 def filter_or_all(spark, d):
     kept = filters.filter_or_all(td.reports(spark, d), filters.inside(config.PILOT_ZONE.bbox))
@@ -416,7 +430,7 @@ def susceptibility_map_v2(spark, d):
 def risk_distribution(spark, d):
     cells = stage(_cells_v1(spark, d))
     mapped = terrain.susceptibility_map(cells, terrain.susceptibility_table(cells, "v1"))
-    return frames.distribution(mapped, "risk_category", "pixel_count")
+    return frames.distribution(mapped, "risk_category", count_name="pixel_count")
 
 
 @_register

@@ -24,6 +24,8 @@ class Inputs:
     reports: DataFrame | None = None
     observed: DataFrame | None = None
     cell_metres: tuple[float, float] = terrain.degrees_to_metres(config.GRID_STEP_DEG)
+    terrain_version: str = "v1"
+    checked_box: config.BBox | None = None
     report_zone: str = config.PILOT_ZONE.name
 
 
@@ -48,23 +50,33 @@ class Layers:
         return self.read(table, schema)
 
 
+_TERRAIN_CONTRACTS = {
+    "v1": (contracts.TOPO_FEATURES, contracts.TOPO_SUSCEPTIBILITY, contracts.SUSCEPTIBILITY_MAP),
+    "v2": (contracts.TOPO_FEATURES_V2, contracts.TOPO_SUSCEPTIBILITY_V2, contracts.SUSCEPTIBILITY_MAP_V2),
+}
+
+
 def build_terrain(layers: Layers, inputs: Inputs) -> None:
-    dx, dy = inputs.cell_metres
-    steep = terrain.aspect(terrain.slope(terrain.gradient(inputs.cells, dx, dy)))
-    cells = layers.write(
-        terrain.features(steep, "v2"), "topo_features", contracts.TOPO_FEATURES_V2, partition_by=("zone_name",)
-    )
+    """Feature cells, susceptibility and map.
+
+    v2 masks low cells, leaves out those the mask cut off from all neighbours in a direction
+    (they have no slope), and keeps only cells of high quality. With ``checked_box`` its
+    cells are checked against the box and any error stops the run.
+    """
+    (dx, dy), version = inputs.cell_metres, inputs.terrain_version
+    feature_schema, table_schema, map_schema = _TERRAIN_CONTRACTS[version]
+    grid = inputs.cells if version == "v1" else terrain.mask_elevation(inputs.cells)
+    steep = terrain.aspect(terrain.slope(terrain.gradient(grid, dx, dy)))
+    if version == "v2":
+        steep = steep.where("slope_degrees is not null")
+    by_zone = {"partition_by": ("zone_name",)}
+    cells = layers.write(terrain.features(steep, version), "topo_features", feature_schema, **by_zone)
+    if version == "v2" and inputs.checked_box is not None:
+        quality.enforce(quality.check_cells(cells, inputs.checked_box))
     good = terrain.keep_quality(cells)
-    table = layers.write(
-        terrain.susceptibility_table(good, "v2"), "topo_susceptibility", contracts.TOPO_SUSCEPTIBILITY_V2
-    )
+    table = layers.write(terrain.susceptibility_table(good, version), "topo_susceptibility", table_schema)
     quality.enforce(quality.check_range(table, "susceptibility_score"))
-    layers.write(
-        terrain.susceptibility_map(good, table),
-        "susceptibility_map",
-        contracts.SUSCEPTIBILITY_MAP_V2,
-        partition_by=("zone_name",),
-    )
+    layers.write(terrain.susceptibility_map(good, table), "susceptibility_map", map_schema, **by_zone)
 
 
 def build_text(layers: Layers, inputs: Inputs) -> None:
@@ -82,8 +94,7 @@ def build_weather(layers: Layers, inputs: Inputs, frame: str = "rows") -> None:
 
 
 def _evidence(layers: Layers) -> tuple[DataFrame, DataFrame]:
-    topo = layers.read("topo_susceptibility", contracts.TOPO_SUSCEPTIBILITY_V2)
-    return fusion.topo_evidence(topo), text.by_band(layers.read("nlp_risk_patterns"))
+    return fusion.topo_evidence(layers.read("topo_susceptibility")), text.by_band(layers.read("nlp_risk_patterns"))
 
 
 def build_predictions(layers: Layers, as_of: dt.date | None = None) -> DataFrame:

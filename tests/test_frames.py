@@ -25,6 +25,17 @@ def test_filter_or_all(spark):
     assert filters.filter_or_all(df.limit(0), filters.inside(BBox(1, 2, 1, 2))).count() == 0
 
 
+def test_assign_zone(spark):
+    zones = spark.createDataFrame(
+        [("low", -33.40, -33.35, -70.40, -70.20), ("high", -33.35, -33.20, -70.40, -70.20), ("wide", -40.0, -20.0, -71.0, -70.0)],
+        "zone_name string, south double, north double, west double, east double",
+    )
+    found = {r["id"]: r["zone_name"] for r in filters.assign_zone(points(spark), zones, "id").collect()}
+    # Borders belong to both boxes: the first by name is taken.
+    assert found == {"a": "low", "b": "high", "c": "high", "d": "high", "e": None}
+    assert filters.assign_zone(points(spark), zones.limit(0), "id").where("zone_name is null").count() == 5
+
+
 def test_threshold_filters(spark):
     df = spark.createDataFrame([(0.59, 2, True), (0.6, 3, False), (None, 5, True)], "susceptibility_score double, eaws_level int, is_critical boolean")
     assert filters.high_susceptibility(df).count() == 1
@@ -66,7 +77,7 @@ def test_latest_and_newest(spark):
 
 def test_distribution(spark):
     df = spark.createDataFrame([("x",)] * 2 + [("y",)], "c string")
-    rows = {r["c"]: (r["n"], r["percentage"]) for r in frames.distribution(df, "c", "n").collect()}
+    rows = {r["c"]: (r["n"], r["percentage"]) for r in frames.distribution(df, "c", count_name="n").collect()}
     assert rows == {"x": (2, 66.67), "y": (1, 33.33)}
     assert frames.distribution(df, "c", total_pct=False).columns == ["c", "count"]
 

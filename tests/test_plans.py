@@ -5,9 +5,10 @@ import os
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from nivo import contracts
+from nivo import config, contracts
 from nivo.plans import run as layers
 from nivo.plans import testdata
 
@@ -85,6 +86,21 @@ def test_run_builds_every_layer_and_can_be_repeated(spark, tmp_path):
     assert dates == {newest, earlier}
 
 
+def test_run_with_checked_terrain(spark, tmp_path):
+    root = str(tmp_path / "model")
+    cells = testdata.cells(spark, SF)
+    box = config.BBox(-33.40, -33.3976, -70.32, -70.2966)
+    options = {"cell_metres": (60.0, 60.0), "terrain_version": "v2"}
+    layers.run(spark, layers.Inputs(cells=cells, checked_box=box, **options), root)
+    model = layers.Layers(spark, root)
+    stored = model.read("susceptibility_map", contracts.SUSCEPTIBILITY_MAP_V2)
+    assert 0 < stored.count() <= cells.where("elevation >= 2000").count()
+    assert stored.where("gee_quality_flag < 0.9 or data_source is null").count() == 0
+    low = cells.withColumn("latitude", F.when(F.col("row") > 0, F.col("latitude")))
+    with pytest.raises(ValueError, match="null_latitude"):
+        layers.run(spark, layers.Inputs(cells=low, checked_box=box, **options), root)
+
+
 def test_entry(spark):
     df = entry.entry(spark)
     assert df.count() > 0 and "main_factors" in df.columns
