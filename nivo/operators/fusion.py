@@ -29,6 +29,10 @@ _DEFAULTS = {
 }
 
 
+_DATED = ["location_name", "date", "elevation_band"]
+_MEASURES = ["snowfall_24h", "snowfall_72h", "temp_variation_24h", "windspeed_10m_max", "isoterma_0c"]
+
+
 def topo_evidence(susceptibility_table: DataFrame) -> DataFrame:
     return susceptibility_table.select(
         *ZONE_BAND,
@@ -216,7 +220,6 @@ def backtest(
     nlp: DataFrame,
     as_of: DataFrame | None = None,
     days: int = 3,
-    all_bands: Sequence[str] | None = None,
 ) -> DataFrame:
     """Predictions of every zone and date in ``as_of(zone_name, forecast_date)``, in one job.
 
@@ -224,41 +227,41 @@ def backtest(
     the last one, for the bands on which any of the three inputs has a row. By default
     every location and date of the feature table is asked for.
 
-    Each asked date is expanded to the days it looks back on and meets the weather in an
-    equi-join on zone and date, so no task ever holds one zone's history.
+    Every row of weather counts for the dates of the next days, so it is copied to those
+    dates and one partially aggregated group per zone, date and band collects them: no join
+    of weather with itself, and no task that holds one zone's history.
     """
     if as_of is None:
-        locations = feature_table.select("location_name", "date").distinct()
-        asked = locations.toDF("zone_name", "forecast_date")
+        asked = feature_table.select("location_name", "date").distinct().toDF("zone_name", "forecast_date")
     else:
         asked = as_of.select("zone_name", "forecast_date").distinct()
-    look_back = asked.withColumn(
-        "date", F.explode(F.sequence(F.date_sub("forecast_date", days - 1), F.col("forecast_date")))
+        seen = F.sequence(F.date_sub("forecast_date", days - 1), F.col("forecast_date"))
+        needed = asked.select(F.col("zone_name").alias("location_name"), F.explode(seen).alias("date"))
+        feature_table, triggers = _restrict(feature_table, needed), _restrict(triggers, needed)
+    observed = feature_table.select(
+        *_DATED, *_MEASURES, F.lit(1).alias("_features"), F.lit(0).alias("_critical")
     )
-    daily_keys = ["location_name", "date", "elevation_band"]
-    if as_of is not None:
-        needed = look_back.select(F.col("zone_name").alias("location_name"), "date")
-        feature_table = _restrict(feature_table, needed)
-        triggers = _restrict(triggers, needed)
-    critical = triggers.where("is_critical").groupBy(*daily_keys).agg(F.count("*").alias("_critical"))
-    daily = feature_table.join(critical, daily_keys, "left").withColumnRenamed("location_name", "zone_name")
+    critical = triggers.where("is_critical").select(
+        *_DATED, F.lit(0).alias("_features"), F.lit(1).alias("_critical")
+    )
+    counted_for = F.sequence(F.col("date"), F.date_add("date", days - 1))
     by_date = (
-        look_back.join(daily, ["zone_name", "date"])
-        .groupBy("zone_name", "forecast_date", "elevation_band")
+        observed.unionByName(critical, allowMissingColumns=True)
+        .withColumn("forecast_date", F.explode(counted_for))
+        .groupBy(F.col("location_name").alias("zone_name"), "forecast_date", "elevation_band")
         .agg(
             *_weather_aggregates(),
-            F.coalesce(F.sum("_critical"), F.lit(0)).alias("critical_trigger_count"),
-            F.lit(True).alias("_weather"),
+            F.sum("_critical").alias("critical_trigger_count"),
+            F.sum("_features").alias("_features"),
         )
+        .where("_features > 0")
+        .drop("_features")
+        .join(asked, ["zone_name", "forecast_date"], "left_semi")
     )
-    names = all_bands or [b.name for b in config.BANDS]
-    spine = asked.withColumn("elevation_band", F.explode(F.array(*[F.lit(n) for n in names])))
+    static = topo.join(nlp, ZONE_BAND, "full")
     fused = (
-        spine.join(by_date, ["zone_name", "forecast_date", "elevation_band"], "left")
-        .join(topo.withColumn("_topo", F.lit(True)), ZONE_BAND, "left")
-        .join(nlp.withColumn("_nlp", F.lit(True)), ZONE_BAND, "left")
-        .where(F.coalesce("_weather", "_topo", "_nlp").isNotNull())
-        .drop("_weather", "_topo", "_nlp")
+        asked.join(static, "zone_name")
+        .join(by_date, ["zone_name", "forecast_date", "elevation_band"], "full")
         .fillna(_DEFAULTS)
     )
     return predictions(score(fused), F.col("forecast_date"))
