@@ -3,6 +3,45 @@
 from __future__ import annotations
 
 ORACLES: dict[str, str] = {
+    "op4_decontamination": r"""
+        WITH d AS (
+            SELECT doc_id, regexp_extract_all(
+                       translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                       '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+            FROM documents
+        ),
+        b AS (
+            SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all(
+                       translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                       '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+            FROM benchmark
+        ),
+        v AS (
+            SELECT DISTINCT item, least(len(w), 10) AS n,
+                   array_to_string(w[i : i + least(len(w), 10) - 1], ' ') AS phrase
+            FROM (SELECT item, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS i FROM b WHERE len(w) > 0)
+        ),
+        lengths AS (SELECT DISTINCT n FROM v),
+        p AS (
+            SELECT doc_id, i, n, array_to_string(w[i : i + n - 1], ' ') AS phrase
+            FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, lengths WHERE len(w) >= n)
+        ),
+        m AS (SELECT doc_id, i, n, item FROM p JOIN v USING (n, phrase)),
+        h AS (
+            SELECT doc_id, count(DISTINCT place) AS n_hit
+            FROM (SELECT doc_id, unnest(range(i, i + n)) AS place FROM (SELECT DISTINCT doc_id, i, n FROM m))
+            GROUP BY doc_id
+        ),
+        t AS (
+            SELECT doc_id, count(DISTINCT item) AS n_items,
+                   string_agg(DISTINCT item, ',' ORDER BY item) AS items
+            FROM m GROUP BY doc_id
+        )
+        SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit,
+               coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256,
+               n_hit IS NOT NULL AS contaminated
+        FROM d LEFT JOIN h USING (doc_id) LEFT JOIN t USING (doc_id)
+    """,
     "op6_exact_dedup": """
         WITH d AS (SELECT doc_id, coalesce(text, '') AS body FROM documents)
         SELECT doc_id,
@@ -12,6 +51,15 @@ ORACLES: dict[str, str] = {
                sha256(body) AS text_sha256
         FROM d
     """,
+    "op8_warc": """
+        WITH p AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
+        f AS (SELECT page_id, octet_length(encode(body)) AS n, sha256(body) AS digest, body FROM p),
+        g AS (SELECT *, min(page_id) OVER (PARTITION BY body) AS first FROM f)
+        SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, digest AS payload_digest,
+               CASE WHEN n >= 100 AND page_id <> first THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN n >= 100 AND page_id <> first THEN first END AS refers_to
+        FROM g
+    """,
     "op9_mixing": r"""
         WITH d AS (
             SELECT doc_id, source, md5('mix-1' || coalesce(CAST(doc_id AS VARCHAR), 'null')) AS h,

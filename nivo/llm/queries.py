@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nivo.llm import exact, mixing, sharding
-from nivo.llm.shared import words
+from nivo.llm import decontaminate, exact, mixing, sharding, warc
+from nivo.llm.shared import Scratch, words
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -25,6 +25,21 @@ def _table(spark: SparkSession, directory: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{directory}/{name}.parquet")
 
 
+@_register
+def op4_decontamination(spark, directory):
+    """Documents against all 10-word windows of the benchmark items."""
+    docs = _table(spark, directory, "documents").select("doc_id", "text")
+    found = decontaminate.decontaminate(docs, _table(spark, directory, "benchmark"))
+    return found.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("hit_items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("hit_items", ","), 256).alias("items_sha256"),
+        "contaminated",
+    )
+
+
 @_register
 def op5_sharding(spark, directory):
     """All documents in 40 shards by proportional interleaving of sources; counts differ by one at most."""
@@ -52,6 +67,14 @@ def op6_exact_dedup(spark, directory):
     return exact.exact(docs).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+@_register
+def op8_warc(spark, directory):
+    """Pages written as WARC archives and read back by byte ranges."""
+    scratch = Scratch(spark, "warc")
+    files = warc.write(_table(spark, directory, "pages"), scratch)
+    return warc.resolve(warc.read(files))
+
+
 @_register
 def op9_mixing(spark, directory):
     """Sources mixed by weights 5, 2, 1 to 150 % of all words, a document twice at most."""

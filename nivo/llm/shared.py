@@ -106,10 +106,7 @@ def lower_ascii(text: Column) -> Column:
 
 def words(text: Column, separators: str = BLANKS) -> Column:
     """The pieces of a text between runs of separators; none of NULL or a blank text."""
-    pieces = F.split(text, separators)
-    return F.when(text.isNull(), F.array().cast("array<string>")).otherwise(
-        F.filter(pieces, lambda piece: piece != "")
-    )
+    return F.array_remove(F.split(F.coalesce(text, F.lit("")), separators), "")
 
 
 def fresh(name: str, *frames: DataFrame) -> str:
