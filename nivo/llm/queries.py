@@ -7,13 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nivo.llm import decontaminate, exact, mixing, sharding, warc
+from nivo.llm import decontaminate, exact, langid, mixing, sharding, tokens, warc
 from nivo.llm.shared import Scratch, words
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
 SHARDS = 40
+VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 
 
 def _register(function: Query) -> Query:
@@ -67,6 +68,20 @@ def op6_exact_dedup(spark, directory):
     return exact.exact(docs).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+@_register
+def op7_language_id(spark, directory):
+    """Language of every document; a fifth of the labelled ones is held out."""
+    docs = _table(spark, directory, "documents").select("doc_id", "text", "lang")
+    sample = langid.learn(docs.where(langid.fold() > 0))
+    found = langid.identify(docs.select("doc_id", "text"), sample)
+    return found.select(
+        "doc_id",
+        (langid.fold() == 0).alias("held_out"),
+        "lang_pred",
+        F.col("lang_score").alias("score"),
+    )
+
+
 @_register
 def op8_warc(spark, directory):
     """Pages written as WARC archives and read back by byte ranges."""
@@ -85,3 +100,10 @@ def op9_mixing(spark, directory):
     return mixed.select(
         "doc_id", "size", "source_size", "target", (F.col("size") * F.col("taken")).alias("taken")
     )
+
+
+@_register
+def op10_token_counts(spark, directory):
+    """Greedy word-piece counts of all documents with a public vocabulary."""
+    docs = _table(spark, directory, "documents").select("doc_id", "text")
+    return tokens.count_tokens(docs, VOCABULARY).select("doc_id", "n_bytes", "n_words", "n_tokens")
