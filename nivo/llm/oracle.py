@@ -3,6 +3,36 @@
 from __future__ import annotations
 
 ORACLES: dict[str, str] = {
+    "op1_near_dedup": r"""
+        WITH RECURSIVE d AS (
+            SELECT doc_id, regexp_extract_all(
+                       translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                       '[^\x20\x09-\x0D]+') AS w
+            FROM documents
+        ),
+        s AS (
+            SELECT DISTINCT doc_id, array_to_string(w[i : i + 2], ' ') AS shingle
+            FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 2, 1) + 1)) AS i FROM d WHERE len(w) > 0)
+        ),
+        n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+        o AS (
+            SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS c
+            FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id
+            GROUP BY ALL
+        ),
+        l AS (
+            SELECT u, v FROM o JOIN n a ON a.doc_id = u JOIN n b ON b.doc_id = v
+            WHERE 100 * c >= 85 * (a.n + b.n - c)
+        ),
+        r AS (
+            SELECT doc_id AS v, doc_id AS root FROM d
+            UNION
+            SELECT l.v, r.root FROM r JOIN l ON l.u = r.v
+        ),
+        m AS (SELECT v AS doc_id, min(root) AS component_id FROM r GROUP BY v)
+        SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id = component_id AS kept
+        FROM d JOIN m USING (doc_id) LEFT JOIN n USING (doc_id)
+    """,
     "op4_decontamination": r"""
         WITH d AS (
             SELECT doc_id, regexp_extract_all(

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nivo.llm import decontaminate, exact, langid, mixing, sharding, tokens, warc
+from nivo.llm import decontaminate, exact, langid, minhash, mixing, sharding, tokens, warc
 from nivo.llm.shared import Scratch, words
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -26,6 +26,14 @@ def _table(spark: SparkSession, directory: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{directory}/{name}.parquet")
 
 
+@_register
+def op1_near_dedup(spark, directory):
+    """Documents linked by a similarity of 85 % of their 3-word shingles."""
+    docs = _table(spark, directory, "documents").select("doc_id", "text")
+    found = minhash.near_duplicates(docs, width=3, percent=85)
+    return found.select(F.col("id").alias("doc_id"), "n_shingles", "component_id", "kept")
+
+
 @_register
 def op4_decontamination(spark, directory):
     """Documents against all 10-word windows of the benchmark items."""
