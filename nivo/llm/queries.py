@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nivo.llm import decontaminate, exact, langid, minhash, mixing, sharding, tokens, warc
+from nivo.llm import decontaminate, exact, langid, minhash, mixing, passages, sharding, tokens, warc
 from nivo.llm.shared import Scratch, words
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -34,6 +34,12 @@ def op1_near_dedup(spark, directory):
     return found.select(F.col("id").alias("doc_id"), "n_shingles", "component_id", "kept")
 
 
+@_register
+def op3_repeated_passages(spark, directory):
+    """Passages of 50 words or more that documents share."""
+    return passages.repeated_passages(_table(spark, directory, "documents").select("doc_id", "text"))
+
+
 @_register
 def op4_decontamination(spark, directory):
     """Documents against all 10-word windows of the benchmark items."""
