@@ -7,7 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nivo.llm import decontaminate, exact, langid, minhash, mixing, passages, sharding, tokens, warc
+from nivo.llm import (
+    decontaminate,
+    exact,
+    langid,
+    licences,
+    minhash,
+    mixing,
+    passages,
+    sharding,
+    tokens,
+    warc,
+)
 from nivo.llm.shared import Scratch, words
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -34,6 +45,29 @@ def op1_near_dedup(spark, directory):
     return found.select(F.col("id").alias("doc_id"), "n_shingles", "component_id", "kept")
 
 
+@_register
+def op2_licence_scan(spark, directory):
+    """Licence families named in every document, by a classifier of paragraphs."""
+    docs = _table(spark, directory, "documents").select("doc_id", "text")
+    found = licences.scan(docs, licences.train(docs))
+    per_doc = found.groupBy("doc_id").agg(
+        F.array_join(F.array_sort(F.collect_set("family")), ",").alias("families"),
+        F.count_if(F.col("family") != licences.UNKNOWN).alias("n_notices"),
+        F.count_if(F.col("family") == licences.UNKNOWN).alias("n_unknown"),
+    )
+    none = F.lit(0).cast("long")
+    return (
+        docs.select("doc_id")
+        .join(per_doc, "doc_id", "left")
+        .select(
+            "doc_id",
+            F.coalesce("families", F.lit("")).alias("families"),
+            F.coalesce("n_notices", none).alias("n_notices"),
+            F.coalesce("n_unknown", none).alias("n_unknown"),
+        )
+    )
+
+
 @_register
 def op3_repeated_passages(spark, directory):
     """Passages of 50 words or more that documents share."""
