@@ -7,7 +7,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nivo.llm.shared import Scratch, lower_ascii, words
+from nivo.llm.shared import Scratch, lower_ascii, packed, words
 
 #: What separates words: ASCII that is neither a digit nor a letter.
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -71,7 +71,6 @@ def decontaminate(
     rows. Input columns with the names of the results are replaced.
     """
     scratch = Scratch(docs.sparkSession, "decontaminate")
-    plain = docs.drop("n_words", "n_hit", "hit_items", "contaminated")
     found_windows = scratch.write(windows(benchmark, size, item_text, item), "windows")
     own = docs.select(F.col(f"`{text}`").alias("body")).where("body IS NOT NULL")
     tokens = words(lower_ascii(F.col("body")), SEPARATORS)
@@ -84,10 +83,17 @@ def decontaminate(
         corpus.join(block, "word").groupBy("word").agg(F.count(F.lit(1)).alias("n"))
         for block in _blocks(vocabulary, "word")
     ]
-    base = plain.withColumn("n_words", F.size(words(lower_ascii(F.col(f"`{text}`")), SEPARATORS)).cast("long"))
+    body = F.col(f"`{text}`")
+    base = docs.select(
+        packed(docs, "n_words", "n_hit", "hit_items", "contaminated").alias("row"),
+        F.size(words(lower_ascii(body), SEPARATORS)).cast("long").alias("n_words"),
+        F.xxhash64(body).alias("own_print"),
+        F.octet_length(body).alias("own_bytes"),
+    )
     if not counted:
         return base.select(
-            "*",
+            "row.*",
+            "n_words",
             F.lit(0).cast("long").alias("n_hit"),
             F.array().cast("array<string>").alias("hit_items"),
             F.lit(False).alias("contaminated"),
@@ -150,12 +156,11 @@ def decontaminate(
     )
     hits = scratch.write(hits, "hits")
     scratch.drop("windows", "words", "frequency", "prefixes")
-    body = F.col(f"`{text}`")
-    joined = base.withColumn("_print", F.xxhash64(body)).withColumn("_bytes", F.octet_length(body)).join(
-        hits, (F.col("_print") == F.col("print")) & (F.col("_bytes") == F.col("bytes")), "left"
+    joined = base.join(
+        hits, (F.col("own_print") == F.col("print")) & (F.col("own_bytes") == F.col("bytes")), "left"
     )
     return joined.select(
-        *[F.col(f"`{c}`") for c in plain.columns],
+        "row.*",
         "n_words",
         F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"),
         F.coalesce("hit_items", F.array().cast("array<string>")).alias("hit_items"),

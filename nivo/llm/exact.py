@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from nivo.llm.shared import Scratch, workers_find_package
+from nivo.llm.shared import Scratch, packed, workers_find_package
 
 #: A fingerprint's high bits are its quotient and name its slab of the filter, the rest its remainder.
 SLAB_BITS = 10
@@ -92,7 +92,6 @@ def exact(docs: DataFrame, text: Column | None = None, key: str = "doc_id") -> D
     spark = docs.sparkSession
     workers_find_package(spark)
     scratch = Scratch(spark, "exact")
-    plain = docs.drop("keep_id", "group_size", "kept", "text_sha256")
     body = F.coalesce(F.col("text") if text is None else text, F.lit(""))
     prints = docs.select(F.xxhash64(body).alias("fingerprint"))
     repeated = (
@@ -113,16 +112,17 @@ def exact(docs: DataFrame, text: Column | None = None, key: str = "doc_id") -> D
     )
     groups = scratch.write(groups, "groups")
     scratch.drop("repeated")
-    digest = F.sha2(body, 256)
-    joined = plain.withColumn("text_sha256", digest).join(
-        groups, F.col("text_sha256") == F.col("sha"), "left"
-    )
+    joined = docs.select(
+        packed(docs, "keep_id", "group_size", "kept", "text_sha256").alias("row"),
+        F.col(f"`{key}`").alias("id"),
+        F.sha2(body, 256).alias("text_sha256"),
+    ).join(groups, F.col("text_sha256") == F.col("sha"), "left")
     alone = F.col("sha").isNull()
-    keep = F.when(alone, F.col(f"`{key}`")).otherwise(F.col("keep_id"))
+    keep = F.when(alone, F.col("id")).otherwise(F.col("keep_id"))
     return joined.select(
-        *[F.col(f"`{c}`") for c in plain.columns],
+        "row.*",
         keep.alias("keep_id"),
         F.when(alone, F.lit(1).cast("long")).otherwise(F.col("group_size")).alias("group_size"),
-        keep.eqNullSafe(F.col(f"`{key}`")).alias("kept"),
+        keep.eqNullSafe(F.col("id")).alias("kept"),
         "text_sha256",
     )

@@ -13,7 +13,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from nivo.llm.shared import workers_find_package
+from nivo.llm.shared import packed, workers_find_package
 
 #: Bounds of the labelled sample: symbols per language, and symbols that one row may add to it.
 TRAIN_SYMBOLS = 40_000
@@ -297,12 +297,13 @@ def identify(docs: DataFrame, sample: Sample, text: Column | None = None) -> Dat
         _predictor(spark.sparkContext.broadcast(sample), sample.digest),
         "lang string, score double, bits double",
     )
-    plain = docs.drop("lang_pred", "lang_score", "lang_bits")
-    return docs.withColumn("_found", predict(body)).select(
-        *[F.col(f"`{c}`") for c in plain.columns],
-        F.col("_found.lang").alias("lang_pred"),
-        F.col("_found.score").alias("lang_score"),
-        F.col("_found.bits").alias("lang_bits"),
+    return docs.select(
+        packed(docs, "lang_pred", "lang_score", "lang_bits").alias("row"), predict(body).alias("found")
+    ).select(
+        "row.*",
+        F.col("found.lang").alias("lang_pred"),
+        F.col("found.score").alias("lang_score"),
+        F.col("found.bits").alias("lang_bits"),
     )
 
 

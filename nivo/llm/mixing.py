@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from nivo.llm.shared import Scratch, running
+from nivo.llm.shared import Scratch, packed, running
 
 SEED = "mix-1"
 CYCLE = (5, 2, 1)
@@ -71,19 +71,16 @@ def mix(
     if not 0 <= share <= copies:
         raise ValueError("the budget may not exceed all copies of all documents")
     scratch = Scratch(docs.sparkSession, "mix")
-    plain = docs.select("*", size.cast("long").alias("_size")).drop(
-        "size", "source_size", "target", "taken", "position", "before"
-    )
-    columns = [c for c in plain.columns if c != "_size"]
     shuffled = F.md5(
         F.concat(F.lit(seed), F.coalesce(F.col(f"`{key}`").cast("string"), F.lit("null")))
     )
-    keyed = plain.select(
-        "*",
+    # Rows are carried as one column, so that their names meet none used here.
+    keyed = docs.select(
+        packed(docs, "size", "source_size", "target", "taken").alias("row"),
+        size.cast("long").alias("_size"),
         F.col(f"`{source}`").alias("_source"),
         shuffled.alias("_hash"),
-        F.xxhash64(*[F.col(f"`{c}`") for c in columns]).alias("_tie"),
-    )
+    ).withColumn("_tie", F.xxhash64("row"))
     queue = running(
         scratch,
         keyed,
@@ -139,7 +136,7 @@ def mix(
         )
         turns = F.coalesce(F.size(within), F.lit(0))
     return queued.select(
-        *[F.col(f"`{c}`") for c in columns],
+        "row.*",
         F.col("_size").alias("size"),
         "source_size",
         "target",

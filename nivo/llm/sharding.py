@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from nivo.llm.shared import Scratch, running
+from nivo.llm.shared import Scratch, packed, running
 
 SEED = 20_731
 
@@ -28,48 +28,45 @@ def shard(
     NULL strata form one stratum; NULL keys are hashed as such. Texts play no part, so empty,
     NULL and very long ones are rows like others. Repeated rows are all kept, in any order among
     themselves. With more shards than rows the last ones are empty, and an empty table gives no
-    rows. Columns of the input called ``shard``, ``slot``, ``position`` or ``before`` are replaced.
+    rows. Columns of the input called ``shard`` or ``slot`` are replaced.
     """
     if shards < 1:
         raise ValueError("there must be a shard at least")
     scratch = Scratch(docs.sparkSession, "shard")
-    plain = docs.drop("shard", "slot", "position", "before")
-    columns = plain.columns
-    # Rows that share a key are told apart by all that they hold.
-    ties = [F.xxhash64(*[F.col(f"`{c}`") for c in columns])]
-    keyed = plain.select(
-        "*",
-        F.col(f"`{stratum}`").alias("_stratum"),
-        F.xxhash64(F.lit(seed), F.col(f"`{key}`").cast("string")).alias("_hash"),
-        ties[0].alias("_tie"),
-    )
+    # Rows are carried as one column, so that their names meet none used here; rows that share a
+    # key are told apart by all that they hold.
+    keyed = docs.select(
+        packed(docs, "shard", "slot").alias("row"),
+        F.col(f"`{stratum}`").alias("stratum"),
+        F.xxhash64(F.lit(seed), F.col(f"`{key}`").cast("string")).alias("hash"),
+    ).withColumn("tie", F.xxhash64("row"))
     first = running(
         scratch,
         keyed,
         "by-stratum",
-        [F.col("_stratum").asc_nulls_last(), F.col("_hash"), F.col("_tie")],
+        [F.col("stratum").asc_nulls_last(), F.col("hash"), F.col("tie")],
         F.lit(1),
     )
-    sizes = scratch.write(keyed.groupBy("_stratum").agg(F.count(F.lit(1)).alias("_size")), "sizes")
+    sizes = scratch.write(keyed.groupBy("stratum").agg(F.count(F.lit(1)).alias("_size")), "sizes")
     total = sizes.agg(F.sum("_size")).first()[0] or 0
-    base = Window.orderBy(F.col("_stratum").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
+    base = Window.orderBy(F.col("stratum").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
     # One row per stratum.
     bases = sizes.select(
-        F.col("_stratum").alias("_s"),
+        F.col("stratum").alias("of"),
         "_size",
         F.coalesce(F.sum("_size").over(base), F.lit(0)).alias("_base"),
     )
     ranked = (
         first.drop("before")
-        .join(bases, F.col("_stratum").eqNullSafe(F.col("_s")))
+        .join(bases, F.col("stratum").eqNullSafe(F.col("of")))
         .withColumn("_share", (F.col("position") - F.col("_base") + F.lit(0.5)) / F.col("_size"))
-        .drop("_s", "_size", "_base", "position")
+        .drop("of", "_size", "_base", "position")
     )
     spread = running(
         scratch,
         ranked,
         "interleaved",
-        [F.col("_share"), F.col("_hash"), F.col("_tie"), F.col("_stratum")],
+        [F.col("_share"), F.col("hash"), F.col("tie"), F.col("stratum")],
         F.lit(1),
     )
     scratch.drop("by-stratum", "sizes")
@@ -78,5 +75,5 @@ def shard(
     return (
         spread.withColumn("shard", cut)
         .withColumn("slot", F.col("position") - start)
-        .select(*[F.col(f"`{c}`") for c in columns], "shard", "slot")
+        .select("row.*", "shard", "slot")
     )

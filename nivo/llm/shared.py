@@ -96,6 +96,12 @@ def running(scratch: Scratch, df: DataFrame, name: str, order: list[Column], val
     )
 
 
+def packed(df: DataFrame, *without: str) -> Column:
+    """All columns in one struct, but those that a result replaces."""
+    out = {name.lower() for name in without}
+    return F.struct(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in out])
+
+
 def lower_ascii(text: Column) -> Column:
     """A-Z lower-cased and nothing else; pure ASCII texts take the fast way."""
     upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"

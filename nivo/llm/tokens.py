@@ -12,7 +12,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nivo.llm.shared import workers_find_package
+from nivo.llm.shared import packed, workers_find_package
 
 #: Bytes a lockstep row covers before it ends with its word, and the length from which a row is walked alone.
 STRIDE = 256
@@ -187,10 +187,8 @@ def count_tokens(docs: DataFrame, path: str, text: Column | None = None) -> Data
     """
     body = F.col("text") if text is None else text
     count = counter(docs.sparkSession, path)
-    plain = docs.drop("n_bytes", "n_words", "n_tokens")
-    return docs.withColumn("_count", count(body)).select(
-        *[F.col(f"`{c}`") for c in plain.columns],
+    return docs.select(
+        packed(docs, "n_bytes", "n_words", "n_tokens").alias("row"),
         F.coalesce(F.octet_length(body), F.lit(0)).cast("long").alias("n_bytes"),
-        "_count.n_words",
-        "_count.n_tokens",
-    )
+        count(body).alias("found"),
+    ).select("row.*", "n_bytes", "found.n_words", "found.n_tokens")
