@@ -135,10 +135,11 @@ def mix(
             lambda place: place <= last,
         )
         turns = F.coalesce(F.size(within), F.lit(0))
-    return queued.select(
-        "row.*",
+    results = queued.select(
+        "row",
         F.col("_size").alias("size"),
         "source_size",
         "target",
         F.when(F.col("_size") > 0, turns).otherwise(0).alias("taken"),
     )
+    return results.select("row.*", "size", "source_size", "target", "taken")
