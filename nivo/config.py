@@ -98,10 +98,8 @@ METRES_PER_DEG_LAT = 111_000
 METRES_PER_DEG_LON = 85_000
 CELL_AREA_M2 = 900
 BASE_SCALE_M = 30
-MAX_CELLS = 50_000
 HIGH_QUALITY = 0.9
 HIGH_SUSCEPTIBILITY = 0.6
-FULL_SAMPLING_KM2 = 100
 
 # --- Fixed values: score weights ---------------------------------------------------------
 

@@ -70,26 +70,64 @@ def danger_scale(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([tuple(r[c] for c in columns) for r in config.DANGER_SCALE], schema)
 
 
+#: Places over which the values of one bucket are dealt for the join.
+SALTS = 8
+
+
 def lookup_band(df: DataFrame, value_col: str, bands: DataFrame, bucket: float = 500) -> DataFrame:
     """Left join each value to the row of ``bands(band, low, high)`` whose interval holds it.
 
-    Intervals and values meet on a shared bucket number, so this is an equi-join of any
-    size: Catalyst broadcasts the bands when they are small and shuffles both sides when
-    they are not. A disjoint band table gives one row per input row.
+    A NULL or infinite bound is open. Intervals and values meet on a shared bucket number, so this
+    is an equi-join of any size: Catalyst broadcasts the bands when they are small and shuffles
+    both sides when they are not, the rows of a bucket over ``SALTS`` places. Bands are
+    laid out over the buckets of the values that occur, so one that reaches far takes no more rows than these. A
+    disjoint band table gives one row per input row.
     """
     width = F.lit(float(bucket))
-    last_bucket = (F.ceil(F.col("high") / width) - 1).cast("bigint")
-    first_bucket = F.floor(F.col("low") / width).cast("bigint")
-    reach = bands.where(F.col("low") < F.col("high")).select(
-        F.col("band").alias("_band"),
-        F.col("low").alias("_low"),
-        F.col("high").alias("_high"),
-        F.explode(F.sequence(first_bucket, last_bucket)).alias("_bucket"),
-    )
     value = F.col(value_col)
+
+    def bucket_of(number: Column) -> Column:
+        return F.floor(number / width).cast("bigint")
+
+    finite = F.when(~F.isnan(value.cast("double")) & (F.abs(value.cast("double")) < float("inf")), value)
+    present = df.select(bucket_of(finite).alias("_bucket")).where("_bucket is not null").distinct()
+    low = F.coalesce(F.col("low").cast("double"), F.lit(float("-inf")))
+    high = F.coalesce(F.col("high").cast("double"), F.lit(float("inf")))
+    limits = present.agg(F.struct(F.min("_bucket").alias("least"), F.max("_bucket").alias("most"))).scalar()
+
+    def clamped(number: Column) -> Column:
+        return F.greatest(limits["least"], F.least(limits["most"], number))
+
+    def edge(bound: Column) -> Column:
+        """Bucket of a bound; a bound beyond all buckets is one before or after them."""
+        before, after = limits["least"] - 1, limits["most"] + 1
+        return (
+            F.when(bound / width < before.cast("double"), before)
+            .when(bound / width > after.cast("double"), after)
+            .otherwise(bucket_of(bound))
+        )
+
+    reach = (
+        bands.select(F.col("band").alias("_band"), low.alias("_low"), high.alias("_high"))
+        .where("_low < _high")
+        .select(
+            "*",
+            F.when(
+                (edge(F.col("_high")) >= limits["least"]) & (edge(F.col("_low")) <= limits["most"]),
+                F.sequence(clamped(edge(F.col("_low"))), clamped(edge(F.col("_high")))),
+            ).alias("_reach"),
+        )
+        .select("_band", "_low", "_high", F.explode("_reach").alias("_bucket"))
+        .withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    )
+    dealt = df.withColumn("_own", bucket_of(finite)).withColumn(
+        "_place", F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]), F.lit(SALTS)).cast("int")
+    )
     hit = (
-        (F.floor(value / width).cast("bigint") == F.col("_bucket"))
+        (F.col("_own") == F.col("_bucket"))
+        & (F.col("_place") == F.col("_salt"))
         & (value >= F.col("_low"))
         & (value < F.col("_high"))
     )
-    return df.join(reach, hit, "left").withColumnRenamed("_band", "band").drop("_low", "_high", "_bucket")
+    joined = dealt.join(reach, hit, "left").withColumnRenamed("_band", "band")
+    return joined.drop("_low", "_high", "_bucket", "_salt", "_own", "_place")

@@ -84,9 +84,8 @@ Zonas a evitar:
 
 {RULE}
 
-Este boletín ha sido generado automáticamente por el Sistema de
-Predicción de Avalanchas de Chile. Para más información contactar
-a las autoridades locales de seguridad en montaña.
+Este boletín ha sido generado automáticamente. Para más información
+contactar a las autoridades locales de seguridad en montaña.
 
 Próxima actualización: {{valid_from}}
 """

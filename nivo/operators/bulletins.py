@@ -10,7 +10,6 @@ from nivo.functions.numbers import fixed
 from nivo.operators import frames
 
 HIGH_RISK_LEVEL = 3
-TEXT_FACTORS = 5
 
 
 def _lines(items: Column) -> Column:
@@ -134,7 +133,7 @@ def render(aggregated: DataFrame) -> DataFrame:
     def factor_line(factor: Column, i: Column) -> Column:
         return F.concat(F.lit("  "), (i + 1).cast("string"), F.lit(". "), factor, F.lit("\n"))
 
-    factors = F.slice("factors", 1, TEXT_FACTORS)
+    factors = F.col("factors")
     names = F.transform("bands", lambda b: b["elevation_band"])
     listed, some = F.array_join("high_risk_bands", ", "), F.size("high_risk_bands") > 0
     level = F.col("eaws_level")

@@ -6,7 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from nivo.config import HIGH_SUSCEPTIBILITY, BBox
-from nivo.operators.frames import newest_per_key
+
+
+#: Places over which the rows of one bucket are dealt for a join.
+SALTS = 8
 
 
 def inside(bbox: BBox, lat: str = "latitude", lon: str = "longitude") -> Column:
@@ -18,11 +21,13 @@ def in_bbox(df: DataFrame, bbox: BBox) -> DataFrame:
     return df.where(inside(bbox))
 
 
-def assign_zone(points: DataFrame, zones: DataFrame, key: str, bucket: float = 0.1) -> DataFrame:
+def assign_zone(points: DataFrame, zones: DataFrame, bucket: float = 0.1) -> DataFrame:
     """Add ``zone_name``, the zone whose box (zone_name, south, north, west, east) holds the point.
 
-    Points in several boxes get the first zone by name, points in none NULL. Boxes and
-    points meet on shared grid buckets of ``bucket`` degrees, so this is an equi-join.
+    Points in several boxes get the first zone by name, points in none NULL; no point is lost or
+    doubled. The boxes that reach a grid bucket of ``bucket`` degrees are gathered on its row, so each point meets
+    one row at most, and the zone is picked inside the row. A bucket's row is dealt to ``SALTS``
+    places, and so are the points of a popular bucket.
     """
 
     def bucket_of(degrees: str) -> Column:
@@ -31,17 +36,31 @@ def assign_zone(points: DataFrame, zones: DataFrame, key: str, bucket: float = 0
     def reach(low: str, high: str) -> Column:
         return F.explode(F.sequence(bucket_of(low), bucket_of(high)))
 
-    boxes = zones.select("*", reach("south", "north").alias("_lat")).select(
-        "zone_name", "south", "north", "west", "east", "_lat", reach("west", "east").alias("_lon")
+    box = F.struct("zone_name", "south", "north", "west", "east")
+    boxes = (
+        zones.select("*", reach("south", "north").alias("_lat"))
+        .select(box.alias("box"), "_lat", reach("west", "east").alias("_lon"))
+        .groupBy("_lat", "_lon")
+        .agg(F.collect_list("box").alias("_boxes"))
+        .withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    )
+    lat, lon = F.col("latitude"), F.col("longitude")
+    dealt = points.withColumns(
+        {
+            "_lat": bucket_of("latitude"),
+            "_lon": bucket_of("longitude"),
+            "_salt": F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in points.columns]), F.lit(SALTS)).cast("int"),
+        }
+    )
+    holding = F.filter(
+        "_boxes", lambda b: lat.between(b["south"], b["north"]) & lon.between(b["west"], b["east"])
     )
-    holds = (
-        (bucket_of("latitude") == F.col("_lat"))
-        & (bucket_of("longitude") == F.col("_lon"))
-        & F.col("latitude").between(F.col("south"), F.col("north"))
-        & F.col("longitude").between(F.col("west"), F.col("east"))
+    first = F.array_min(F.transform(holding, lambda b: b["zone_name"]))
+    return (
+        dealt.join(boxes, ["_lat", "_lon", "_salt"], "left")
+        .withColumn("zone_name", first)
+        .drop("_boxes", "_lat", "_lon", "_salt")
     )
-    joined = points.join(boxes, holds, "left").drop("south", "north", "west", "east", "_lat", "_lon")
-    return newest_per_key(joined, [key], [F.asc("zone_name")])
 
 
 def filter_or_all(df: DataFrame, predicate: Column) -> DataFrame:

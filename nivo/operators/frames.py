@@ -53,10 +53,12 @@ def histogram(df: DataFrame, col: str, bins: int = 50) -> DataFrame:
     limits = df.agg(F.min(col).cast("double").alias("lo"), F.max(col).cast("double").alias("hi"))
     constant = F.col("lo") == F.col("hi")
     limits = limits.select(
-        F.when(constant, F.col("lo") - 0.5).otherwise(F.col("lo")).alias("lo"),
-        F.when(constant, F.col("hi") + 0.5).otherwise(F.col("hi")).alias("hi"),
-    )
-    low, high = limits.select("lo").scalar(), limits.select("hi").scalar()
+        F.struct(
+            F.when(constant, F.col("lo") - 0.5).otherwise(F.col("lo")).alias("lo"),
+            F.when(constant, F.col("hi") + 0.5).otherwise(F.col("hi")).alias("hi"),
+        )
+    ).scalar()
+    low, high = limits["lo"], limits["hi"]
     width = (high - low) / bins
     value = F.col(col).cast("double")
     guess = F.least(F.floor((value - low) / width), F.lit(bins - 1)).cast("int")
@@ -76,30 +78,28 @@ def histogram(df: DataFrame, col: str, bins: int = 50) -> DataFrame:
         .groupBy("bin")
         .agg(F.count("*").alias("count"))
     )
-    step = (F.col("hi") - F.col("lo")) / bins
-    spine = limits.where("lo is not null").select(
-        "lo", "hi", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin")
-    )
-    return spine.join(counts, "bin", "left").select(
-        "bin",
-        (F.col("lo") + F.col("bin") * step).alias("bin_start"),
-        F.when(F.col("bin") == bins - 1, F.col("hi"))
-        .otherwise(F.col("lo") + (F.col("bin") + 1) * step)
-        .alias("bin_end"),
-        F.coalesce("count", F.lit(0)).alias("count"),
+    spine = df.sparkSession.range(bins).select(F.col("id").cast("int").alias("bin"))
+    return (
+        spine.join(counts, "bin", "left")
+        .where(low.isNotNull())
+        .select(
+            "bin",
+            (low + F.col("bin") * width).alias("bin_start"),
+            F.when(F.col("bin") == bins - 1, high)
+            .otherwise(low + (F.col("bin") + 1) * width)
+            .alias("bin_end"),
+            F.coalesce("count", F.lit(0)).alias("count"),
+        )
     )
 
 
-def sample_to(
-    df: DataFrame, max_rows: int, seed: int = 0, keys: list[str] | None = None, fraction: float = 0.1
-) -> DataFrame:
-    """Bernoulli sample with probability ``min(fraction, max_rows / rows)``.
+def sample(df: DataFrame, fraction: float, seed: int = 0, keys: list[str] | None = None) -> DataFrame:
+    """Bernoulli sample: each row with probability ``fraction``, whatever the table's size.
 
     Each row is kept or not by a digest of its key columns (all columns by default), so a
-    recomputed task keeps the same rows, and the row count is a scalar subquery.
+    recomputed task keeps the same rows.
     """
     names = keys or df.columns
     digest = F.md5(F.concat_ws("~", F.lit(str(seed)), *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in names]))
     draw = F.conv(F.substring(digest, 1, 8), 16, 10).cast("double") / float(2**32)
-    rows = df.agg(F.count("*")).scalar()
-    return df.where(draw < F.least(F.lit(float(fraction)), F.try_divide(F.lit(float(max_rows)), rows)))
+    return df.where(draw < float(fraction))

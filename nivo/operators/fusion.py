@@ -122,8 +122,8 @@ def score(df: DataFrame, weights: FusionWeights = config.FUSION_WEIGHTS) -> Data
     )
 
 
-def main_factors(limit: int = 5) -> Column:
-    """The first phrases, in fixed order, that describe what raises the risk of a fused row."""
+def main_factors() -> Column:
+    """All phrases, in fixed order, that describe what raises the risk of a fused row."""
     s24, s72 = F.col("max_snowfall_24h"), F.col("max_snowfall_72h")
     swing, wind = F.col("max_temp_variation"), F.col("max_wind_speed")
     events, fired = F.col("total_avalanche_mentions"), F.col("critical_trigger_count")
@@ -142,9 +142,7 @@ def main_factors(limit: int = 5) -> Column:
         phrase(fired > 0, "", fired.cast("string"), " condición(es) gatillante(s)"),
     ]
     found = F.array_compact(F.array(*phrases))
-    return F.when(F.size(found) > 0, F.slice(found, 1, limit)).otherwise(
-        F.array(F.lit("Condiciones normales"))
-    )
+    return F.when(F.size(found) > 0, found).otherwise(F.array(F.lit("Condiciones normales")))
 
 
 def predictions(scored: DataFrame, forecast_date: dt.date | Column) -> DataFrame:

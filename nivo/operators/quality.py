@@ -94,9 +94,10 @@ def check_range(df: DataFrame, col: str, low: float = 0.0, high: float = 1.0) ->
 
 def enforce(checks: DataFrame) -> None:
     """Raise if an error-level check failed (a check table has a dozen rows)."""
-    failed = checks.where("severity = 'error' and not passed").limit(100).collect()
+    name = F.concat(F.col("check"), F.lit(" ("), F.coalesce(F.col("value").cast("string"), F.lit("NULL")), F.lit(")"))
+    failed = checks.where("severity = 'error' and not passed").agg(F.collect_list(name)).first()[0]
     if failed:
-        raise ValueError("checks failed: " + ", ".join(f"{r['check']} ({r['value']})" for r in failed))
+        raise ValueError("checks failed: " + ", ".join(sorted(failed)))
 
 
 def quality_metrics(cells: DataFrame, threshold: float = HIGH_QUALITY) -> DataFrame:

@@ -68,10 +68,6 @@ def box_area(south: Column, north: Column, west: Column, east: Column) -> Column
     return F.abs(north - south) * F.abs(east - west) * 111 * 85
 
 
-def sampling_strategy(area_km2: Column, limit: float = config.FULL_SAMPLING_KM2) -> Column:
-    return F.when(area_km2 < limit, "full").otherwise("adaptive")
-
-
 def distance_km(lat: Column, lon: Column, lat0: float | Column, lon0: float | Column) -> Column:
     """Distance to a centre with fixed 111 and 85 km per degree."""
     north, east = (lat - lat0) * 111, (lon - lon0) * 85
@@ -86,22 +82,18 @@ def mask_elevation(cells: DataFrame, min_m: float = config.MIN_ELEVATION_M) -> D
     return cells.where(F.col("elevation") >= min_m)
 
 
-def thin(
-    cells: DataFrame, max_cells: int = config.MAX_CELLS, base_scale: float = config.BASE_SCALE_M
-) -> DataFrame:
-    """Keep every k-th row and column of zones with more than ``max_cells`` cells.
+def coarsen(cells: DataFrame, factor: int, base_scale: float = config.BASE_SCALE_M) -> DataFrame:
+    """A grid ``factor`` times as coarse: each block of ``factor`` by ``factor`` cells becomes one.
 
-    ``k = int(sqrt(n / max_cells))`` per zone; ``scale`` becomes ``base_scale * k`` and
-    ``thin_factor`` holds k, which :func:`gradient` takes as its step.
+    Position and elevation are the means of the block's cells, so that every cell counts;
+    ``n_cells`` holds how many there were, and ``scale`` becomes ``base_scale * factor``.
     """
-    sizes = cells.groupBy("zone_name").agg(F.count("*").alias("_n"))
-    factor = F.when(F.col("_n") <= max_cells, 1).otherwise(F.floor(F.sqrt(F.col("_n") / max_cells)).cast("int"))
-    sizes = sizes.select("zone_name", factor.alias("thin_factor"))
-    k = F.col("thin_factor")
+    block = [F.floor(F.col(name) / factor).cast("int").alias(name) for name in ("row", "col")]
+    means = [F.avg(name).alias(name) for name in ("latitude", "longitude", "elevation")]
     return (
-        cells.join(sizes, "zone_name")
-        .where((F.col("row") % k == 0) & (F.col("col") % k == 0))
-        .withColumn("scale", (k * base_scale).cast("double"))
+        cells.groupBy("zone_name", *block)
+        .agg(*means, F.count(F.lit(1)).alias("n_cells"))
+        .withColumn("scale", F.lit(float(base_scale * factor)))
     )
 
 
@@ -120,7 +112,7 @@ def gradient(
 
     Central differences, one-sided where a neighbour is missing (grid edge, masked or
     NULL), NULL where both are. ``dx`` and ``dy`` are the metres between neighbours,
-    ``step`` the index distance between them (the thinning factor).
+    ``step`` the index distance between them.
     ``method="horn"`` uses the 3x3 weighted form where all eight neighbours exist.
 
     Cells are grouped in square tiles and the few cells on a tile's border are copied to
@@ -390,15 +382,24 @@ def susceptibility_table(cells: DataFrame, version: str = "v1", data_source: str
     )
 
 
+#: Places over which the cells of one zone and band are dealt for the join of the map.
+SALTS = 16
+
+
 def susceptibility_map(cells: DataFrame, table: DataFrame) -> DataFrame:
     """Every feature cell with the score and risk category of its zone and band.
 
     The table has one row per zone and band. Read it from storage, as ``plans.run`` does,
-    and Catalyst knows its size: small ones are broadcast and the cells stay in place.
+    and Catalyst knows its size: small ones are broadcast and the cells stay in place. Where it is
+    shuffled, each of its rows goes to ``SALTS`` places and the cells of a zone and band are
+    dealt over these.
     """
     second = "gee_quality_flag" in cells.columns
     columns = ["susceptibility_score"] + (["data_source"] if "data_source" in table.columns else [])
-    joined = cells.join(table.select(*ZONE_BAND, *columns), ZONE_BAND, "left")
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+    spread = table.select(*ZONE_BAND, *columns, salts.alias("_salt"))
+    dealt = cells.withColumn("_salt", F.pmod(F.xxhash64("feature_id"), F.lit(SALTS)).cast("int"))
+    joined = dealt.join(spread, [*ZONE_BAND, "_salt"], "left")
     extra = ["gee_quality_flag"] if second else []
     return joined.select(
         keys.grid_id(F.col("feature_id"), 5 if second else 6).alias("grid_id"),

@@ -176,11 +176,11 @@ CTES["masked"] = ("cells",), """SELECT * FROM cells WHERE latitude BETWEEN -33.4
     AND longitude BETWEEN -70.32::DOUBLE AND -70.296::DOUBLE AND elevation >= 2000"""
 CTES["masked_gradients"] = ("masked",), _gradients("masked")
 CTES["masked_slopes"] = ("masked_gradients",), _slope_aspect("masked_gradients")
-CTES["thinned"] = ("cells",), """SELECT c.* EXCLUDE (scale), k * 60::DOUBLE AS scale, k AS thin_factor
-FROM cells c JOIN (SELECT zone_name, CASE WHEN count(*) <= 400 THEN 1
-    ELSE CAST(floor(sqrt(count(*) / 400)) AS INTEGER) END AS k FROM cells GROUP BY 1) USING (zone_name)
-WHERE "row" % k = 0 AND col % k = 0"""
-CTES["thinned_gradients"] = ("thinned",), _gradients("thinned", "c.scale", "c.thin_factor")
+CTES["thinned"] = ("cells",), """SELECT zone_name, CAST(floor("row" / 2) AS INTEGER) AS "row",
+    CAST(floor(col / 2) AS INTEGER) AS col, avg(latitude) AS latitude, avg(longitude) AS longitude,
+    avg(elevation) AS elevation, 120::DOUBLE AS scale, CAST(count(*) AS BIGINT) AS n_cells
+FROM cells GROUP BY 1, 2, 3"""
+CTES["thinned_gradients"] = ("thinned",), _gradients("thinned", "120::DOUBLE")
 CTES["thinned_slopes"] = ("thinned_gradients",), _slope_aspect("thinned_gradients")
 
 _EIGHT = {"sw": (-1, -1), "s": (-1, 0), "se": (-1, 1), "w": (0, -1), "e": (0, 1), "nw": (1, -1), "n": (1, 0), "ne": (1, 1)}
@@ -333,7 +333,7 @@ FROM (SELECT *, CASE WHEN risk_score < 0.2 THEN 1 WHEN risk_score < 0.4 THEN 2 W
         CASE WHEN max_wind_speed >= 50 THEN 'Viento fuerte (' || printf('%.0f', max_wind_speed) || ' km/h)' END,
         CASE WHEN total_avalanche_mentions > 0 THEN 'Historial de ' || total_avalanche_mentions || ' evento(s)' END,
         CASE WHEN critical_trigger_count > 0 THEN critical_trigger_count || ' condición(es) gatillante(s)' END
-    ] IF f IS NOT NULL][1:5] AS found
+    ] IF f IS NOT NULL] AS found
 FROM (SELECT *, greatest(0::DOUBLE, least(1::DOUBLE, topo_contribution + weather_contribution + nlp_contribution)) AS risk_score
 FROM (SELECT *, topo_score * 0.35::DOUBLE AS topo_contribution, weather_score_raw * 0.45::DOUBLE AS weather_contribution,
     nlp_score_adjusted * 0.2::DOUBLE AS nlp_contribution
@@ -409,7 +409,7 @@ CTES["bulletins"] = ("ranked", "factor_lists"), f"""SELECT *,
         CASE WHEN {_factor_like("pendiente")} THEN 'Terreno crítico' END] IF p IS NOT NULL] AS tags,
     CASE WHEN risky <> '' THEN risky ELSE 'Todas las elevaciones' END AS affected_elevations,
     {_attribute("eaws_level", "recommendations")} AS recommendations,
-    issue_date + 1 AS valid_from, issue_date + 2 AS valid_to, factors[1:5] AS five
+    issue_date + 1 AS valid_from, issue_date + 2 AS valid_to, factors AS five
 FROM (SELECT *, {_attribute("eaws_level", "label")} AS eaws_label
 FROM (SELECT zone_name, forecast_date AS issue_date, max(eaws_level) AS eaws_level,
         coalesce(string_agg(elevation_band, ', ' ORDER BY place) FILTER (eaws_level >= 3), '') AS risky,
@@ -554,7 +554,7 @@ _select("report_sorts", "zone_name elevation_band ~susceptibility_score ~avg_slo
         "ORDER BY 3 DESC")
 _oracle("sample_to", """SELECT zone_name, "row", col FROM cells
     WHERE ('0x' || substr(md5('7~' || zone_name || '~' || "row" || '~' || col), 1, 8))::BIGINT / 4294967296::DOUBLE
-        < least(0.1::DOUBLE, 1000::DOUBLE / (SELECT count(*) FROM cells))""", "cells")
+        < 0.1::DOUBLE""", "cells")
 _oracle("threshold_filters", """SELECT 'susceptibility' AS filter, zone_id AS id FROM susceptibility
         WHERE susceptibility_score >= 0.5
     UNION ALL SELECT 'reports', pattern_id FROM patterns WHERE avalanche_events > 0 OR confidence >= 0.5
@@ -573,15 +573,14 @@ _oracle("grid_make", """SELECT zone_name, "row", col, round(latitude, 6) + 0.0 A
     FROM (SELECT *, CAST(unnest(range(CAST(ceil((north - south) / 0.0006::DOUBLE) AS BIGINT))) AS INTEGER) AS "row"
     FROM (SELECT zone_name, min(latitude) AS south, max(latitude) + 0.0003::DOUBLE AS north, min(longitude) AS west,
           max(longitude) + 0.0003::DOUBLE AS east FROM cells GROUP BY 1))))""", "cells")
-_oracle("box_areas", """SELECT zone_name, round(area, 6) + 0.0 AS area_km2,
-    CASE WHEN area < 5 THEN 'full' ELSE 'adaptive' END AS strategy
+_oracle("box_areas", """SELECT zone_name, round(area, 6) + 0.0 AS area_km2
     FROM (SELECT zone_name, (max(latitude) - min(latitude)) * (max(longitude) - min(longitude)) * 111 * 85 AS area
           FROM cells GROUP BY 1)""", "cells")
 _SLOPES = 'zone_name "row" col ~slope_degrees ~aspect_degrees'
 _select("terrain_slope_aspect", _SLOPES, "slopes")
 _select("terrain_horn_compass", _SLOPES, "horn_slopes")
 _select("terrain_masked", _SLOPES, "masked_slopes")
-_select("terrain_thin", 'zone_name "row" col ~scale thin_factor ~slope_degrees', "thinned_slopes")
+_select("terrain_thin", 'zone_name "row" col ~scale n_cells ~slope_degrees', "thinned_slopes")
 _CELL = """feature_id ~latitude ~longitude elevation ~slope_degrees ~aspect_degrees elevation_band is_critical_slope
     zone_name"""
 _select("terrain_features", _CELL, "cells_v1")

@@ -26,7 +26,6 @@ from nivo import (
 )
 from nivo.config import BBox
 from nivo.plans import testdata as td
-from nivo.sources.staging import spread, stage
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -76,7 +75,7 @@ def _susceptibility(spark, d):
 
 
 def _reports(spark, d):
-    return spread(td.reports(spark, d), "route_id")
+    return td.reports(spark, d)
 
 
 def _patterns(spark, d):
@@ -89,8 +88,8 @@ def _topo(spark, d):
 
 
 def _weather_tables(spark, d):
-    """Feature table and triggers, both made from one written feature frame."""
-    rows = stage(_features(spark, d))
+    """Feature table and triggers."""
+    rows = _features(spark, d)
     return weather.feature_table(rows), weather.detect_triggers(rows)
 
 
@@ -143,7 +142,7 @@ def zone_assign(spark, d):
         (F.lit(-70.34) + shift).alias("east"),
     )
     reports = td.reports(spark, d).drop("zone_name", "description")
-    return filters.assign_zone(reports, zones, "route_id").select("route_id", "zone_name")
+    return filters.assign_zone(reports, zones).select("route_id", "zone_name")
 
 
 @_register
@@ -274,7 +273,7 @@ def report_sorts(spark, d):
 @_register
 def sample_to(spark, d):
     cells = td.cells(spark, d).select("zone_name", "row", "col")
-    return frames.sample_to(cells, 1000, seed=7, keys=["zone_name", "row", "col"])
+    return frames.sample(cells, 0.1, seed=7, keys=["zone_name", "row", "col"])
 
 
 @_register
@@ -328,9 +327,7 @@ def box_areas(spark, d):
         F.max("longitude").alias("east"),
     )
     area = terrain.box_area(F.col("south"), F.col("north"), F.col("west"), F.col("east"))
-    return rounded(
-        boxes.select("zone_name", area.alias("area_km2"), terrain.sampling_strategy(area, 5).alias("strategy"))
-    )
+    return rounded(boxes.select("zone_name", area.alias("area_km2")))
 
 
 @_register
@@ -364,11 +361,9 @@ def terrain_masked(spark, d):
 
 @_register
 def terrain_thin(spark, d):
-    thinned = terrain.thin(td.cells(spark, d), max_cells=400, base_scale=td.CELL_M)
-    steep = terrain.gradient(thinned, F.col("scale"), F.col("scale"), step=F.col("thin_factor"))
-    return rounded(
-        terrain.slope(steep).select("zone_name", "row", "col", "scale", "thin_factor", "slope_degrees")
-    )
+    coarse = terrain.coarsen(td.cells(spark, d), 2, base_scale=td.CELL_M)
+    steep = terrain.gradient(coarse, F.col("scale"), F.col("scale"))
+    return rounded(terrain.slope(steep).select("zone_name", "row", "col", "scale", "n_cells", "slope_degrees"))
 
 
 @_register
@@ -416,19 +411,19 @@ def dominant_aspect_circular(spark, d):
 
 @_register
 def susceptibility_map(spark, d):
-    cells = stage(_cells_v1(spark, d))
+    cells = _cells_v1(spark, d)
     return rounded(terrain.susceptibility_map(cells, terrain.susceptibility_table(cells, "v1")))
 
 
 @_register
 def susceptibility_map_v2(spark, d):
-    cells = terrain.keep_quality(stage(_cells_v2(spark, d)))
+    cells = terrain.keep_quality(_cells_v2(spark, d))
     return rounded(terrain.susceptibility_map(cells, terrain.susceptibility_table(cells, "v2")))
 
 
 @_register
 def risk_distribution(spark, d):
-    cells = stage(_cells_v1(spark, d))
+    cells = _cells_v1(spark, d)
     mapped = terrain.susceptibility_map(cells, terrain.susceptibility_table(cells, "v1"))
     return frames.distribution(mapped, "risk_category", count_name="pixel_count")
 
@@ -440,7 +435,7 @@ def terrain_summary(spark, d):
 
 @_register
 def slope_histogram(spark, d):
-    return rounded(frames.histogram(stage(td.slopes(spark, d)), "slope_degrees", 50))
+    return rounded(frames.histogram(td.slopes(spark, d), "slope_degrees", 50))
 
 
 # --- Text --------------------------------------------------------------------------------
@@ -610,7 +605,7 @@ def snowfall_summary(spark, d):
 
 @_register
 def weather_summary(spark, d):
-    rows = stage(_features(spark, d))
+    rows = _features(spark, d)
     return rounded(weather.summary(rows, weather.detect_triggers(rows)))
 
 

@@ -12,7 +12,6 @@ from pyspark.sql.types import StructType
 from nivo import bulletins, config, contracts, frames, fusion, quality, sinks, sources, terrain, text
 from nivo import validation as scoring
 from nivo import weather
-from nivo.sources.staging import spread, stage
 
 
 @dataclass(frozen=True)
@@ -81,16 +80,38 @@ def build_terrain(layers: Layers, inputs: Inputs) -> None:
 
 def build_text(layers: Layers, inputs: Inputs) -> None:
     zone = F.col("zone_name") if "zone_name" in inputs.reports.columns else inputs.report_zone
-    layers.write(text.patterns(spread(inputs.reports, "route_id"), zone), "nlp_risk_patterns")
+    layers.write(text.patterns(inputs.reports, zone), "nlp_risk_patterns")
+
+
+def _merged(layers: Layers, new: DataFrame, table: str, replaced: DataFrame) -> DataFrame:
+    """The rows of a month-partitioned table with those of the ``replaced`` locations and dates renewed.
+
+    Only the months that the run touches are read and written again; other months, and other
+    locations of the same months, stay as they are.
+    """
+    schema = contracts.LAYERS["silver"][table]
+    stored = layers.read(table, schema)
+    months = replaced.select(weather.month(F.col("date")).alias("month")).distinct()
+    if "month" not in stored.columns:
+        stored = stored.withColumn("month", weather.month(F.col("date")))
+    touched = stored.join(months, "month", "left_semi")
+    kept = touched.drop("month").join(replaced, ["location_name", "date"], "left_anti")
+    return kept.select(*schema.fieldNames()).unionByName(contracts.conform(new, schema))
 
 
 def build_weather(layers: Layers, inputs: Inputs, frame: str = "rows") -> None:
-    rows = stage(weather.features(inputs.daily, frame))
+    """Features and triggers; rows of the locations and dates in the run replace the stored ones."""
+    rows = weather.features(inputs.daily, frame)
+    days = inputs.daily.select("location_name", "date").distinct()
     monthly = sinks.by_month("date")
-    layers.write(weather.feature_table(rows), "weather_features", partition_by=monthly)
-    layers.write(
-        weather.detect_triggers(rows), "weather_triggers", partition_by=monthly, require_rows=False
-    )
+    for df, table in ((weather.feature_table(rows), "weather_features"), (weather.detect_triggers(rows), "weather_triggers")):
+        layers.write(
+            _merged(layers, df, table, days),
+            table,
+            mode="replace_partitions",
+            partition_by=monthly,
+            require_rows=table == "weather_features",
+        )
 
 
 def _evidence(layers: Layers) -> tuple[DataFrame, DataFrame]:
@@ -100,7 +121,7 @@ def _evidence(layers: Layers) -> tuple[DataFrame, DataFrame]:
 def build_predictions(layers: Layers, as_of: dt.date | None = None) -> DataFrame:
     """Predictions for one date, by default the newest of the weather features.
 
-    They replace those of the same date, so running twice changes nothing.
+    They replace those of the same zone and date, so running twice changes nothing.
     """
     features, triggers = layers.read("weather_features"), layers.read("weather_triggers")
     topo, nlp = _evidence(layers)
@@ -110,20 +131,24 @@ def build_predictions(layers: Layers, as_of: dt.date | None = None) -> DataFrame
         fusion.predictions(fusion.score(fused), date),
         "avalanche_predictions",
         mode="replace_partitions",
-        partition_by=("forecast_date",),
+        partition_by=("forecast_date", "zone_name"),
     )
 
 
-def build_bulletins(layers: Layers, text_files: bool = False) -> DataFrame:
-    newest = frames.latest(layers.read("avalanche_predictions"), "forecast_date")
+def build_bulletins(layers: Layers, text_files: bool = False, as_of: dt.date | None = None) -> DataFrame:
+    """Bulletins for the predictions of one date, by default the newest."""
+
+    def asked(df: DataFrame, column: str) -> DataFrame:
+        return df.where(F.col(column) == F.lit(as_of)) if as_of else frames.latest(df, column)
+
     records = layers.write(
-        bulletins.records(bulletins.aggregate(newest)),
+        bulletins.records(bulletins.aggregate(asked(layers.read("avalanche_predictions"), "forecast_date"))),
         "avalanche_bulletins",
         mode="replace_partitions",
-        partition_by=("issue_date",),
+        partition_by=("issue_date", "zone_name"),
     )
     if text_files:
-        sinks.write_text(frames.latest(records, "issue_date"), f"{layers.root}/boletines", ("zone_name", "issue_date"))
+        sinks.write_text(asked(records, "issue_date"), f"{layers.root}/boletines", ("zone_name", "issue_date"))
     return records
 
 
@@ -151,7 +176,7 @@ def run(
     if inputs.daily is not None:
         build_weather(layers, inputs)
         build_predictions(layers, as_of)
-        build_bulletins(layers, text_files)
+        build_bulletins(layers, text_files, as_of)
         if inputs.observed is not None:
             build_validation(layers, inputs)
     names = (

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-import warnings
+import uuid
 
-from pyspark.sql import Column, DataFrame, Observation
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -28,7 +28,8 @@ def write_table(
     ``partition_by`` names columns or gives derived ones, such as the month of a date.
     With ``require_rows`` an empty frame is refused and leaves the table as it was.
 
-    Rows are counted while they are written and compared with the table afterwards. Before
+    Rows are counted while they are written, so the plan runs once. An overwrite goes to a folder
+    beside the table, which takes the table's place only when it has rows. Before
     a partitioned write Spark rebalances the rows by partition: small ones are merged,
     large ones split, so there are neither many small files nor one overloaded task.
     """
@@ -37,12 +38,10 @@ def write_table(
     derived = partition_by if isinstance(partition_by, dict) else {}
     names = list(partition_by)
     table = contracts.conform(df, schema, optional).withColumns(derived)
-    if require_rows and mode == "overwrite" and table.isEmpty():
-        raise ValueError(f"refusing to replace {path} by an empty table")
+    if names:
+        table = table.hint("rebalance", *names)
     observed = Observation()
     counted = table.observe(observed, F.count(F.lit(1)).alias("rows"))
-    if names:
-        counted = counted.hint("rebalance", *names)
     writer = counted.write.mode("append" if mode == "append" else "overwrite")
     if mode == "replace_partitions":
         if not names:
@@ -52,17 +51,37 @@ def write_table(
         writer = writer.option("partitionOverwriteMode", "static")
     if names:
         writer = writer.partitionBy(*names)
-    writer.parquet(path)
+    target = f"{path.rstrip('/')}.new-{uuid.uuid4().hex}" if mode == "overwrite" else path
+    writer.parquet(target)
     rows = observed.get["rows"]
+    files = _Files(df.sparkSession)
     if require_rows and rows == 0:
-        raise ValueError(f"nothing to write to {path}")
+        if mode == "overwrite":
+            files.delete(target)
+        raise ValueError(f"refusing to write an empty table to {path}")
     if mode == "overwrite":
-        stored = df.sparkSession.read.parquet(path).count()
-        if stored != rows:
-            warnings.warn(f"{path} holds {stored} rows, {rows} were written", stacklevel=2)
+        files.replace(target, path)
     return rows
 
 
+class _Files:
+    """Folders in whatever file system their paths name."""
+
+    def __init__(self, spark: SparkSession):
+        self._path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+        self._conf = spark.sparkContext._jsc.hadoopConfiguration()
+
+    def delete(self, path: str) -> None:
+        folder = self._path(path)
+        folder.getFileSystem(self._conf).delete(folder, True)
+
+    def replace(self, new: str, path: str) -> None:
+        self.delete(path)
+        folder = self._path(new)
+        if not folder.getFileSystem(self._conf).rename(folder, self._path(path)):
+            raise OSError(f"cannot move {new} to {path}")
+
+
 def by_month(date_col: str = "date") -> dict[str, Column]:
     """Partition by month: a partition per location and day would hold a row or two."""
     return {"month": weather.month(F.col(date_col))}

@@ -30,10 +30,10 @@ def test_assign_zone(spark):
         [("low", -33.40, -33.35, -70.40, -70.20), ("high", -33.35, -33.20, -70.40, -70.20), ("wide", -40.0, -20.0, -71.0, -70.0)],
         "zone_name string, south double, north double, west double, east double",
     )
-    found = {r["id"]: r["zone_name"] for r in filters.assign_zone(points(spark), zones, "id").collect()}
+    found = {r["id"]: r["zone_name"] for r in filters.assign_zone(points(spark), zones).collect()}
     # Borders belong to both boxes: the first by name is taken.
     assert found == {"a": "low", "b": "high", "c": "high", "d": "high", "e": None}
-    assert filters.assign_zone(points(spark), zones.limit(0), "id").where("zone_name is null").count() == 5
+    assert filters.assign_zone(points(spark), zones.limit(0)).where("zone_name is null").count() == 5
 
 
 def test_threshold_filters(spark):
@@ -82,11 +82,24 @@ def test_distribution(spark):
     assert frames.distribution(df, "c", total_pct=False).columns == ["c", "count"]
 
 
-def test_sample_is_repeatable_and_sized(spark):
+def test_assign_zone_keeps_every_point(spark):
+    zones = spark.createDataFrame(
+        [("b", 0.0, 1.0, 0.0, 1.0), ("a", 0.5, 1.0, 0.0, 1.0)],
+        "zone_name string, south double, north double, west double, east double",
+    )
+    rows = [("k", 0.6, 0.6), ("k", 0.2, 0.2), (None, 0.7, 0.1), (None, 9.0, 9.0), (None, None, 0.1), ("k", 0.6, 0.6)]
+    found = filters.assign_zone(spark.createDataFrame(rows, "id string, latitude double, longitude double"), zones)
+    got = sorted((str(r["id"]), str(r["zone_name"])) for r in found.collect())
+    assert got == [("None", "None"), ("None", "None"), ("None", "a"), ("k", "a"), ("k", "a"), ("k", "b")]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan
+
+
+def test_sample_is_repeatable_and_its_rate_fixed(spark):
     df = spark.range(20000)
-    first = {r[0] for r in frames.sample_to(df, 1000, seed=1).collect()}
-    again = {r[0] for r in frames.sample_to(df.repartition(7), 1000, seed=1).collect()}
-    other = {r[0] for r in frames.sample_to(df, 1000, seed=2).collect()}
+    first = {r[0] for r in frames.sample(df, 0.05, seed=1).collect()}
+    again = {r[0] for r in frames.sample(df.repartition(7), 0.05, seed=1).collect()}
+    other = {r[0] for r in frames.sample(df, 0.05, seed=2).collect()}
     assert first == again and first != other and 850 < len(first) < 1150
-    assert 1800 < frames.sample_to(df, 10**6, seed=1).count() < 2200
-    assert frames.sample_to(df.limit(0), 10).count() == 0
+    assert {r[0] for r in frames.sample(df.limit(2000), 0.05, seed=1).collect()} <= first
+    assert frames.sample(df.limit(0), 0.5).count() == 0

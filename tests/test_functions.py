@@ -56,6 +56,21 @@ def test_danger_scale_table(spark):
     assert collect(levels, bands.danger_attribute(F.col("v"), "color")) == ["#FF9900", None]
 
 
+def test_lookup_band_with_open_and_far_bounds(spark):
+    table = spark.createDataFrame(
+        [("low", None, 100.0), ("mid", 100.0, 900.0), ("far", 900.0, 1e300), ("never", 5.0, 5.0)],
+        "band string, low double, high double",
+    )
+    values = [-1e6, 0.0, 99.9, 100.0, 899.0, 900.0, 1e6, None] + [500.0] * 300
+    df = spark.createDataFrame(list(enumerate(values)), "i int, v double")
+    rows = {r["i"]: r["band"] for r in bands.lookup_band(df, "v", table, bucket=200).collect()}
+    expected = ["low", "low", "low", "mid", "mid", "far", "far", None] + ["mid"] * 300
+    assert [rows[i] for i in range(len(values))] == expected
+    infinite = spark.createDataFrame([("all", float("-inf"), float("inf"))], "band string, low double, high double")
+    assert bands.lookup_band(df, "v", infinite).where("band = 'all'").count() == len(values) - 1
+    assert bands.lookup_band(df.limit(0), "v", table).count() == 0
+
+
 def test_lookup_band_matches_the_expression(spark):
     table = spark.createDataFrame([(b.name, float(b.low), float(b.high)) for b in config.BANDS], "band string, low double, high double")
     rng = random.Random(1)

@@ -47,7 +47,8 @@ def test_seed_fusion(seeds):
     ]
     assert high["f"] == [
         "Pendientes críticas (1.8 km²)", "Nevada intensa (35 cm/24h)", "Nevada acumulada (85 cm/72h)",
-        "Fluctuación térmica (15°C)", "Viento fuerte (55 km/h)",
+        "Fluctuación térmica (15°C)", "Viento fuerte (55 km/h)", "Historial de 5 evento(s)",
+        "3 condición(es) gatillante(s)",
     ]
 
 
@@ -150,7 +151,7 @@ def test_bulletin(spark, seeds):
     body = record["bulletin_text"]
     assert body.startswith("\nBOLETÍN DE PELIGRO DE AVALANCHAS\nLA PARVA\n\nFecha de emisión: 01/07/2024\n")
     assert "  • Alta           : Nivel 4 - Fuerte\n  • Media-Alta     : Nivel 3 - Notable\n\n" in body
-    assert "  1. Pendientes críticas (1.8 km²)\n" in body and "  6." not in body
+    assert "  1. Pendientes críticas (1.8 km²)\n" in body and "  12. 2 condición(es) gatillante(s)\n" in body
     assert templates.ADVICE[4] in body and "Próxima actualización: 02/07/2024\n" in body
     assert "\n".join([templates.TERRAIN_PROBLEM, templates.SNOW_PROBLEM, templates.WET_PROBLEM, templates.WIND_PROBLEM]) in body
     prompt = bulletins.prompts(bulletins.aggregate(table)).first()["prompt"]
@@ -192,3 +193,21 @@ def test_validation(spark):
     assert {r["error"]: r["count"] for r in validation.error_distribution(matched).collect()} == {0: 1, 1: 1, 2: 1}
     level = validation.by_level(matched).collect()
     assert len(level) == 1 and level[0]["events"] == 3 and math.isclose(level[0]["accuracy"], 200 / 3)
+
+
+def test_bulletin_text_follows_every_factor(spark):
+    factors = [
+        "Pendientes críticas (2 km²)", "Nevada intensa (35 cm/24h)", "Nevada acumulada (85 cm/72h)",
+        "Fluctuación térmica (15°C)", "Historial de 5 evento(s)", "3 condición(es) gatillante(s)",
+        "Viento fuerte (80 km/h)",
+    ]
+    row = ("z", DAY, "Alta", 4, "Fuerte", 0.7, factors)
+    schema = (
+        "zone_name string, forecast_date date, elevation_band string, eaws_level int, eaws_label string, "
+        "risk_score double, main_factors array<string>"
+    )
+    record = bulletins.records(bulletins.aggregate(spark.createDataFrame([row], schema))).first()
+    assert "Placas de viento" in record["avalanche_problems"]
+    assert "Fuerte, con formación de placas" in record["bulletin_text"]
+    assert templates.WIND_PROBLEM in record["bulletin_text"]
+    assert all(factor in record["bulletin_text"] for factor in factors)

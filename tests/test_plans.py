@@ -9,11 +9,12 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from nivo import config, contracts
+from nivo.plans import oracle, queries
 from nivo.plans import run as layers
 from nivo.plans import testdata
 
 SF = "/root/testdata/sf0.001"
-QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
+QUERIES, ORACLES = queries.QUERIES, oracle.ORACLES
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="test tables not present")
 
@@ -47,8 +48,9 @@ def test_query_equals_sql(spark, duck, name):
         assert all(same(a, b) for a, b in zip(x, y, strict=True)), (x, y)
 
 
-def test_every_query_has_sql():
+def test_every_query_has_sql_and_is_registered():
     assert QUERIES.keys() == ORACLES.keys()
+    assert QUERIES.items() <= entry.queries().items() and ORACLES.items() <= entry.oracle_sql().items()
 
 
 @pytest.mark.parametrize("name", ["predictions", "bulletin_text", "validation_match", "susceptibility_map", "text_patterns", "weather_triggers"])
@@ -86,6 +88,39 @@ def test_run_builds_every_layer_and_can_be_repeated(spark, tmp_path):
     assert dates == {newest, earlier}
 
 
+def test_partial_runs_keep_what_they_do_not_renew(spark, tmp_path):
+    """A run with one location, a backfill, and a repeated run leave all other rows as they were."""
+    root = str(tmp_path / "model")
+    daily = testdata.weather_daily(spark, SF).cache()
+    model = layers.Layers(spark, root)
+    whole = layers.Inputs(cells=testdata.cells(spark, SF), daily=daily, cell_metres=(60.0, 60.0))
+    layers.run(spark, whole, root)
+
+    def stored(table, *columns):
+        return sorted(map(tuple, model.read(table).select(*columns).collect()))
+
+    features = stored("weather_features", "location_name", "date", "snowfall_24h")
+    triggers = stored("weather_triggers", "trigger_id")
+    levels = stored("avalanche_predictions", "zone_name", "forecast_date", "elevation_band", "eaws_level", "risk_score")
+    location = daily.select("location_name").distinct().orderBy("location_name").first()[0]
+    part = layers.Inputs(daily=daily.where(F.col("location_name") == location))
+    layers.run(spark, part, root)
+    assert stored("weather_features", "location_name", "date", "snowfall_24h") == features
+    assert stored("weather_triggers", "trigger_id") == triggers
+    assert (
+        stored("avalanche_predictions", "zone_name", "forecast_date", "elevation_band", "eaws_level", "risk_score")
+        == levels
+    )
+    newest = daily.agg(F.max("date")).first()[0]
+    earlier = newest - dt.timedelta(3)
+    layers.run(spark, part, root, as_of=earlier)
+    dates = {r[0] for r in model.read("avalanche_bulletins").select("issue_date").distinct().collect()}
+    assert dates == {newest, earlier}
+    assert {r for r in levels} <= set(
+        stored("avalanche_predictions", "zone_name", "forecast_date", "elevation_band", "eaws_level", "risk_score")
+    )
+
+
 def test_run_with_checked_terrain(spark, tmp_path):
     root = str(tmp_path / "model")
     cells = testdata.cells(spark, SF)

@@ -88,18 +88,16 @@ def test_gradient_shuffles_once(spark):
     assert "BatchEvalPython" not in text
 
 
-def test_thin_uses_the_truncated_root(spark):
+def test_coarsen_counts_every_cell(spark):
     cells = grid(spark, [[r + c for c in range(30)] for r in range(30)]).unionAll(
         grid(spark, [[1.0, 2.0]], zone="small")
     )
-    thinned = terrain.thin(cells, max_cells=100)
-    kept = {(r["zone_name"], r["row"], r["col"], r["scale"], r["thin_factor"]) for r in thinned.collect()}
-    expected = {("z", r, c, 90.0, 3) for r in range(0, 30, 3) for c in range(0, 30, 3)}
-    assert kept == expected | {("small", 0, 0, 30.0, 1), ("small", 0, 1, 30.0, 1)}
-    steep = terrain.gradient(thinned.where("zone_name = 'z'"), F.col("scale"), F.col("scale"), F.col("thin_factor"), tile=4)
+    coarse = terrain.coarsen(cells, 3)
+    rows = {(r["zone_name"], r["row"], r["col"]): (r["elevation"], r["n_cells"], r["scale"]) for r in coarse.collect()}
+    expected = {("z", r, c): (3.0 * r + 3 * c + 2, 9, 90.0) for r in range(10) for c in range(10)}
+    assert rows == expected | {("small", 0, 0): (1.5, 2, 90.0)}
+    steep = terrain.gradient(coarse.where("zone_name = 'z'"), F.col("scale"), F.col("scale"), tile=4)
     assert all(math.isclose(x, 3 / 90) and math.isclose(y, 3 / 90) for x, y in by_cell(steep, "dzdx", "dzdy").values())
-    # 1.5 times the limit truncates to a factor of 1: nothing is dropped.
-    assert terrain.thin(cells.where("zone_name = 'z'"), max_cells=600).count() == 900
 
 
 def test_make_grid_has_the_pilot_size(spark):
