@@ -578,6 +578,7 @@ _oracle("box_areas", """SELECT zone_name, round(area, 6) + 0.0 AS area_km2
           FROM cells GROUP BY 1)""", "cells")
 _SLOPES = 'zone_name "row" col ~slope_degrees ~aspect_degrees'
 _select("terrain_slope_aspect", _SLOPES, "slopes")
+_select("terrain_tiles", _SLOPES, "slopes")
 _select("terrain_horn_compass", _SLOPES, "horn_slopes")
 _select("terrain_masked", _SLOPES, "masked_slopes")
 _select("terrain_thin", 'zone_name "row" col ~scale n_cells ~slope_degrees', "thinned_slopes")
@@ -681,6 +682,8 @@ _FEATURES = """location_name date ~snowfall_24h ~snowfall_48h ~snowfall_72h ~sno
     ~temp_variation_48h isoterma_0c precipitation_intensity"""
 _select("weather_features_rows", _FEATURES, "features_user")
 _select("weather_features_range", _FEATURES, "features_range")
+_select("weather_blocks_rows", _FEATURES, "features_user")
+_select("weather_blocks_range", _FEATURES, "features_range")
 _select("snow_windows", "location_name date ~snowfall_48h ~snowfall_72h ~snowfall_7d ~temp_variation_48h", "features")
 _oracle("weather_feature_table", f"""SELECT 'weather_' || strftime(date, '%Y%m%d') || '_' || location_name AS feature_id,
     {_columns('''location_name date elevation_band ~snowfall_24h ~snowfall_48h ~snowfall_72h ~temp_variation_24h
@@ -794,3 +797,11 @@ _oracle("table_inventory", " UNION ALL ".join(
     + " UNION ALL SELECT 'avalanche_predictions', 'gold', NULL, 'missing'")
 _oracle("upsert_dim", """SELECT c_custkey AS location_id, c_name AS name, 'new' AS region FROM customer
     UNION ALL SELECT s_suppkey, s_name, 'old' FROM supplier WHERE s_suppkey NOT IN (SELECT c_custkey FROM customer)""")
+
+_oracle("guarded_scan", "SELECT o_orderstatus, count(*) AS orders FROM orders GROUP BY 1")
+_oracle("optional_source", "SELECT 'there' AS source, o_orderstatus, count(*) AS orders FROM orders GROUP BY 2")
+_oracle("literal_source", """SELECT CASE o_orderpriority WHEN '1-URGENT' THEN 1 WHEN '2-HIGH' THEN 2 WHEN '5-LOW' THEN 5 END
+    AS rank, count(*) AS orders FROM orders GROUP BY 1""")
+_oracle("conformed_orders", """SELECT CAST(o_orderkey AS VARCHAR) AS o_orderkey,
+    CAST(CAST(o_totalprice AS DECIMAL(12, 2)) AS DOUBLE) AS o_totalprice, CAST(NULL AS VARCHAR) AS note, true AS stamped
+    FROM orders""")

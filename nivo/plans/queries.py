@@ -7,11 +7,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from nivo import (
     bands,
     bulletins,
     config,
+    contracts,
     filters,
     frames,
     fusion,
@@ -19,6 +21,7 @@ from nivo import (
     payloads,
     quality,
     sinks,
+    sources,
     terrain,
     text,
     validation,
@@ -335,6 +338,14 @@ def terrain_slope_aspect(spark, d):
     return rounded(td.slopes(spark, d).select("zone_name", "row", "col", "slope_degrees", "aspect_degrees"))
 
 
+@_register
+def terrain_tiles(spark, d):
+    """The same over tiles of 7 by 7 cells, so that most neighbours come from another tile."""
+    steep = terrain.gradient(td.cells(spark, d), td.CELL_M, td.CELL_M, tile=7)
+    turned = terrain.aspect(terrain.slope(steep))
+    return rounded(turned.select("zone_name", "row", "col", "slope_degrees", "aspect_degrees"))
+
+
 @_register
 def terrain_horn_compass(spark, d):
     steep = terrain.gradient(td.cells(spark, d), td.CELL_M, td.CELL_M, method="horn")
@@ -530,9 +541,9 @@ def weather_date_window(spark, d):
     )
 
 
-def _feature_query(frame):
+def _feature_query(frame, block_days=weather.BLOCK_DAYS):
     def query(spark, d):
-        table = _features(spark, d, per_user=True, frame=frame)
+        table = weather.features(td.weather_daily(spark, d, per_user=True), frame, block_days)
         return rounded(
             table.select(
                 "location_name",
@@ -553,6 +564,9 @@ def _feature_query(frame):
 
 QUERIES["weather_features_rows"] = _feature_query("rows")
 QUERIES["weather_features_range"] = _feature_query("range")
+# Blocks of five days, so that most windows begin in another block.
+QUERIES["weather_blocks_rows"] = _feature_query("rows", 5)
+QUERIES["weather_blocks_range"] = _feature_query("range", 5)
 
 
 @_register
@@ -789,3 +803,56 @@ def upsert_dim(spark, d):
         F.col("c_custkey").alias("location_id"), F.col("c_name").alias("name"), F.lit("new").alias("region")
     )
     return sinks.upsert_dim(existing, new, ["location_id"])
+
+
+# --- Sources and contracts ---------------------------------------------------------------
+
+
+def _orders(d):
+    return f"{d}/orders.parquet"
+
+
+def _schema(ddl):
+    return StructType.fromDDL(ddl)
+
+
+_STATUS = "o_orderkey bigint, o_orderstatus string"
+
+
+@_register
+def guarded_scan(spark, d):
+    orders = sources.read_table(spark, _orders(d), _STATUS)
+    return orders.groupBy("o_orderstatus").agg(F.count("*").alias("orders"))
+
+
+@_register
+def optional_source(spark, d):
+    """A table that exists and one that does not, which counts as empty."""
+    there = sources.read_or_default(spark, _orders(d), _STATUS)
+    absent = sources.read_or_default(spark, f"{d}/no_such_table.parquet", _STATUS)
+    both = there.withColumn("source", F.lit("there")).unionByName(absent.withColumn("source", F.lit("absent")))
+    return both.groupBy("source", "o_orderstatus").agg(F.count("*").alias("orders"))
+
+
+@_register
+def literal_source(spark, d):
+    """Orders by the rank of their priority in an inline table."""
+    schema = _schema("o_orderpriority string, rank int")
+    ranks = sources.literal(spark, [("1-URGENT", 1), ("2-HIGH", 2), ("5-LOW", 5)], schema)
+    orders = td.read(spark, d, "orders")
+    return orders.join(ranks, "o_orderpriority", "left").groupBy("rank").agg(F.count("*").alias("orders"))
+
+
+@_register
+def conformed_orders(spark, d):
+    """Orders under a contract: cast, cut to its columns, an optional column missing, a load time filled in."""
+    schema = _schema(
+        "o_orderkey string, o_totalprice decimal(12,2), note string, ingestion_timestamp timestamp"
+    )
+    rows = contracts.conform(td.read(spark, d, "orders"), schema, optional=("note",))
+    return rows.select(
+        "o_orderkey",
+        F.col("o_totalprice").cast("double").alias("o_totalprice"),
+        "note",
+        F.col("ingestion_timestamp").isNotNull().alias("stamped"),
+    )
