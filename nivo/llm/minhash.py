@@ -4,24 +4,26 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from nivo.llm.shared import Scratch, workers_find_package
+from nivo.llm.shared import Scratch, fresh, workers_find_package
 from nivo.llm.shingles import mix, shingle_set
 
 #: Coordinates of a sketch (a power of two up to 128), cut into bands of ROWS. At a similarity of 0.8 a pair shares
 #: no band once in 20 million.
 COORDINATES, ROWS = 128, 4
 EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
-#: How far the share of equal coordinates may fall below the similarity asked for (odds below 1e-8).
-SLACK = 0.25
-#: Members of a bucket that are compared in one group.
-CHUNK = 256
+#: How far the share of equal coordinates may fall below the similarity asked for (odds below 1e-5).
+SLACK = 0.2
+#: Times that buckets of several components are held against a hashed centre.
+CENTRES = 1
+#: Shingles of the documents that are compared in one group.
+BLOCK_SHINGLES = 1 << 17
 
 
 def sketch(sets: list[np.ndarray]) -> np.ndarray:
@@ -61,6 +63,13 @@ def band_keys(sketches: np.ndarray) -> np.ndarray:
     return key.view(np.int64)
 
 
+def brief(sets: list[np.ndarray]) -> list[bytes]:
+    """Sketches for comparisons: 16 bits of each coordinate and 32 of each band's key."""
+    rows = sketch(sets)
+    coordinates, keys = rows.astype(np.uint16), band_keys(rows).astype(np.uint32)
+    return [a.tobytes() + b.tobytes() for a, b in zip(coordinates, keys)]
+
+
 def _in_parts(batch: pa.RecordBatch, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """Slices whose texts (the last column) have about ``most`` bytes."""
     texts = batch.column(batch.num_columns - 1)
@@ -106,44 +115,85 @@ def _setter(width: int):
                 ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
                 values = np.concatenate(sets) if sets else np.empty(0, np.uint64)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), pa.ListArray.from_arrays(ends, pa.array(values.view(np.int64)))],
-                    names=["id", "shingles"],
+                    [
+                        batch.column(0),
+                        pa.ListArray.from_arrays(ends, pa.array(values.view(np.int64))),
+                        pa.array(brief(sets), pa.binary()),
+                    ],
+                    names=["id", "shingles", "sketch"],
                 )
 
     return run
 
 
-def _sketch_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for start in range(0, batch.num_rows, 256):
-            part = batch.slice(start, 256)
-            sets = [np.array(x, np.int64).view(np.uint64) for x in part.column(1).to_pylist()]
-            rows = [row.tobytes() for row in sketch(sets)]
-            yield pa.RecordBatch.from_arrays(
-                [part.column(0), pa.array(rows, pa.binary())], names=["id", "sketch"]
-            )
-
-
-def _alike(least: float):
-    """Pairs of a block whose sketches agree in ``least`` of the coordinates and that are not in one component yet."""
-
-    def pairs(block: pd.DataFrame) -> pd.DataFrame:
-        rows = np.stack([np.frombuffer(x, np.uint64) for x in block.sketch])
-        ids, component = block.id.to_numpy(), block.component.to_numpy()
-        chunk = block.own.to_numpy()
-        across = block.low.iloc[0] != block.high.iloc[0]
-        left, right = [], []
+class _Block:
+    """Rows of one block, gathered from consecutive batches."""
+
+    def __init__(self):
+        self.ids, self.components, self.owns, self.sketches, self.sets = [], [], [], [], []
+
+    def add(self, batch: pa.RecordBatch) -> None:
+        column = {name: batch.column(name) for name in ("id", "component", "own", "sketch", "shingles")}
+        self.ids.append(column["id"].to_numpy())
+        self.components.append(column["component"].to_numpy())
+        self.owns.append(column["own"].to_numpy())
+        self.sketches += [np.frombuffer(x.as_buffer(), np.uint8) for x in column["sketch"]]
+        ends = np.cumsum(column["shingles"].value_lengths().to_numpy())
+        values = column["shingles"].flatten().to_numpy()
+        self.sets += [np.sort(x) for x in np.split(values, ends[:-1])]
+
+    def links(self, band: int, low: int, across: bool, percent: int) -> list[tuple[int, int]]:
+        """Links between documents that are not in one component yet."""
+        ids, own = np.concatenate(self.ids), np.concatenate(self.owns)
+        component = np.concatenate(self.components)
+        sizes, packed = np.array([len(s) for s in self.sets]), np.stack(self.sketches)
+        rows = np.ascontiguousarray(packed[:, : 2 * COORDINATES]).view(np.uint16)
+        keys = np.ascontiguousarray(packed[:, 2 * COORDINATES :]).view(np.uint32)
+        found = []
         for at in range(len(rows)):
-            if across and chunk[at] != block.low.iloc[0]:
+            if across and own[at] != low:
                 continue
-            others = (component != component[at]) & ((chunk != chunk[at]) if across else (ids > ids[at]))
-            others = np.flatnonzero(others)
-            close = others[(rows[others] == rows[at]).mean(axis=1) >= least]
-            left.extend(np.minimum(ids[at], ids[close]).tolist())
-            right.extend(np.maximum(ids[at], ids[close]).tolist())
-        return pd.DataFrame({"u": np.array(left, np.int64), "v": np.array(right, np.int64)})
+            may = (component != component[at]) & ((own != low) if across else (ids > ids[at]))
+            may &= 100 * np.minimum(sizes, sizes[at]) >= percent * np.maximum(sizes, sizes[at])
+            may = np.flatnonzero(may)
+            # A pair is looked at in the first band it shares only.
+            may = may[~(keys[may, :band] == keys[at, :band]).any(axis=1)]
+            for other in may[(rows[may] == rows[at]).mean(axis=1) >= percent / 100 - SLACK]:
+                if component[other] == component[at]:
+                    continue
+                both = len(np.intersect1d(self.sets[at], self.sets[other], assume_unique=True))
+                if 100 * both >= percent * (sizes[at] + sizes[other] - both):
+                    found.append((int(min(ids[at], ids[other])), int(max(ids[at], ids[other]))))
+                    component[component == component[other]] = component[at]
+        return found
+
+
+def _linker(percent: int):
+    """Links of the blocks of a partition sorted by block."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, block = None, None
+
+        def done() -> pa.RecordBatch:
+            band, _, low, high = held
+            found = block.links(band, low, low != high, percent)
+            u, v = ([u for u, _ in found], [v for _, v in found])
+            return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
+
+        for batch in batches:
+            keys = np.stack([batch.column(n).to_numpy() for n in ("band", "bucket", "low", "high")], axis=1)
+            starts = np.flatnonzero(np.r_[True, (keys[1:] != keys[:-1]).any(axis=1)]) if len(keys) else []
+            for start, end in zip(starts, [*starts[1:], len(keys)]):
+                now = tuple(keys[start].tolist())
+                if now != held:
+                    if held is not None:
+                        yield done()
+                    held, block = now, _Block()
+                block.add(batch.slice(start, end - start))
+        if held is not None:
+            yield done()
 
-    return pairs
+    return run
 
 
 def components(scratch: Scratch, links: DataFrame, name: str) -> DataFrame:
@@ -192,10 +242,11 @@ def near_duplicates(
     1. A pass sketches each text. Documents with equal sets become one node, the least id.
     2. Nodes that share a band form a bucket. Each node is verified against the least of its
        buckets' least nodes: one pair a node, which joins most groups.
-    3. Buckets that still hold several components verify each node against a hashed centre
-       per band, unless both are in one component.
-    4. What then still holds several components is compared exhaustively by sketches, in blocks of
-       bounded size, and pairs that can be similar enough are verified.
+    3. Buckets that still hold several components verify each node against a hashed centre,
+       unless both are in one component; CENTRES times.
+    4. In what then still holds several components, the largest one is compared with the others and these with
+       each other, in blocks of bounded size: by sketches first, pairs that can be similar enough by
+       their sets.
 
     So no bucket is ever gathered or expanded into all pairs, and none is cut short: pairs
     are left out only if they were verified before or their documents are in one component already.
@@ -222,10 +273,15 @@ def near_duplicates(
         "nodes",
     )
     banded = nodes.select("id", "n", F.posexplode("bands").alias("band", "bucket"))
+    # Nodes that are alike share many bands; of buckets with the same members one is enough.
+    contents = [F.bit_xor(F.xxhash64("id", F.lit(turn))).alias(f"x{turn}") for turn in (1, 2)]
     shared = (
         banded.groupBy("band", "bucket")
-        .agg(F.count(F.lit(1)).alias("members"), F.min("id").alias("centre"))
+        .agg(F.count(F.lit(1)).alias("members"), F.min("id").alias("centre"), *contents)
         .where("members > 1")
+        .groupBy("members", "centre", "x1", "x2")
+        .agg(F.min(F.struct("band", "bucket")).alias("one"))
+        .select("members", "centre", "one.*")
     )
     members = scratch.write(banded.join(shared, ["band", "bucket"]), "members")
 
@@ -234,9 +290,8 @@ def near_duplicates(
         rows.select("id", "body")
         .join(wanted, "id", "left_semi")
         .dropDuplicates(["id", "body"])
-        .mapInArrow(_setter(width), "id long, shingles array<long>")
-        .groupBy("id")
-        .agg(F.first("shingles").alias("shingles")),
+        .mapInArrow(_setter(width), "id long, shingles array<long>, sketch binary")
+        .dropDuplicates(["id"]),
         "sets",
     )
 
@@ -257,43 +312,68 @@ def near_duplicates(
     links = verified(tested, "links-1")
     found = components(scratch, links, "components-1")
 
-    def labelled() -> DataFrame:
-        """Members of buckets with several components."""
-        now = members.join(found, "id", "left").withColumn(
-            "component", F.coalesce("component", "id")
+    def mixed(turn: int, least: int = 2) -> DataFrame:
+        """Members of buckets with several components, with the bucket's largest and a hashed centre."""
+        now = members.join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
+        now = scratch.write(now.drop("centre", "members"), f"labelled-{turn}")
+        centre = F.min(F.struct(F.xxhash64("id", "band", F.lit(turn)).alias("h"), "id", "component"))
+        parts = now.groupBy("band", "bucket", "component").agg(
+            F.count(F.lit(1)).alias("members"), F.sum("n").alias("size"), centre.alias("centre")
         )
-        now = scratch.write(now.where("members > 2"), f"labelled-{len(waves)}")
-        mixed = (
-            now.groupBy("band", "bucket")
+        buckets = (
+            parts.groupBy("band", "bucket")
             .agg(
-                F.min("component").alias("least"),
-                F.max("component").alias("most"),
-                F.min(F.struct(F.xxhash64("id", "band").alias("h"), "id", "component")).alias("middle"),
+                F.max(F.struct("members", "component", "size")).alias("main"),
+                F.sum("size").alias("size"),
+                F.min("centre").alias("centre"),
+                F.count(F.lit(1)).alias("components"),
+                F.sum("members").alias("members"),
             )
-            .where("least <> most")
-            .drop("least", "most")
+            .where(f"components > 1 AND members >= {least}")
+            .drop("components", "members")
         )
-        return now.join(mixed, ["band", "bucket"])
-
-    waves = [links]
-    second = labelled().where(F.col("component") != F.col("middle.component"))
-    second = second.select(*pair_of("id", "middle.id")).distinct().join(tested, ["u", "v"], "left_anti")
-    second = scratch.write(second, "tested-2")
-    waves.append(verified(second, "links-2"))
-    found = components(scratch, waves[0].union(waves[1]), "components-2")
-
-    rest = scratch.write(labelled().drop("middle", "centre"), "rest")
-    packed = (
-        sets.join(rest.select("id").distinct(), "id", "left_semi")
-        .select("id", "shingles")
-        .mapInArrow(_sketch_sets, "id long, sketch binary")
-    )
-    chunks = F.ceil(F.col("members") / CHUNK).cast("int")
+        return now.join(buckets, ["band", "bucket"])
+
+    waves, tests = [links], [tested]
+    for turn in range(2, 2 + CENTRES):
+        pairs = (
+            mixed(turn)
+            .where(F.col("component") != F.col("centre.component"))
+            .select(*pair_of("id", "centre.id"))
+            .distinct()
+        )
+        for earlier in tests:
+            pairs = pairs.join(earlier, ["u", "v"], "left_anti")
+        tests.append(scratch.write(pairs, f"tested-{turn}"))
+        waves.append(verified(tests[-1], f"links-{turn}"))
+        found = components(scratch, reduce(DataFrame.union, waves), f"components-{turn}")
+
+    # What is left is compared in blocks: the largest component's members with the others, and these
+    # with each other. Blocks have a bounded number of shingles, or are one document's.
+    # A bucket that fits a block is one.
+    fits = F.col("size") <= BLOCK_SHINGLES
+    main = (F.col("component") == F.col("main.component")) & ~fits
+    n_main = F.when(fits, 0).otherwise(F.ceil(F.col("main.size") / BLOCK_SHINGLES))
+    n_rest = F.when(fits, 1).otherwise(F.ceil((F.col("size") - F.col("main.size")) / BLOCK_SHINGLES))
+    hashed = F.xxhash64("id")
     blocks = (
-        rest.withColumn("own", F.pmod(F.xxhash64("id"), chunks).cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), chunks - 1)))
+        mixed(0, least=3)  # The pair in a bucket of two was verified with its centre.
+        .withColumn("n_main", n_main)
+        .withColumn("n_rest", n_rest)
+        .withColumn(
+            "own",
+            F.when(main, F.pmod(hashed, "n_main")).otherwise(F.col("n_main") + F.pmod(hashed, "n_rest")),
+        )
+        .withColumn(
+            "other",
+            F.explode(
+                F.sequence(
+                    F.when(main, F.col("n_main")).otherwise(F.lit(0).cast("long")), F.col("n_main") + F.col("n_rest") - 1
+                )
+            ),
+        )
         .select(
-            "band",
+            F.col("band").cast("long").alias("band"),
             "bucket",
             F.least("own", "other").alias("low"),
             F.greatest("own", "other").alias("high"),
@@ -301,17 +381,16 @@ def near_duplicates(
             "id",
             "component",
         )
-        .join(packed, "id")
+        .join(sets, "id")
     )
-    close = (
-        blocks.groupBy("band", "bucket", "low", "high")
-        .applyInPandas(_alike(percent / 100 - SLACK), "u long, v long")
-        .distinct()
-        .join(tested, ["u", "v"], "left_anti")
-        .join(second, ["u", "v"], "left_anti")
+    block = ["band", "bucket", "low", "high"]
+    last = (
+        blocks.repartition(*block)
+        .sortWithinPartitions(*block)
+        .mapInArrow(_linker(percent), "u long, v long")
     )
-    waves.append(verified(scratch.write(close, "tested-3"), "links-3"))
-    found = components(scratch, waves[0].union(waves[1]).union(waves[2]), "components-3")
+    waves.append(scratch.write(last.distinct(), "links-0"))
+    found = components(scratch, reduce(DataFrame.union, waves), "components-0")
 
     classes = scratch.write(
         nodes.select("same", "id", "copies")
@@ -327,10 +406,8 @@ def near_duplicates(
     lone = labels.where("same IS NULL").select("id", "print", "n", F.col("id").alias("component_id"))
     rest_of = labels.where("same IS NOT NULL").join(classes, "same", "left")
     linked = rest_of.select("id", "print", "n", F.coalesce("component_id", "id").alias("component_id"))
-    scratch.drop(
-        "members", "sets", "tested-1", "tested-2", "tested-3", "links-1", "links-2", "links-3", "rest",
-        "labelled-1", "labelled-2", "nodes",
-    )
+    turns = range(2 + CENTRES)
+    scratch.drop("nodes", "members", "sets", *[f"{t}-{n}" for t in ("tested", "links", "labelled") for n in turns])
     return linked.union(lone).select(
         "id",
         "print",
@@ -345,10 +422,9 @@ def deduplicate(
 ) -> DataFrame:
     """The documents that ``near_duplicates`` keeps, with all their columns."""
     found = near_duplicates(docs, width, percent, F.col(f"`{text}`"), key)
-    dropped = found.where(~F.col("kept")).select(
-        F.col("id").alias("_id"), F.col("print").alias("_print")
-    )
-    same = (F.col(f"`{key}`").cast("long") == F.col("_id")) & (
-        F.xxhash64(F.col(f"`{text}`")) == F.col("_print")
+    id_, print_ = fresh("_id", docs), fresh("_print", docs)
+    dropped = found.where(~F.col("kept")).select(F.col("id").alias(id_), F.col("print").alias(print_))
+    same = (F.col(f"`{key}`").cast("long") == F.col(id_)) & (
+        F.xxhash64(F.col(f"`{text}`")) == F.col(print_)
     )
     return docs.join(dropped, same, "left_anti")
