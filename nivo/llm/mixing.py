@@ -80,7 +80,10 @@ def mix(
         size.cast("long").alias("_size"),
         F.col(f"`{source}`").alias("_source"),
         shuffled.alias("_hash"),
-    ).withColumn("_tie", F.xxhash64("row"))
+    ).withColumns({"_tie": F.xxhash64("row"), "_number": F.monotonically_increasing_id()})
+    # Written once, so that numbers hold; only what orders the rows goes through the orders.
+    rows = scratch.write(keyed, "rows")
+    keyed = rows.drop("row")
     queue = running(
         scratch,
         keyed,
@@ -136,10 +139,11 @@ def mix(
         )
         turns = F.coalesce(F.size(within), F.lit(0))
     results = queued.select(
-        "row",
+        "_number",
         F.col("_size").alias("size"),
         "source_size",
         "target",
         F.when(F.col("_size") > 0, turns).otherwise(0).alias("taken"),
     )
+    results = rows.select("_number", "row").join(results, "_number")
     return results.select("row.*", "size", "source_size", "target", "taken")

@@ -39,7 +39,10 @@ def shard(
         packed(docs, "shard", "slot").alias("row"),
         F.col(f"`{stratum}`").alias("stratum"),
         F.xxhash64(F.lit(seed), F.col(f"`{key}`").cast("string")).alias("hash"),
-    ).withColumn("tie", F.xxhash64("row"))
+    ).withColumns({"tie": F.xxhash64("row"), "number": F.monotonically_increasing_id()})
+    # Written once, so that numbers hold; only what orders the rows goes through the orders.
+    rows = scratch.write(keyed, "rows")
+    keyed = rows.drop("row")
     first = running(
         scratch,
         keyed,
@@ -72,8 +75,5 @@ def shard(
     scratch.drop("by-stratum", "sizes")
     cut = F.expr(f"(position * {shards}L) div {max(total, 1)}L").cast("int")
     start = F.expr(f"(shard * {max(total, 1)}L + {shards - 1}L) div {shards}L")
-    return (
-        spread.withColumn("shard", cut)
-        .withColumn("slot", F.col("position") - start)
-        .select("row.*", "shard", "slot")
-    )
+    placed = spread.withColumn("shard", cut).select("number", "shard", (F.col("position") - start).alias("slot"))
+    return rows.select("number", "row").join(placed, "number").select("row.*", "shard", "slot")
