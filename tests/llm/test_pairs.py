@@ -170,6 +170,23 @@ def test_shared_passages_are_found_and_others_are_not(docs_of):
     assert {r.first_doc_id for r in found if 100 <= r.doc_id < 200} == {100}
 
 
+def test_passages_around_a_frequent_line(docs_of):
+    """The first and last documents with the line are like no other; pairs between them share ten words more."""
+    rng = random.Random(12)
+    line = prose(rng, 40)
+    rows = [(i, f"{prose(rng, 60)} {line} {prose(rng, 60)}") for i in (*range(30), *range(1000, 1030))]
+    for pair in range(20):
+        passage = f"{line} {prose(rng, 10)}" if pair % 2 else f"{prose(rng, 10)} {line}"
+        rows += [(100 + 2 * pair + k, f"{prose(rng, 60)} {passage} {prose(rng, 60)}") for k in (0, 1)]
+    found = passages.repeated_passages(docs_of(rows)).collect()
+    cover, got = brute_cover(rows, 50), defaultdict(set)
+    for row in found:
+        got[row.doc_id].update(range(row.start_word, row.end_word))
+    assert set(got) == set(cover) == set(range(100, 140))
+    assert all(places <= got[doc] for doc, places in cover.items())
+    assert all(r.first_doc_id == r.doc_id // 2 * 2 for r in found)
+
+
 def test_passage_with_a_few_words_changed(docs_of):
     rng = random.Random(9)
     passage = prose(rng, 100)
