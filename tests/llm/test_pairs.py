@@ -187,6 +187,18 @@ def test_passages_around_a_frequent_line(docs_of):
     assert all(r.first_doc_id == r.doc_id // 2 * 2 for r in found)
 
 
+def test_alignment_of_passages_that_hold_the_same_line():
+    rng = np.random.default_rng(14)
+    make = lambda n: rng.integers(1, 2**62, n).astype(np.uint64)
+    for _ in range(30):
+        line = make(16)
+        first, second = np.r_[make(14), line, make(18)], np.r_[make(18), line, make(14)]
+        a, b = (np.r_[make(30), first, make(44 + i), second, make(30)] for i in (0, 1))
+        at, to = np.array([35, 127]), np.array([35, 128])
+        found = passages.align(a, b, at, to, 46, 80)
+        assert found == [(30, 77, 30, 77, 1.0), (122, 169, 123, 170, 1.0)]
+
+
 def test_passage_with_a_few_words_changed(docs_of):
     rng = random.Random(9)
     passage = prose(rng, 100)
