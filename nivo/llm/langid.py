@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import hashlib
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -20,7 +19,8 @@ TRAIN_SYMBOLS = 40_000
 ROW_SYMBOLS = 4_000
 #: Labels that may be learned; more than these are refused.
 MOST_LABELS = 200
-#: Symbols: 0 is everything but letters, 1 a rare letter, then the most frequent letters, last the end of a block.
+#: Codes of a language: 0 is everything but letters, 1 a letter it lacks, then its letters by falling frequency but
+#: for END, the end of a block. Moves of codes below SYMBOLS are a table, those of its rarer letters a sorted list.
 SYMBOLS, END = 64, 63
 #: A text is parsed in blocks of so many symbols, side by side; no phrase goes over a block's end.
 BLOCK = 256
@@ -69,30 +69,75 @@ def suffix_automaton(symbols: list[int]) -> list[dict[int, int]]:
     return moves
 
 
-def parse_table(symbols: np.ndarray) -> np.ndarray:
+def own_codes(symbols: np.ndarray, n: int) -> np.ndarray:
+    """A language's code of each of the sample's ``n`` symbols, the last of which ends a block."""
+    counts = np.bincount(symbols, minlength=n)
+    held = np.flatnonzero(counts[2 : n - 1]) + 2
+    held = held[np.argsort(-counts[held], kind="stable")]
+    codes = np.arange(2, len(held) + 2)
+    own = np.ones(n, np.int32)
+    own[held] = codes + (codes >= END)
+    own[0], own[n - 1] = 0, END
+    return own.astype(np.min_scalar_type(int(own.max())))
+
+
+@dataclass(frozen=True)
+class Parser:
     """Moves of the greedy parse: next state times ``SYMBOLS``, and in bits 30 and up the phrases ended.
 
     Where the automaton cannot go on, a phrase ends and the next begins with the symbol at hand; a
     symbol that the labelled text lacks is a phrase by itself.
     """
+
+    table: np.ndarray
+    #: The moves by codes of SYMBOLS and up: state times ``width`` plus code, sorted, and next state times ``SYMBOLS``.
+    width: int
+    keys: np.ndarray
+    targets: np.ndarray
+
+    def moves(self, state: np.ndarray, symbols: np.ndarray) -> np.ndarray:
+        move = self.table.take(state + symbols, mode="clip")
+        if len(self.keys):
+            rare = np.flatnonzero(symbols >= SYMBOLS)
+            if len(rare):
+                code = symbols[rare].astype(np.int64)
+                key = state[rare] // SYMBOLS * self.width + code
+                spot = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+                # The first state has a move by each of them; its keys are the codes.
+                begin = self.targets[np.searchsorted(self.keys, code)] + np.uint32(1 << 30)
+                move[rare] = np.where(self.keys[spot] == key, self.targets[spot], begin)
+        return move
+
+
+def parser(symbols: np.ndarray) -> Parser:
     moves = suffix_automaton(symbols.tolist())
+    width = max(int(symbols.max(initial=0)) + 1, SYMBOLS)
     one = 1 << 30
     begin = np.full(SYMBOLS, one, np.uint32)
     for symbol, target in moves[0].items():
-        begin[symbol] = target * SYMBOLS
+        if symbol < SYMBOLS:
+            begin[symbol] = target * SYMBOLS
     begin[END] = 0
     table = np.empty((len(moves), SYMBOLS), np.uint32)
     table[:] = begin + np.uint32(one)
     table[0] = begin
+    rare = {}
     for state, out in enumerate(moves):
-        if out:
-            table[state, list(out)] = np.fromiter(out.values(), np.uint32, len(out)) * SYMBOLS
-    return table.ravel()
+        for symbol, target in out.items():
+            if symbol < SYMBOLS:
+                table[state, symbol] = target * SYMBOLS
+            else:
+                rare[state * width + symbol] = target * SYMBOLS
+    keys = np.array(sorted(rare), np.int64)
+    return Parser(table.ravel(), width, keys, np.array([rare[k] for k in keys.tolist()], np.uint32))
 
 
 @dataclass(frozen=True)
 class Sample:
-    """What is learned from: the frequent letters, and each language's symbols."""
+    """What is learned from: all letters of the labelled texts, and each language's symbols.
+
+    Symbol 0 is everything but letters, 1 a letter of none of the texts, then the letters.
+    """
 
     alphabet: tuple[int, ...]
     texts: dict[str, bytes]
@@ -101,19 +146,27 @@ class Sample:
     def digest(self) -> str:
         return hashlib.sha256(repr((self.alphabet, sorted(self.texts.items()))).encode()).hexdigest()
 
+    @property
+    def kind(self) -> np.dtype:
+        return _kind(self.alphabet)
+
     def codes(self, points: np.ndarray) -> np.ndarray:
-        return _code_table(self.alphabet)[np.minimum(points, 0x10000)]
+        return _code_table(self.alphabet)[points]
 
 
 _tables: dict[tuple[int, ...], np.ndarray] = {}
 
 
+def _kind(alphabet: tuple[int, ...]) -> np.dtype:
+    return np.min_scalar_type(len(alphabet) + 2)
+
+
 def _code_table(alphabet: tuple[int, ...]) -> np.ndarray:
     if alphabet not in _tables:
-        table = np.ones(0x10001, np.uint8)
+        table = np.ones(0x110000, _kind(alphabet))
         table[0] = 0
-        for code, point in enumerate(alphabet, 2):
-            table[point] = code
+        table[list(alphabet)] = np.arange(2, len(alphabet) + 2)
+        _tables.clear()
         _tables[alphabet] = table
     return _tables[alphabet]
 
@@ -126,14 +179,10 @@ def sample_of(rows: list[tuple[str, str]], train_symbols: int = TRAIN_SYMBOLS) -
         if points.any():
             held.setdefault(lang, []).append(np.r_[points, np.uint32(0)])
     joined = {lang: np.concatenate(parts)[:train_symbols] for lang, parts in held.items()}
-    tally: Counter = Counter()
+    found: set[int] = set()
     for points in joined.values():
-        values, counts = np.unique(points[(points != 0) & (points < 0x10000)], return_counts=True)
-        # Shares, so that each language has a say in the alphabet.
-        tally.update(dict(zip(values.tolist(), (counts / len(points)).tolist())))
-    ranked = sorted(tally.items(), key=lambda item: (-item[1], item[0]))
-    alphabet = tuple(sorted(point for point, _ in ranked[: SYMBOLS - 3]))
-    sample = Sample(alphabet, {})
+        found.update(np.unique(points[points != 0]).tolist())
+    sample = Sample(tuple(sorted(found)), {})
     sample.texts.update({lang: sample.codes(points).tobytes() for lang, points in sorted(joined.items())})
     return sample
 
@@ -144,8 +193,11 @@ class Model:
     def __init__(self, sample: Sample):
         self.sample = sample
         self.languages = sorted(sample.texts)
-        codes = [np.frombuffer(sample.texts[lang], np.uint8) for lang in self.languages]
-        self.tables = [parse_table(symbols) for symbols in codes]
+        codes = [np.frombuffer(sample.texts[lang], sample.kind) for lang in self.languages]
+        #: The sample's symbols, and one that ends a block.
+        self.end = len(sample.alphabet) + 2
+        self.own = [own_codes(symbols, self.end + 1) for symbols in codes]
+        self.parsers = [parser(own[symbols]) for own, symbols in zip(self.own, codes)]
         self.bits = np.array([np.log2(max(len(symbols), 2)) for symbols in codes])
 
     def phrases(self, texts: list[np.ndarray]) -> np.ndarray:
@@ -156,20 +208,20 @@ class Model:
         found = np.zeros((len(texts), len(self.languages)))
         if not rows:
             return found
-        grid = np.full((rows, BLOCK + 1), END, np.uint8)
+        grid = np.full((rows, BLOCK + 1), self.end, np.min_scalar_type(self.end))
         first = np.cumsum(blocks) - blocks
         for text, row, n, size in zip(texts, first, blocks, lengths):
             if size:
-                body = np.full(n * BLOCK, END, np.uint8)
+                body = np.full(n * BLOCK, self.end, grid.dtype)
                 body[:size] = text
                 grid[row : row + n, :BLOCK] = body.reshape(n, BLOCK)
         grid = np.ascontiguousarray(grid.T)
         owner = np.repeat(np.arange(len(texts)), blocks)
         mask = np.uint32((1 << 30) - 1)
-        for at, table in enumerate(self.tables):
+        for at, (own, parse) in enumerate(zip(self.own, self.parsers)):
             state, count = np.zeros(rows, np.int64), np.zeros(rows, np.int64)
             for symbols in grid:
-                move = table.take(state + symbols, mode="clip")
+                move = parse.moves(state, own[symbols])
                 count += move >> 30
                 state[:] = move & mask
             found[:, at] = np.bincount(owner, weights=count, minlength=len(texts))
@@ -179,7 +231,7 @@ class Model:
         """Language, score and bits per symbol of each text."""
         points = [letters(text) if text else np.empty(0, np.uint32) for text in texts]
         known = np.array([bool(p.any()) for p in points], bool)
-        symbols = [self.sample.codes(p) if ok else np.empty(0, np.uint8) for p, ok in zip(points, known)]
+        symbols = [self.sample.codes(p) if ok else np.empty(0, self.sample.kind) for p, ok in zip(points, known)]
         if not self.languages or not known.any():
             return [UNKNOWN] * len(texts), np.zeros(len(texts)), np.zeros(len(texts))
         sizes = np.maximum(np.array([len(s) for s in symbols]), 1)
@@ -283,7 +335,8 @@ def identify(docs: DataFrame, sample: Sample, text: Column | None = None) -> Dat
     letters and single blanks, is parsed greedily into the longest phrases that occur in the labelled text; a
     phrase counts log2 of the labelled text's length in bits, as it points into it. The
     language with the fewest bits per symbol wins, ``lang_bits``; the score is 1 less the ratio of the best and
-    the second best. The sample (about TRAIN_SYMBOLS bytes per language) is broadcast, and the automata
+    the second best. All letters of the sample are told apart; a letter that a language's text lacks is a
+    phrase by itself. The sample (TRAIN_SYMBOLS symbols per language) is broadcast, and the automata
     are built once per worker.
 
     Texts that are NULL or without letters are ``und`` with score 0, as is everything if nothing

@@ -46,6 +46,27 @@ def test_blocks_do_not_change_the_winner(docs_of):
     assert (scores >= 0).all() and (scores <= 1).all() and (scores[2:] == 0).all()
 
 
+def test_letters_of_many_scripts_stay_apart():
+    rng = random.Random(3)
+    blocks = {"cyrillic": (0x430, 32), "greek": (0x3B1, 17), "han": (0x4E00, 900), "other han": (0x6000, 900),
+              "hangul": (0xAC00, 900), "gothic": (0x10330, 16), "ugaritic": (0x10380, 16)}
+    word = lambda first, n: "".join(chr(first + rng.randrange(n)) for _ in range(rng.randrange(1, 5)))
+    said = {lang: [word(*block) for _ in range(700)] for lang, block in blocks.items()}
+    text = lambda lang, n: " ".join(rng.choice(said[lang]) for _ in range(n))
+    sample = langid.sample_of([(lang, text(lang, 3_000)) for lang in blocks])
+    model = langid.Model(sample)
+    for lang in blocks:
+        names, scores, _ = model.predict([text(lang, 6) for _ in range(20)])
+        assert names == [lang] * 20 and (scores > 0.1).all()
+    texts = [text("han", 20) + text("gothic", 20) + " \u05d0", text("other han", 40)]
+    codes = [sample.codes(langid.letters(t)) for t in texts]
+    as_text = lambda symbols: "".join(map(chr, symbols.tolist()))
+    for row, symbols in zip(model.phrases(codes), codes):
+        for count, name in zip(row, model.languages):
+            training = as_text(np.frombuffer(sample.texts[name], sample.kind))
+            assert count == brute_phrases(as_text(symbols), training)
+
+
 def test_held_out_accuracy(spark):
     from nivo.llm.queries import QUERIES
 
