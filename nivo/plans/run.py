@@ -5,7 +5,7 @@ from __future__ import annotations
 import datetime as dt
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -83,34 +83,101 @@ def build_text(layers: Layers, inputs: Inputs) -> None:
     layers.write(text.patterns(inputs.reports, zone), "nlp_risk_patterns")
 
 
-def _merged(layers: Layers, new: DataFrame, table: str, replaced: DataFrame) -> DataFrame:
+def _merged(
+    layers: Layers, new: DataFrame, table: str, replaced: DataFrame, optional: tuple[str, ...] = ()
+) -> DataFrame:
     """The rows of a month-partitioned table with those of the ``replaced`` locations and dates renewed.
 
     Only the months that the run touches are read and written again; other months, and other
     locations of the same months, stay as they are.
     """
-    schema = contracts.LAYERS["silver"][table]
+    schema = next(t[table] for t in contracts.LAYERS.values() if table in t)
     stored = layers.read(table, schema)
     months = replaced.select(weather.month(F.col("date")).alias("month")).distinct()
     if "month" not in stored.columns:
         stored = stored.withColumn("month", weather.month(F.col("date")))
     touched = stored.join(months, "month", "left_semi")
     kept = touched.drop("month").join(replaced, ["location_name", "date"], "left_anti")
-    return kept.select(*schema.fieldNames()).unionByName(contracts.conform(new, schema))
+    return kept.select(*schema.fieldNames()).unionByName(contracts.conform(new, schema, optional))
+
+
+#: Rows before a day that its windows reach back to.
+LOOKBACK = 6
+#: Columns of the daily table that no feature reads.
+_UNREAD = (
+    "latitude",
+    "longitude",
+    "precipitation_hours",
+    "precipitation_probability_max",
+    "windgusts_10m_max",
+    "winddirection_10m_dominant",
+    "shortwave_radiation_sum",
+    "et0_fao_evapotranspiration",
+)
+
+
+def _renewed(layers: Layers, daily: DataFrame, days: DataFrame, frame: str) -> tuple[DataFrame, DataFrame]:
+    """Feature rows from a location's first day in the run on, and the locations and dates they are of.
+
+    Each is computed with the stored days before it. Where features are stored that begin before all daily rows,
+    days without their whole lookback are left out if they have a stored row: it was made of more.
+    """
+    first = days.groupBy("location_name").agg(F.min("date").alias("_first"))
+    before = Window.partitionBy("location_name").orderBy(F.desc("date"))
+    known = daily.join(first, "location_name")
+    lead = (
+        known.where("date < _first").withColumn("_n", F.row_number().over(before)).where(F.col("_n") <= LOOKBACK)
+    )
+    context = known.where("date >= _first").unionByName(lead.drop("_n"))
+    stored = layers.read("weather_features")
+    begun = stored.groupBy("location_name").agg(F.min("date").alias("_begun"))
+    # The first LOOKBACK days that are known lack some of their lookback.
+    heads = Window.partitionBy("location_name").orderBy("date")
+    cut = (
+        context.select("location_name", "date")
+        .withColumn("_n", F.row_number().over(heads))
+        .where(F.col("_n") <= LOOKBACK)
+        .join(context.groupBy("location_name").agg(F.min("date").alias("_from")), "location_name")
+        .join(begun, "location_name")
+        .where("_begun < _from")
+        .join(stored.select("location_name", "date"), ["location_name", "date"], "left_semi")
+        .select("location_name", "date")
+    )
+    rows = (
+        weather.features(context.drop("_first"), frame)
+        .join(first, "location_name")
+        .where("date >= _first")
+        .drop("_first")
+        .join(cut, ["location_name", "date"], "left_anti")
+    )
+    renewed = context.where("date >= _first").select("location_name", "date")
+    return rows, renewed.join(cut, ["location_name", "date"], "left_anti")
 
 
 def build_weather(layers: Layers, inputs: Inputs, frame: str = "rows") -> None:
-    """Features and triggers; rows of the locations and dates in the run replace the stored ones."""
-    rows = weather.features(inputs.daily, frame)
+    """Daily rows, features and triggers; rows of the locations and dates in the run replace the stored ones.
+
+    The days before those of the run are read back from the stored daily rows, and later days that are stored are
+    computed again, as their windows reach into the run.
+    """
     days = inputs.daily.select("location_name", "date").distinct()
     monthly = sinks.by_month("date")
-    for df, table in ((weather.feature_table(rows), "weather_features"), (weather.detect_triggers(rows), "weather_triggers")):
+    daily = layers.write(
+        _merged(layers, inputs.daily, "weather_daily", days, _UNREAD),
+        "weather_daily",
+        mode="replace_partitions",
+        partition_by=monthly,
+    )
+    rows, renewed = _renewed(layers, daily.select(*contracts.WEATHER_DAILY.names), days, frame)
+    tables = (("weather_triggers", weather.detect_triggers(rows)), ("weather_features", weather.feature_table(rows)))
+    # Triggers go first: which days are renewed depends on the stored features.
+    for table, df in tables:
         layers.write(
-            _merged(layers, df, table, days),
+            _merged(layers, df, table, renewed),
             table,
             mode="replace_partitions",
             partition_by=monthly,
-            require_rows=table == "weather_features",
+            require_rows=False,
         )
 
 

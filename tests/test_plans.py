@@ -2,6 +2,7 @@ import datetime as dt
 import glob
 import math
 import os
+import shutil
 
 import duckdb
 import pytest
@@ -121,6 +122,34 @@ def test_partial_runs_keep_what_they_do_not_renew(spark, tmp_path):
     )
 
 
+@pytest.mark.parametrize("forget", [False, True])
+def test_a_run_with_lead_in_days_keeps_their_values(spark, tmp_path, forget):
+    """Also where features, but no daily rows, are stored of the days before."""
+    root = str(tmp_path / "model")
+    daily = testdata.weather_daily(spark, SF).cache()
+    model = layers.Layers(spark, root)
+    newest = daily.agg(F.max("date")).first()[0]
+    first = newest - dt.timedelta(9)
+    layers.build_weather(model, layers.Inputs(daily=daily))
+
+    def stored():
+        columns = ("location_name", "date", "snowfall_24h", "snowfall_48h", "snowfall_72h")
+        kinds = model.read("weather_triggers").select("trigger_id")
+        return (
+            sorted(map(tuple, model.read("weather_features").select(*columns).collect()), key=str),
+            sorted(map(tuple, kinds.collect())),
+        )
+
+    whole = stored()
+    if forget:
+        shutil.rmtree(model.path("weather_daily"))
+    layers.build_weather(model, layers.Inputs(daily=daily.where(F.col("date") >= F.lit(first))))
+    assert stored() == whole
+    if not forget:  # Without any lead-in days, and days put in before stored ones.
+        layers.build_weather(model, layers.Inputs(daily=daily.where(F.col("date") == F.lit(newest))))
+        assert stored() == whole
+
+
 def test_run_with_checked_terrain(spark, tmp_path):
     root = str(tmp_path / "model")
     cells = testdata.cells(spark, SF)
