@@ -95,6 +95,16 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
         "Use of this material is subject to the license agreement.",
         "See the license file for the terms of use.",
         "This work is licensed under the terms given by its publisher.",
+        "Copyright (c) 2019 by the publisher.",
+        "All rights reserved by the author.",
+        "Licensed under the Eclipse Public License, version 2.0.",
+        "Released under the Artistic License 2.0.",
+        "Licensed under the zlib License.",
+        "Distributed under the Boost Software License, Version 1.0.",
+        "Licensed under the European Union Public Licence, version 1.2.",
+        "This software is distributed under the Microsoft Public License.",
+        "SPDX-License-Identifier: EPL-2.0",
+        "SPDX-License-Identifier: Zlib",
     ),
 }
 OPENINGS = ("", "this work is", "this text is", "the source code is", "it is")
@@ -170,7 +180,7 @@ def train(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Model:
     """Sparse multinomial logistic regression on templates and a bounded sample of other paragraphs.
 
     Other paragraphs are drawn by a hash of their document's key, and taken to have no licence if they share
-    no word pair with a template. Every fifth example is held out of training; on these the temperature
+    no word pair with a template, those of unknown licences included. Every fifth example is held out of training; on these the temperature
     that scales the scores is fitted, and the least probability at which a family is still believed: the
     lowest that no held-out paragraph of another class reaches wrongly.
     """
@@ -185,10 +195,7 @@ def train(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Model:
     )
     known = [
         row[0]
-        for row in positive.where(F.col("label") != UNKNOWN)
-        .select(F.explode(pairs(F.col("tokens"))))
-        .distinct()
-        .collect()
+        for row in positive.select(F.explode(pairs(F.col("tokens")))).distinct().collect()
     ]
     template_words = [row[0] for row in positive.select(F.explode("tokens")).distinct().collect()]
     other = (

@@ -181,6 +181,20 @@ def test_licence_lines_of_the_documents(spark, model):
         assert got[place] == next(family for cue, family in expected.items() if cue in line)
 
 
+def test_notices_without_a_family_are_unknown(spark, docs_of, model):
+    notices = [
+        "All rights reserved.",
+        "Copyright 2021 the editors. All rights reserved.",
+    ]
+    found = licences.scan(docs_of(list(enumerate(notices))), model).collect()
+    assert {r.doc_id: r.family for r in found} == dict.fromkeys(range(len(notices)), "unknown")
+    docs = spark.read.parquet(f"{DIRECTORY}/documents.parquet")
+    lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("paragraph", "line"))
+    reserved = {(r.doc_id, r.paragraph) for r in lines.where("line = 'All rights reserved.'").collect()}
+    got = {(r.doc_id, r.paragraph) for r in licences.scan(docs, model).where("family = 'unknown'").collect()}
+    assert reserved and got == reserved
+
+
 def test_the_scan_runs_no_python(spark, docs_of, model):
     plan = licences.scan(docs_of([(1, "MIT License")]), model)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
