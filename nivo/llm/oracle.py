@@ -141,4 +141,63 @@ ORACLES: dict[str, str] = {
         SELECT doc_id, size, source_size, target, size * coalesce(copies, 0) AS taken
         FROM q LEFT JOIN k USING (place)
     """,
+    "op12_importance_resampling": r"""
+        WITH steps AS (
+            SELECT list(crc ORDER BY b) AS crcs
+            FROM (
+                SELECT b, list_reduce(range(8),
+                           lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, b) AS crc
+                FROM range(256) bytes(b)
+            )
+        ),
+        d AS (
+            SELECT doc_id, regexp_extract_all(
+                       translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                       '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+            FROM documents
+        ),
+        b AS (
+            SELECT unnest(regexp_extract_all(
+                       translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                       '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS word
+            FROM benchmark
+        ),
+        raw AS (SELECT word, count(*) AS n FROM (SELECT unnest(w) AS word FROM d) GROUP BY word),
+        target AS (SELECT word, count(*) AS n FROM b GROUP BY word),
+        hashed AS (
+            SELECT word, xor(4294967295, list_reduce(
+                       [CAST('0x' || x[2 * i + 1 : 2 * i + 2] AS BIGINT) for i in range(len(x) // 2)],
+                       lambda c, byte: xor(c >> 8, crcs[(xor(c, byte) & 255) + 1]), CAST(4294967295 AS BIGINT)))
+                       % 10000 AS bucket
+            FROM (SELECT word, hex(encode(word)) AS x FROM (SELECT word FROM raw UNION SELECT word FROM target)),
+                 steps
+        ),
+        s AS (SELECT bucket, CAST(sum(n) AS BIGINT) AS s FROM raw JOIN hashed USING (word) GROUP BY bucket),
+        t AS (SELECT bucket, CAST(sum(n) AS BIGINT) AS t FROM target JOIN hashed USING (word) GROUP BY bucket),
+        g AS (
+            SELECT bucket, CAST(floor(1000.0::DOUBLE * ln(
+                       ((coalesce(t, 0) + 1)::DOUBLE * ((SELECT coalesce(sum(s), 0) FROM s) + 10000)::DOUBLE)
+                       / ((coalesce(s, 0) + 1)::DOUBLE * ((SELECT coalesce(sum(t), 0) FROM t) + 10000)::DOUBLE)))
+                       AS BIGINT) AS gain
+            FROM (SELECT DISTINCT bucket FROM hashed) LEFT JOIN s USING (bucket) LEFT JOIN t USING (bucket)
+        ),
+        p AS (
+            SELECT doc_id, CAST(sum(gain) AS BIGINT) AS weight
+            FROM (SELECT doc_id, unnest(w) AS word FROM d) JOIN hashed USING (word) JOIN g USING (bucket)
+            GROUP BY doc_id
+        ),
+        r AS (
+            SELECT doc_id, CAST(len(w) AS BIGINT) AS n_features, coalesce(weight, 0) AS weight,
+                   coalesce(weight, 0) + CAST(floor(-1000.0::DOUBLE * ln(-ln(
+                       (CAST('0x' || sha256('2024:' || coalesce(CAST(doc_id AS VARCHAR), 'null'))[1:8] AS BIGINT)
+                        + 0.5::DOUBLE) / 4294967296.0::DOUBLE))) AS BIGINT) AS score
+            FROM d LEFT JOIN p USING (doc_id)
+        ),
+        q AS (
+            SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS place, count(*) OVER () AS n
+            FROM r WHERE n_features >= 20
+        )
+        SELECT doc_id, n_features, weight, score, CASE WHEN place <= 10 * n // 100 THEN place END AS rank
+        FROM r LEFT JOIN q USING (doc_id)
+    """,
 }

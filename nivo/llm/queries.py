@@ -15,6 +15,7 @@ from nivo.llm import (
     minhash,
     mixing,
     passages,
+    resampling,
     sharding,
     tokens,
     warc,
@@ -155,3 +156,11 @@ def op10_token_counts(spark, directory):
     """Greedy word-piece counts of all documents with a public vocabulary."""
     docs = _table(spark, directory, "documents").select("doc_id", "text")
     return tokens.count_tokens(docs, VOCABULARY).select("doc_id", "n_bytes", "n_words", "n_tokens")
+
+
+@_register
+def op12_importance_resampling(spark, directory):
+    """A tenth of the documents of 20 words or more, drawn towards the word distribution of the benchmark."""
+    docs = _table(spark, directory, "documents").select("doc_id", "text")
+    found = resampling.resample(docs, _table(spark, directory, "benchmark"), carry=("doc_id",))
+    return found.select("doc_id", "n_features", "weight", "score", "rank")
