@@ -19,6 +19,7 @@ from nivo.llm import (
     sharding,
     tokens,
     warc,
+    whitening,
 )
 from nivo.llm.shared import Scratch, words
 
@@ -164,3 +165,24 @@ def op12_importance_resampling(spark, directory):
     docs = _table(spark, directory, "documents").select("doc_id", "text")
     found = resampling.resample(docs, _table(spark, directory, "benchmark"), carry=("doc_id",))
     return found.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+@_register
+def op13_embedding_whitening(spark, directory):
+    """Every embedding on the eight strongest whitening directions of all of them."""
+    vectors = _table(spark, directory, "embeddings").select("vec_id", "embedding")
+    fits = whitening.fit(vectors)
+    white = whitening.whiten(vectors, fits)
+    errors = whitening.identity_errors(white)
+    of_length = F.create_map(*[F.lit(x) for pair in errors.items() for x in pair] or [F.lit(0), F.lit(0.0)])
+    axes = F.posexplode(F.arrays_zip("whitened", "explained")).alias("axis", "found")
+    rows = white.select("vec_id", "n", F.expr("try_cast(deviation AS long)").alias("deviation"), "embedding", axes)
+    return rows.select(
+        "vec_id",
+        (F.col("axis") + 1).alias("component"),
+        "n",
+        "deviation",
+        "found.whitened",
+        "found.explained",
+        F.try_element_at(of_length, F.size("embedding")).alias("identity_error"),
+    )
