@@ -141,6 +141,23 @@ ORACLES: dict[str, str] = {
         SELECT doc_id, size, source_size, target, size * coalesce(copies, 0) AS taken
         FROM q LEFT JOIN k USING (place)
     """,
+    "op11_exact_topk": """
+        WITH e AS (
+            SELECT vec_id, [floor(1024 * CAST(c AS DOUBLE)) for c in embedding] AS x
+            FROM embeddings
+            WHERE embedding IS NOT NULL AND len([c for c in embedding if isfinite(c)]) = len(embedding)
+        ),
+        p AS (
+            SELECT q.vec_id AS query_id, e.vec_id, CAST(list_inner_product(q.x, e.x) AS BIGINT) AS score
+            FROM e q JOIN e ON q.vec_id <> e.vec_id AND len(q.x) = len(e.x)
+            WHERE q.vec_id % 100 = 0
+        ),
+        r AS (
+            SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank
+            FROM p
+        )
+        SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
+    """,
     "op12_importance_resampling": r"""
         WITH steps AS (
             SELECT list(crc ORDER BY b) AS crcs

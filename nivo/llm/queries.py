@@ -18,10 +18,12 @@ from nivo.llm import (
     resampling,
     sharding,
     tokens,
+    topk,
     warc,
     whitening,
 )
 from nivo.llm.shared import Scratch, words
+from nivo.llm.vectors import scaled, usable
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -159,6 +161,14 @@ def op10_token_counts(spark, directory):
     return tokens.count_tokens(docs, VOCABULARY).select("doc_id", "n_bytes", "n_words", "n_tokens")
 
 
+@_register
+def op11_exact_topk(spark, directory):
+    """The ten largest integer inner products of every hundredth embedding with all others."""
+    vectors = _table(spark, directory, "embeddings").where(usable(F.col("embedding")))
+    whole = vectors.select("vec_id", scaled(F.col("embedding")).alias("vector"))
+    return topk.search(whole, F.col("vec_id") % 100 == 0)
+
+
 @_register
 def op12_importance_resampling(spark, directory):
     """A tenth of the documents of 20 words or more, drawn towards the word distribution of the benchmark."""
