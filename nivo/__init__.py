@@ -13,7 +13,7 @@ from nivo.operators import (
     validation,
     weather,
 )
-from nivo.sources import payloads, sinks
+from nivo.sources import ingest, payloads, sinks
 
 __all__ = [
     "bands",
@@ -23,6 +23,7 @@ __all__ = [
     "filters",
     "frames",
     "fusion",
+    "ingest",
     "keys",
     "payloads",
     "quality",

@@ -39,6 +39,20 @@ def date_bounds(
     return first, day
 
 
+def bounds_of(day: Column, mode: Column, newest: Column | None = None) -> Column:
+    """``date_bounds`` of every row as a struct of ``first``, ``last`` and ``reachable``.
+
+    Historical runs whose days the archive lacks (before its first day, or after ``newest``) are not reachable.
+    """
+    past = mode == "historical"
+    first = F.when(past, F.date_sub(day, config.HISTORY_DAYS)).when(mode == "forecast", day)
+    last = F.when(past, day).when(mode == "forecast", F.date_add(day, config.FORECAST_DAYS))
+    kept = first >= F.lit(dt.date.fromisoformat(config.EARLIEST_HISTORY))
+    if newest is not None:
+        kept = kept & (day <= newest)
+    return F.struct(first.alias("first"), last.alias("last"), (~past | kept).alias("reachable"))
+
+
 def date_window(
     df: DataFrame, as_of: dt.date | str, mode: str, date_col: str = "date", today: dt.date | None = None
 ) -> DataFrame:

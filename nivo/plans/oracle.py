@@ -674,6 +674,53 @@ _oracle("hourly_flatten", """WITH hourly AS (SELECT 'loc_' || (user_id % 20) AS
     FROM (SELECT location_name, unnest(generate_series(lo, hi, INTERVAL 1 HOUR)) AS h
           FROM (SELECT location_name, min(h) AS lo, max(h) AS hi FROM hourly GROUP BY location_name, CAST(h AS DATE))) a
     LEFT JOIN hourly b ON b.location_name = a.location_name AND b.h = a.h""")
+CTES["landed"] = ("weather_daily",), """SELECT location_name, k, lo, hi, (k + 3 * block) % 9 AS fault
+    FROM (SELECT location_name, CAST(substr(location_name, 5) AS INTEGER) AS k,
+                 (date - DATE '1970-01-01') // 16 AS block, min(date) AS lo, max(date) AS hi
+          FROM weather_daily GROUP BY 1, 2, 3)"""
+_REASON = """CASE fault WHEN 0 THEN 'malformed' WHEN 1 THEN 'location_missing' WHEN 2 THEN 'axis_invalid'
+    WHEN 3 THEN 'series_uneven' WHEN 4 THEN 'location_unknown' WHEN 5 THEN 'value_invalid'
+    WHEN 7 THEN 'series_missing' END"""
+_oracle("ingest_outcomes", f"""SELECT coalesce({_REASON}, 'accepted') AS outcome, count(*) AS documents
+    FROM landed GROUP BY 1""", "landed")
+_oracle("ingest_quarantine", f"""SELECT {_REASON} AS reason,
+    CASE WHEN fault = 4 THEN location_name || 'x' WHEN fault > 1 THEN location_name END AS location_name,
+    count(*) AS documents FROM landed WHERE fault NOT IN (6, 8) GROUP BY 1, 2""", "landed")
+_oracle("ingest_daily", f"""SELECT location_name, round(-33.40::DOUBLE + 0.01::DOUBLE * k, 6) AS latitude,
+    round(-70.30::DOUBLE + 0.01::DOUBLE * k, 6) AS longitude, CAST(2000 + 100 * k AS INTEGER) AS elevation, d.date,
+    {_columns("~temperature_2m_max ~temperature_2m_min ~temperature_2m_mean ~precipitation_sum ~snowfall_sum ~windspeed_10m_max")}
+    FROM (SELECT location_name, k, CAST(unnest(generate_series(lo, hi, INTERVAL 1 DAY)) AS DATE) AS date
+          FROM landed WHERE fault IN (6, 8)) d
+    LEFT JOIN (SELECT * EXCLUDE (elevation) FROM weather_daily) w USING (location_name, date)""", "landed")
+_oracle("ingest_other_series", """SELECT location_name, timestamp, 'snow_line' AS variable,
+    CAST(2000 + 100 * k + CAST(timestamp AS DATE) - lo AS DOUBLE) AS value
+    FROM (SELECT location_name, k, lo, CAST(unnest(generate_series(lo, hi, INTERVAL 1 DAY)) AS TIMESTAMP) AS timestamp
+          FROM landed WHERE fault = 6)""", "landed")
+_oracle("ingest_variables", """SELECT variable, count(*) AS documents
+    FROM (SELECT fault, unnest(['location_name', 'time_start', 'time_end', 'interval_s']) AS variable FROM landed
+          UNION ALL
+          SELECT fault, unnest(['temperature_2m_max', 'temperature_2m_min', 'temperature_2m_mean', 'precipitation_sum',
+                                'snowfall_sum', 'windspeed_10m_max']) FROM landed WHERE fault <> 7
+          UNION ALL SELECT fault, 'humidity' FROM landed WHERE fault = 5
+          UNION ALL SELECT fault, 'snow_line' FROM landed WHERE fault = 6)
+    WHERE fault > 0 GROUP BY 1""", "landed")
+_oracle("ingest_hourly_dst", """WITH hourly AS (SELECT 'loc_' || (user_id % 20) AS location_name,
+    date_trunc('hour', ts) + INTERVAL 92 DAY AS h,
+    avg(value) FILTER (event_type = 'click') / 4 - 2::DOUBLE AS temperature_2m,
+    avg(value) FILTER (event_type = 'purchase') / 3 AS precipitation, avg(value) FILTER (event_type = 'view') AS snowfall,
+    avg(value) FILTER (event_type = 'error') AS windspeed_10m FROM events GROUP BY 1, 2),
+    steps AS (SELECT location_name, unnest(generate_series(lo, hi, INTERVAL 1 HOUR)) AS h
+          FROM (SELECT location_name, min(h) AS lo, max(h) AS hi FROM hourly GROUP BY location_name, CAST(h AS DATE)))
+    SELECT a.location_name, a.h AS step_utc,
+    CAST(a.h - CASE WHEN a.h < TIMESTAMP '2024-04-07 03:00:00' THEN INTERVAL 3 HOUR ELSE INTERVAL 4 HOUR END AS TIMESTAMP)
+        AS timestamp,
+    CAST(a.h - CASE WHEN a.h < TIMESTAMP '2024-04-07 03:00:00' THEN INTERVAL 3 HOUR ELSE INTERVAL 4 HOUR END AS DATE) AS date,
+    round(temperature_2m, 6) + 0.0 AS temperature_2m, round(precipitation, 6) + 0.0 AS precipitation,
+    round(snowfall, 6) + 0.0 AS snowfall, round(windspeed_10m, 6) + 0.0 AS windspeed_10m
+    FROM steps a LEFT JOIN hourly b ON b.location_name = a.location_name AND b.h = a.h""")
+_oracle("date_bounds", """SELECT date, mode, CASE mode WHEN 'historical' THEN date - 7 ELSE date END AS first,
+    CASE mode WHEN 'historical' THEN date ELSE date + 16 END AS last, true AS reachable
+    FROM (SELECT DISTINCT date FROM weather_daily), (VALUES ('historical'), ('forecast')) m(mode)""", "weather_daily")
 _oracle("weather_date_window", """SELECT 'historical' AS mode, location_name, date FROM weather_daily
     WHERE date BETWEEN DATE '2024-01-13' AND DATE '2024-01-20'
     UNION ALL SELECT 'forecast', location_name, date FROM weather_daily

@@ -17,6 +17,7 @@ from nivo import (
     filters,
     frames,
     fusion,
+    ingest,
     keys,
     payloads,
     quality,
@@ -530,6 +531,59 @@ def hourly_flatten(spark, d):
     return rounded(rows.select("location_name", "timestamp", "date", *td.HOURLY_VALUES))
 
 
+def _landed(spark, d):
+    return ingest.inspect(td.daily_documents(spark, d), td.locations(spark, d))
+
+
+@_register
+def ingest_outcomes(spark, d):
+    """Documents accepted and put aside, per reason."""
+    return ingest.reconcile(_landed(spark, d))
+
+
+@_register
+def ingest_quarantine(spark, d):
+    aside = ingest.quarantine(_landed(spark, d))
+    known = F.when(F.trim("location_name") != "", F.col("location_name")).alias("location_name")
+    return aside.select("reason", known).groupBy("reason", "location_name").agg(F.count("*").alias("documents"))
+
+
+@_register
+def ingest_daily(spark, d):
+    """Rows of the accepted documents, which are parsed without a schema."""
+    rows = ingest.rows(ingest.accepted(_landed(spark, d)), td.DAILY_VALUES, td.LOCAL_OFFSET)
+    return rounded(rows.select("location_name", "latitude", "longitude", "elevation", "date", *td.DAILY_VALUES))
+
+
+@_register
+def ingest_other_series(spark, d):
+    """Values of variables that no column is made for."""
+    return ingest.other_series(ingest.accepted(_landed(spark, d)), td.DAILY_VALUES, td.LOCAL_OFFSET)
+
+
+@_register
+def ingest_variables(spark, d):
+    """Member names over all documents."""
+    return ingest.variables(td.daily_documents(spark, d)).select("variable", "documents")
+
+
+@_register
+def ingest_hourly_dst(spark, d):
+    """Hourly documents over the days on which the zone puts its clocks back."""
+    landed = ingest.inspect(td.hourly_documents(spark, d, 92))
+    rows = ingest.rows(ingest.accepted(landed), td.HOURLY_VALUES, config.LOCAL_TIMEZONE, hourly=True)
+    return rounded(rows.select("location_name", "step_utc", "timestamp", "date", *td.HOURLY_VALUES))
+
+
+@_register
+def date_bounds(spark, d):
+    """First and last date of a run for every date that occurs, in either mode."""
+    days = td.weather_daily(spark, d).select("date").distinct()
+    return days.withColumn("mode", F.explode(F.array(F.lit("historical"), F.lit("forecast")))).select(
+        "date", "mode", weather.bounds_of(F.col("date"), F.col("mode")).alias("bounds")
+    ).select("date", "mode", "bounds.*")
+
+
 @_register
 def weather_date_window(spark, d):
     daily = td.weather_daily(spark, d)

@@ -114,6 +114,46 @@ def hourly_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _nest(hourly, "_t", F.floor(F.col("_t") / 86400), HOURLY_VALUES, 3600)
 
 
+def daily_documents(spark: SparkSession, sf_dir: str, block_days: int = 16) -> DataFrame:
+    """The daily payloads as JSON documents, a part of them faulty in turn by location and block of days."""
+    number = F.substring("location_name", 5, 10).cast("long")
+    fault = (number + 3 * F.floor((F.col("time_start") - LOCAL_OFFSET_S) / 86400 / block_days)) % 9
+    axis = ["location_name", "time_start", "time_end", "interval_s"]
+    numbered = daily_payload(spark, sf_dir, block_days).withColumns({"_k": number, "_fault": fault})
+    line = F.transform("snowfall_sum", lambda value, step: 2000 + 100 * F.col("_k") + step)
+
+    def document(name: Column | None = None, interval: Column | None = None, **more: Column) -> Column:
+        head = [
+            F.coalesce(name if name is not None else F.col("location_name"), F.lit("")).alias("location_name"),
+            *axis[1:3],
+            (interval if interval is not None else F.col("interval_s")).alias("interval_s"),
+        ]
+        arrays = [more.pop(n, F.col(n)).alias(n) for n in DAILY_VALUES]
+        return F.to_json(F.struct(*head, *arrays, *[column.alias(n) for n, column in more.items()]))
+
+    whole = document()
+    text = (
+        F.when(F.col("_fault") == 0, F.substring(whole, 1, 90))
+        .when(F.col("_fault") == 1, document(name=F.lit(" ")))
+        .when(F.col("_fault") == 2, document(interval=F.lit(0)))
+        .when(F.col("_fault") == 3, document(snowfall_sum=F.array_append("snowfall_sum", F.lit(1.0))))
+        .when(F.col("_fault") == 4, document(name=F.concat("location_name", F.lit("x"))))
+        .when(F.col("_fault") == 5, document(humidity=F.transform("snowfall_sum", lambda value: F.lit("n/a"))))
+        .when(F.col("_fault") == 6, document(snow_line=line))
+        .when(F.col("_fault") == 7, F.to_json(F.struct(*axis)))
+        .otherwise(whole)
+    )
+    return numbered.select(text.alias("value"))
+
+
+def hourly_documents(spark: SparkSession, sf_dir: str, shift_days: int) -> DataFrame:
+    """The hourly payloads as JSON documents, moved by days."""
+    moved = hourly_payload(spark, sf_dir).withColumns(
+        {name: F.col(name) + shift_days * 86400 for name in ("time_start", "time_end")}
+    )
+    return moved.select(F.to_json(F.struct("*")).alias("value"))
+
+
 def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Grid of 50 rows and 40 columns per zone, 60 m apart."""
     key = F.col("p_partkey")
