@@ -47,6 +47,17 @@ WEATHER_HOURLY = _schema(
     "windgusts_10m double, surface_pressure double, relativehumidity_2m int, "
     "ingestion_timestamp timestamp"
 )
+WEATHER_QUARANTINE = _schema(
+    "document_id string, kind string, location_name string, reason string, value string, "
+    "ingestion_timestamp timestamp"
+)
+WEATHER_OTHER = _schema(
+    "location_name string, kind string, timestamp timestamp_ntz, variable string, value double, "
+    "ingestion_timestamp timestamp"
+)
+DATA_QUALITY = _schema(
+    "table_name string, check string, severity string, value double, passed boolean, processing_timestamp timestamp"
+)
 ELEVATION_RAW = _schema(
     "pixel_id string, latitude double, longitude double, elevation int, zone_name string, "
     "ingestion_timestamp timestamp"
@@ -129,6 +140,8 @@ LAYERS = {
         "ski_resort_locations": LOCATIONS,
         "weather_daily": WEATHER_DAILY,
         "weather_hourly": WEATHER_HOURLY,
+        "weather_other": WEATHER_OTHER,
+        "weather_quarantine": WEATHER_QUARANTINE,
         "srtm_raw": ELEVATION_RAW,
         "andes_handbook_routes": REPORTS,
     },
@@ -138,6 +151,7 @@ LAYERS = {
         "nlp_risk_patterns": NLP_RISK_PATTERNS,
         "weather_features": WEATHER_FEATURES,
         "weather_triggers": WEATHER_TRIGGERS,
+        "data_quality": DATA_QUALITY,
     },
     "gold": {
         "avalanche_predictions": AVALANCHE_PREDICTIONS,

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+import operator
+from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -31,23 +33,53 @@ LAYER_NAMES = {
 }
 
 
-def _checks(one_row: DataFrame, checks: list[tuple[str, str, Column, Column]]) -> DataFrame:
-    rows = [
-        F.struct(
-            F.lit(name).alias("check"),
-            F.lit(severity).alias("severity"),
-            value.cast("double").alias("value"),
-            F.coalesce(passed, F.lit(False)).alias("passed"),
+@dataclass(frozen=True)
+class Check:
+    """An aggregate of a table and the comparison it has to pass; ``error`` stops a write, ``warning`` and ``info`` do not."""
+
+    name: str
+    severity: str
+    value: Column
+    test: str
+    bound: float | None = None
+
+
+#: Comparisons of a check; they work on columns and on numbers alike.
+TESTS = {"==": operator.eq, ">": operator.gt, ">=": operator.ge, "<=": operator.le}
+
+
+def judge(checks: Sequence[Check], values: Mapping[str, float | None]) -> list[tuple[str, str, float | None, bool]]:
+    """(check, severity, value, passed) for values measured elsewhere, such as while a table was written."""
+    out = []
+    for check in checks:
+        value = values[check.name]
+        passed = value is not None and (check.test == "known" or TESTS[check.test](value, check.bound))
+        out.append((check.name, check.severity, None if value is None else float(value), passed))
+    return out
+
+
+def measure(df: DataFrame, checks: Sequence[Check]) -> DataFrame:
+    """The checks as rows (check, severity, value, passed); one pass over the table."""
+    measured = df.agg(*[check.value.alias(check.name) for check in checks])
+    rows = []
+    for check in checks:
+        value = F.col(check.name)
+        passed = value.isNotNull() if check.test == "known" else TESTS[check.test](value, check.bound)
+        rows.append(
+            F.struct(
+                F.lit(check.name).alias("check"),
+                F.lit(check.severity).alias("severity"),
+                value.cast("double").alias("value"),
+                F.coalesce(passed, F.lit(False)).alias("passed"),
+            )
         )
-        for name, severity, value, passed in checks
-    ]
-    return one_row.select(F.inline(F.array(*rows)))
+    return measured.select(F.inline(F.array(*rows)))
 
 
-def check_cells(
-    cells: DataFrame, bbox: BBox, min_rows: int = 1000, coverage: float = 0.8, min_quality: float = HIGH_QUALITY
-) -> DataFrame:
-    """Checks of a cell feature table as rows (check, severity, value, passed); one pass."""
+def cell_checks(
+    bbox: BBox, min_rows: int = 1000, coverage: float = 0.8, min_quality: float = HIGH_QUALITY
+) -> list[Check]:
+    """Checks of a cell feature table."""
 
     def span(name: str) -> Column:
         return F.max(name) - F.min(name)
@@ -55,41 +87,63 @@ def check_cells(
     def outside(name: str, high: float) -> Column:
         return F.count_if((F.col(name) < 0) | (F.col(name) > high))
 
-    measured = cells.agg(
-        F.count("*").alias("rows"),
-        *[F.count_if(F.col(c).isNull()).alias(f"null_{c}") for c in REQUIRED],
-        F.count_if(F.col("elevation") < 0).alias("negative_elevation"),
-        outside("slope_degrees", 90).alias("slope_range"),
-        outside("aspect_degrees", 360).alias("aspect_range"),
-        F.least(
-            span("latitude") / (bbox.north - bbox.south), span("longitude") / (bbox.east - bbox.west)
-        ).alias("coverage"),
-        F.avg("gee_quality_flag").alias("quality"),
-    )
-    faults = [*[f"null_{c}" for c in REQUIRED], "negative_elevation", "slope_range", "aspect_range"]
-    return _checks(
-        measured,
-        [
-            ("not_empty", "error", F.col("rows"), F.col("rows") > 0),
-            *[(name, "error", F.col(name), F.col(name) == 0) for name in faults],
-            ("enough_rows", "warning", F.col("rows"), F.col("rows") >= min_rows),
-            ("coverage", "warning", F.col("coverage"), F.col("coverage") >= coverage),
-            ("quality", "warning", F.col("quality"), F.col("quality") >= min_quality),
-        ],
-    )
+    covered = F.least(span("latitude") / (bbox.north - bbox.south), span("longitude") / (bbox.east - bbox.west))
+    faults = {
+        **{f"null_{c}": F.count_if(F.col(c).isNull()) for c in REQUIRED},
+        "negative_elevation": F.count_if(F.col("elevation") < 0),
+        "slope_range": outside("slope_degrees", 90),
+        "aspect_range": outside("aspect_degrees", 360),
+    }
+    return [
+        Check("not_empty", "error", F.count(F.lit(1)), ">", 0),
+        *[Check(name, "error", value, "==", 0) for name, value in faults.items()],
+        Check("enough_rows", "warning", F.count(F.lit(1)), ">=", min_rows),
+        Check("coverage", "warning", covered, ">=", coverage),
+        Check("quality", "warning", F.avg("gee_quality_flag"), ">=", min_quality),
+    ]
+
+
+def slope_checks(strict: bool = False) -> list[Check]:
+    """Cells that the mask cut off from their neighbours, so that they have no slope."""
+    missing = F.count_if(F.col("slope_degrees").isNull())
+    return [Check("cells_without_slope", "error" if strict else "warning", missing, "==", 0)]
+
+
+def range_checks(col: str, low: float = 0.0, high: float = 1.0) -> list[Check]:
+    return [
+        Check(f"{col}_min", "error", F.min(col), ">=", low),
+        Check(f"{col}_max", "error", F.max(col), "<=", high),
+        Check(f"{col}_avg", "info", F.avg(col), "known"),
+    ]
+
+
+def weather_checks(cols=WEATHER_REQUIRED, cols_of: Mapping[str, tuple[str, str]] | None = None) -> list[Check]:
+    """Missing values and value ranges of weather rows, for the record."""
+    functions = {"min": F.min, "max": F.max}
+    nulls = [Check(f"null_{c}", "info", F.count_if(F.col(c).isNull()), "==", 0) for c in cols]
+    named = (WEATHER_RANGES if cols_of is None else cols_of).items()
+    return nulls + [Check(name, "info", functions[f](c), "known") for name, (f, c) in named]
+
+
+def check_cells(
+    cells: DataFrame, bbox: BBox, min_rows: int = 1000, coverage: float = 0.8, min_quality: float = HIGH_QUALITY
+) -> DataFrame:
+    """Checks of a cell feature table as rows (check, severity, value, passed); one pass."""
+    return measure(cells, cell_checks(bbox, min_rows, coverage, min_quality))
 
 
 def check_range(df: DataFrame, col: str, low: float = 0.0, high: float = 1.0) -> DataFrame:
     """Minimum, maximum and mean of a column as checks against [low, high]."""
-    measured = df.agg(F.min(col).alias("lo"), F.max(col).alias("hi"), F.avg(col).alias("mean"))
-    return _checks(
-        measured,
-        [
-            (f"{col}_min", "error", F.col("lo"), F.col("lo") >= low),
-            (f"{col}_max", "error", F.col("hi"), F.col("hi") <= high),
-            (f"{col}_avg", "info", F.col("mean"), F.col("mean").isNotNull()),
-        ],
-    )
+    return measure(df, range_checks(col, low, high))
+
+
+class ChecksFailed(ValueError):
+    """An error-level check failed; ``results`` has all of them."""
+
+    def __init__(self, results: list[tuple[str, str, float | None, bool]]):
+        self.results = results
+        failed = sorted(f"{r[0]} ({'NULL' if r[2] is None else r[2]})" for r in results if r[1] == "error" and not r[3])
+        super().__init__("checks failed: " + ", ".join(failed))
 
 
 def enforce(checks: DataFrame) -> None:

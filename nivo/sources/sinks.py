@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from nivo import contracts
-from nivo.operators import frames, weather
+from nivo.operators import frames, quality, weather
 
 
 def write_table(
@@ -29,39 +30,75 @@ def write_table(
     With ``require_rows`` an empty frame is refused and leaves the table as it was.
 
     Rows are counted while they are written, so the plan runs once. An overwrite goes to a folder
-    beside the table, which takes the table's place only when it has rows. Before
-    a partitioned write Spark rebalances the rows by partition: small ones are merged,
+    beside the table; the old table is renamed away, the new one put in its place, and only then is the old
+    one removed. If a run breaks off between the two, the next one puts the old table back
+    (:func:`recover`). Before a partitioned write Spark rebalances the rows by partition: small ones are merged,
     large ones split, so there are neither many small files nor one overloaded task.
     """
+    return _write(df, path, schema, mode, partition_by, require_rows, optional)[0]
+
+
+def write_checked(
+    df: DataFrame,
+    path: str,
+    schema: StructType,
+    checks: Sequence[quality.Check],
+    partition_by: dict[str, Column] | tuple[str, ...] = (),
+    kept: Column | None = None,
+    before: Sequence[quality.Check] = (),
+) -> list[tuple[str, str, float | None, bool]]:
+    """Overwrite a table and measure the checks while its rows pass by, without another scan.
+
+    If a check of severity ``error`` fails, the old table stays and :class:`quality.ChecksFailed` is raised.
+    ``before`` is measured on all rows, ``checks`` on those that ``kept`` holds for, which are written.
+    """
+    rows, measured = _write(df, path, schema, "overwrite", partition_by, False, (), [(None, before), (kept, checks)])
+    return measured
+
+
+def _write(df, path, schema, mode, partition_by, require_rows, optional, stages=()):
     if mode not in ("overwrite", "append", "replace_partitions"):
         raise ValueError(f"unknown mode {mode!r}")
     derived = partition_by if isinstance(partition_by, dict) else {}
     names = list(partition_by)
+    if mode == "replace_partitions" and not names:
+        raise ValueError("replace_partitions needs partition columns")
+    observed = []
+    for kept, checks in stages:
+        df = df if kept is None else df.where(kept)
+        if checks:
+            observed.append((Observation(), checks))
+            df = df.observe(observed[-1][0], *[check.value.alias(check.name) for check in checks])
     table = contracts.conform(df, schema, optional).withColumns(derived)
     if names:
         table = table.hint("rebalance", *names)
-    observed = Observation()
-    counted = table.observe(observed, F.count(F.lit(1)).alias("rows"))
+    count = Observation()
+    counted = table.observe(count, F.count(F.lit(1)).alias("rows"))
     writer = counted.write.mode("append" if mode == "append" else "overwrite")
-    if mode == "replace_partitions":
-        if not names:
-            raise ValueError("replace_partitions needs partition columns")
-        writer = writer.option("partitionOverwriteMode", "dynamic")
-    else:
-        writer = writer.option("partitionOverwriteMode", "static")
+    writer = writer.option("partitionOverwriteMode", "dynamic" if mode == "replace_partitions" else "static")
     if names:
         writer = writer.partitionBy(*names)
+    files = _Files(df.sparkSession)
+    files.recover(path)
     target = f"{path.rstrip('/')}.new-{uuid.uuid4().hex}" if mode == "overwrite" else path
     writer.parquet(target)
-    rows = observed.get["rows"]
-    files = _Files(df.sparkSession)
+    rows = count.get["rows"]
+    results = [r for seen, checks in observed for r in quality.judge(checks, seen.get)]
+    if any(severity == "error" and not passed for _, severity, _, passed in results):
+        files.delete(target)
+        raise quality.ChecksFailed(results)
     if require_rows and rows == 0:
         if mode == "overwrite":
             files.delete(target)
         raise ValueError(f"refusing to write an empty table to {path}")
     if mode == "overwrite":
         files.replace(target, path)
-    return rows
+    return rows, results
+
+
+def recover(spark: SparkSession, path: str) -> None:
+    """Puts a table back that a broken-off overwrite has renamed away and not yet replaced."""
+    _Files(spark).recover(path)
 
 
 class _Files:
@@ -71,15 +108,34 @@ class _Files:
         self._path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
         self._conf = spark.sparkContext._jsc.hadoopConfiguration()
 
+    def _system(self, path: str):
+        folder = self._path(path.rstrip("/"))
+        return folder.getFileSystem(self._conf), folder
+
     def delete(self, path: str) -> None:
-        folder = self._path(path)
-        folder.getFileSystem(self._conf).delete(folder, True)
+        system, folder = self._system(path)
+        system.delete(folder, True)
+
+    def rename(self, old: str, new: str) -> None:
+        system, folder = self._system(old)
+        if not system.rename(folder, self._path(new.rstrip("/"))):
+            raise OSError(f"cannot move {old} to {new}")
 
     def replace(self, new: str, path: str) -> None:
-        self.delete(path)
-        folder = self._path(new)
-        if not folder.getFileSystem(self._conf).rename(folder, self._path(path)):
-            raise OSError(f"cannot move {new} to {path}")
+        system, folder = self._system(path)
+        aside = f"{path.rstrip('/')}.old-{uuid.uuid4().hex}"
+        if system.exists(folder):
+            self.rename(path, aside)
+        self.rename(new, path)
+        self.delete(aside)
+
+    def recover(self, path: str) -> None:
+        system, folder = self._system(path)
+        if system.exists(folder) or not system.exists(folder.getParent()):
+            return
+        aside = system.globStatus(self._path(f"{path.rstrip('/')}.old-*"))
+        if aside:
+            system.rename(max(aside, key=lambda status: status.getModificationTime()).getPath(), folder)
 
 
 def by_month(date_col: str = "date") -> dict[str, Column]:

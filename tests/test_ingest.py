@@ -1,0 +1,219 @@
+"""Payload documents of unknown variables: every document is accepted or put aside with a reason."""
+
+import datetime as dt
+import json
+
+import pytest
+from pyspark.sql import functions as F
+
+from nivo import config, ingest, quality, sinks, sources
+from nivo.plans import run as layers
+
+DAY = 86_400
+#: Local midnight of 1 March 2024 in Santiago (UTC-3).
+START = int(dt.datetime(2024, 3, 1, 3, tzinfo=dt.UTC).timestamp())
+PLACES = "name string, latitude double, longitude double, elevation int"
+
+
+def doc(name="La Parva", start=START, days=2, step=DAY, **series):
+    return json.dumps(
+        {"location_name": name, "time_start": start, "time_end": start + days * step, "interval_s": step, **series}
+    )
+
+
+GOOD = doc(snowfall_sum=[1.5, None], temperature_2m_max=[0, -2.25], units={"snow": "cm"}, elevation=3000)
+CASES = [
+    (GOOD, None),
+    (doc(new_variable=[1, 2]), None),
+    (doc(name="nowhere", snowfall_sum=[1, 2]), "location_unknown"),
+    (None, "malformed"),
+    ("", "malformed"),
+    ("[1, 2]", "malformed"),
+    (GOOD[:-3], "malformed"),
+    ('"text"', "malformed"),
+    (doc(name=""), "location_missing"),
+    (doc(name=None), "location_missing"),
+    (doc(days=0, snowfall_sum=[]), "axis_invalid"),
+    (doc(step=0), "axis_invalid"),
+    (doc(start=10**18), "axis_invalid"),
+    (doc(start=-(10**11) * 9), "axis_invalid"),
+    (doc().replace(str(START), '"soon"', 1), "axis_invalid"),
+    (doc(units="cm"), "series_missing"),
+    (doc(snowfall_sum=[1, 2], temperature_2m_max=[1]), "series_uneven"),
+    (doc(days=10**9, step=1, snowfall_sum=[1]), "series_uneven"),
+    (doc(snowfall_sum=[1, "n/a"]), "value_invalid"),
+    (doc(snowfall_sum=[1, [2]]), "value_invalid"),
+    (doc(snowfall_sum=[1, 1e300]), "value_invalid"),
+    (doc(snowfall_sum=[1, "NaN"]), "value_invalid"),
+]
+
+
+@pytest.fixture(scope="module")
+def places(spark):
+    return spark.createDataFrame([("La Parva", -33.35, -70.27, 3000), ("La Parva", -33.35, -70.27, 3001)], PLACES)
+
+
+def landed(spark, texts):
+    return spark.createDataFrame([(t,) for t in texts], "value string")
+
+
+def test_every_document_has_one_outcome(spark, places):
+    raw = landed(spark, [text for text, _ in CASES]).withColumn("row", F.monotonically_increasing_id())
+    judged = ingest.inspect(raw, places)
+    assert sorted(((r.value, r.reason) for r in judged.collect()), key=str) == sorted(CASES, key=str)
+    counts = {r.outcome: r.documents for r in ingest.reconcile(judged).collect()}
+    assert sum(counts.values()) == len(CASES) and counts["accepted"] == 2 and set(counts) <= {"accepted", *ingest.REASONS}
+    assert ingest.quarantine(judged).count() + ingest.accepted(judged).count() == len(CASES)
+    assert {r.elevation for r in ingest.accepted(judged).collect()} == {3000} and "row" in judged.columns
+    nothing = ingest.inspect(landed(spark, []), places)
+    assert nothing.count() == 0 and ingest.rows(ingest.accepted(nothing), ["snowfall_sum"]).count() == 0
+
+
+def test_rows_of_known_and_other_variables(spark, places):
+    accepted = ingest.accepted(ingest.inspect(landed(spark, [GOOD, doc(start=START + 2 * DAY, cloud=[7, None])]), places))
+    rows = ingest.rows(accepted, ["snowfall_sum", "temperature_2m_max", "windgusts_10m_max"]).orderBy("date").collect()
+    assert [(r.date.day, r.snowfall_sum, r.temperature_2m_max, r.windgusts_10m_max, r.elevation) for r in rows] == [
+        (1, 1.5, 0.0, None, 3000), (2, None, -2.25, None, 3000), (3, None, None, None, 3000), (4, None, None, None, 3000),
+    ]
+    other = ingest.other_series(accepted, ["snowfall_sum", "temperature_2m_max"]).collect()
+    assert [tuple(r) for r in other] == [("La Parva", dt.datetime(2024, 3, 3), "cloud", 7.0)]
+
+
+def test_overlapping_documents_give_one_row_a_day(spark, places):
+    old, new = doc(snowfall_sum=[1, 2]), doc(start=START + DAY, snowfall_sum=[20, 30])
+    raw = spark.createDataFrame([(new, 2), (old, 1), (old, 1)], "value string, landed int")
+    rows = ingest.rows(ingest.accepted(ingest.inspect(raw, places)), ["snowfall_sum"]).collect()
+    assert sorted((r.date.day, r.snowfall_sum) for r in rows) == [(1, 1.0), (2, 20.0), (3, 30.0)]
+
+
+@pytest.mark.parametrize(
+    "first,hours,doubled,missing",
+    [(dt.datetime(2024, 4, 6, 22), 30, dt.datetime(2024, 4, 6, 23), None),
+     (dt.datetime(2024, 9, 7, 22), 30, None, dt.datetime(2024, 9, 8, 0))],
+)
+def test_hours_over_clock_changes(spark, places, first, hours, doubled, missing):
+    """In April local 23:00 comes twice, in September local 0:00 never."""
+    offset = 3 if doubled else 4
+    start = int((first + dt.timedelta(hours=offset)).replace(tzinfo=dt.UTC).timestamp())
+    text = doc(start=start, days=hours, step=3600, snowfall=list(range(hours)))
+    rows = ingest.rows(ingest.accepted(ingest.inspect(landed(spark, [text]), places)), ["snowfall"], hourly=True).collect()
+    times = [r.timestamp for r in rows]
+    assert len(rows) == hours and len({r.step_utc for r in rows}) == hours
+    assert (times.count(doubled) == 2) if doubled else (missing not in times and len(set(times)) == hours)
+    assert min(times) == first and all(r.date == r.timestamp.date() for r in rows)
+
+
+def test_variables_are_listed_with_their_types(spark):
+    rows = ingest.variables(landed(spark, [doc(x=[1]), doc(x=["a"], y=[1.5]), "[3]", "{", None])).collect()
+    found = {r.variable: (r.documents, r.type) for r in rows}
+    assert found["x"][0] == 2 and found["y"] == (1, "ARRAY<DECIMAL(2,1)>") and found["time_start"][0] == 2
+    assert set(found) == {"location_name", "time_start", "time_end", "interval_s", "x", "y"}
+
+
+def test_documents_become_tables_of_the_model(spark, places, tmp_path):
+    root = str(tmp_path / "model")
+    daily = [doc(days=9, snowfall_sum=[40] * 9, snow_line=list(range(9)),
+                 **{n: [1] * 9 for n in ("temperature_2m_max", "temperature_2m_min", "temperature_2m_mean",
+                                         "precipitation_sum", "windspeed_10m_max")})]
+    hourly = [doc(days=48, step=3600, snowfall=[0.5] * 48, weathercode=[3] * 48)]
+    inputs = layers.Inputs(
+        daily_documents=landed(spark, [*daily, "{", doc(name="Farellones", snowfall_sum=[1, 2])]),
+        hourly_documents=landed(spark, hourly),
+        locations=places,
+    )
+    for _ in range(2):  # A second run doubles nothing.
+        layers.run(spark, inputs, root)
+        model = layers.Layers(spark, root)
+        assert model.read("weather_daily").count() == 9 and model.read("weather_features").count() == 9
+        assert model.read("weather_hourly").select("weathercode", "elevation").distinct().collect() == [(3, 3000)]
+        assert model.read("weather_hourly").count() == 48
+        assert model.read("weather_other").where("variable = 'snow_line'").count() == 9
+        aside = model.read("weather_quarantine")
+        assert sorted((r.reason, r.kind) for r in aside.collect()) == [("location_unknown", "daily"), ("malformed", "daily")]
+    # The location becomes known: its document, landed again, leaves the quarantine.
+    more = places.union(spark.createDataFrame([("Farellones", -33.3, -70.3, 2400)], PLACES))
+    again = landed(spark, [doc(name="Farellones", snowfall_sum=[1, 2])])
+    layers.build_weather(model, layers.build_ingestion(model, layers.Inputs(daily_documents=again, locations=more)))
+    assert [r.reason for r in model.read("weather_quarantine").collect()] == ["malformed"]
+    assert model.read("weather_daily").count() == 11
+    with pytest.raises(ValueError, match="both"):
+        layers.build_ingestion(model, layers.Inputs(daily=more, daily_documents=again))
+
+
+# --- Writes that measure their checks, and writes that break off ---------------------------
+
+
+def test_checks_are_measured_by_the_write_itself(spark, tmp_path):
+    path, schema = f"{tmp_path}/t", spark.range(0).selectExpr("id", "double(id) AS score").schema
+    scans = spark.sparkContext.accumulator(0)
+
+    def frame(scale):
+        counted = spark.range(100).rdd.map(lambda r: scans.add(1) or (r.id, r.id * scale))
+        return spark.createDataFrame(counted, schema)
+
+    results = sinks.write_checked(frame(0.01), path, schema, quality.range_checks("score"))
+    assert scans.value == 100 and {r[0]: r[3] for r in results} == dict.fromkeys(
+        ("score_min", "score_max", "score_avg"), True
+    )
+    with pytest.raises(quality.ChecksFailed, match="score_max") as failed:
+        sinks.write_checked(frame(1.0), path, schema, quality.range_checks("score"))
+    assert [r[3] for r in failed.value.results] == [True, False, True]
+    assert sources.read_table(spark, path).agg({"score": "max"}).first()[0] == 0.99
+    before = quality.Check("odd", "warning", F.count_if(F.col("id") % 2 == 1), "==", 0)
+    results = sinks.write_checked(frame(0.01), path, schema, [], kept=F.col("id") % 2 == 0, before=[before])
+    assert results == [("odd", "warning", 50.0, False)] and sources.read_table(spark, path).count() == 50
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["t"]
+
+
+def test_an_overwrite_that_breaks_off_loses_no_table(spark, tmp_path, monkeypatch):
+    path, schema = f"{tmp_path}/t", spark.range(0).schema
+    sinks.write_table(spark.range(3), path, schema)
+    rename = sinks._Files.rename
+
+    def broken(self, old, new):
+        if ".new-" in old:
+            raise OSError("lost")
+        rename(self, old, new)
+
+    monkeypatch.setattr(sinks._Files, "rename", broken)
+    with pytest.raises(OSError, match="lost"):
+        sinks.write_table(spark.range(5), path, schema)
+    monkeypatch.undo()
+    assert sources.find(spark, path) is None
+    sinks.recover(spark, path)
+    assert sources.read_table(spark, path).count() == 3
+    sinks.write_table(spark.range(7), path, schema)
+    assert sources.read_table(spark, path).count() == 7
+
+
+def test_cells_without_slope_are_counted_and_can_stop_the_run(spark, tmp_path):
+    root = str(tmp_path / "model")
+    rows = [("z", r, c, -33.4 + r * 0.001, -70.3 + c * 0.001, 2500.0 + 10 * r, 60.0) for r in range(8) for c in range(8)]
+    rows.append(("z", 40, 40, -33.3, -70.2, 2600.0, 60.0))  # No neighbour at all.
+    cells = spark.createDataFrame(rows, "zone_name string, row int, col int, latitude double, longitude double, elevation double, scale double")
+    inputs = layers.Inputs(cells=cells, cell_metres=(60.0, 60.0), terrain_version="v2", checked_box=config.PILOT_ZONE.bbox)
+    model = layers.Layers(spark, root)
+    layers.build_terrain(model, inputs)
+    checks = {(r.table_name, r.check): (r.value, r.passed) for r in model.read("data_quality").collect()}
+    assert checks["topo_features", "cells_without_slope"] == (1.0, False)
+    assert checks["topo_features", "null_slope_degrees"] == (0.0, True)
+    assert checks["topo_susceptibility", "susceptibility_score_max"][1]
+    stored = model.read("topo_features").count()
+    with pytest.raises(quality.ChecksFailed, match="cells_without_slope"):
+        layers.build_terrain(model, layers.replace(inputs, strict_slopes=True))
+    assert model.read("topo_features").count() == stored == 64
+    failed = model.read("data_quality").where("check = 'cells_without_slope'").collect()
+    assert [(r.severity, r.passed) for r in failed] == [("error", False)]
+
+
+def test_reports_take_the_zone_of_the_box_they_lie_in(spark, tmp_path):
+    reports = spark.createDataFrame(
+        [("1", "alud", -33.35, -70.3, 3000), ("2", "alud", -10.0, -70.3, 3000)],
+        "route_id string, description string, latitude double, longitude double, elevation int",
+    )
+    boxes = spark.createDataFrame(
+        [("La Parva", -33.4, -33.3, -70.32, -70.22)], "zone_name string, south double, north double, west double, east double"
+    )
+    model = layers.Layers(spark, str(tmp_path / "model"))
+    layers.build_text(model, layers.Inputs(reports=reports, zone_boxes=boxes))
+    assert sorted(((r.latitude, r.zone_name) for r in model.read("nlp_risk_patterns").collect())) == [(-33.35, "La Parva"), (-10.0, None)]
