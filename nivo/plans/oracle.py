@@ -852,3 +852,28 @@ _oracle("literal_source", """SELECT CASE o_orderpriority WHEN '1-URGENT' THEN 1
 _oracle("conformed_orders", """SELECT CAST(o_orderkey AS VARCHAR) AS o_orderkey,
     CAST(CAST(o_totalprice AS DECIMAL(12, 2)) AS DOUBLE) AS o_totalprice, CAST(NULL AS VARCHAR) AS note, true AS stamped
     FROM orders""")
+
+_TRIGGER_ROWS = "trigger_id location_name date trigger_type trigger_severity is_critical ~trigger_value"
+_select("sink_overwrite", _TRIGGER_ROWS, "triggers")
+_oracle("sink_partitioned", "SELECT strftime(date, '%Y-%m') AS month, count(*) AS triggers FROM triggers GROUP BY 1", "triggers")
+_oracle("sink_replace_partitions", f"""SELECT {_columns(_TRIGGER_ROWS)} FROM triggers
+    WHERE location_name <> 'loc_3' OR is_critical
+        OR NOT EXISTS (SELECT 1 FROM triggers WHERE location_name = 'loc_3' AND is_critical)""", "triggers")
+_oracle("sink_bulletins", """SELECT 'boletin_' || strftime(issue_date, '%Y%m%d') || '_' || zone_name AS boletin_id,
+    zone_name, issue_date, eaws_level FROM bulletins WHERE issue_date = (SELECT max(issue_date) FROM bulletins)""",
+        "bulletins")
+_oracle("sink_text", f"""SELECT zone_name, sha256(rtrim(bulletin_text, chr(10))) AS text_sha256
+    FROM ({ORACLES["bulletin_text"]}) WHERE issue_date = (SELECT max(issue_date) FROM ({ORACLES["bulletin_text"]}))""")
+_oracle("checks_of_write", " UNION ALL ".join(
+    f"""SELECT '{table}' AS table_name, '{name}' AS "check", '{severity}' AS severity,
+    round(CAST({value} AS DOUBLE), 6) + 0.0 AS value, coalesce({value} {test}, false) AS passed FROM {source}"""
+    for table, name, severity, value, test, source in (
+        ("topo_susceptibility", "susceptibility_score_min", "error", "min(susceptibility_score)", ">= 0", "susceptibility"),
+        ("topo_susceptibility", "susceptibility_score_max", "error", "max(susceptibility_score)", "<= 1", "susceptibility"),
+        ("topo_susceptibility", "susceptibility_score_avg", "info", "avg(susceptibility_score)", "IS NOT NULL", "susceptibility"),
+        *((f"weather_daily", f"null_{c}", "info", f"count(*) FILTER ({c} IS NULL)", "= 0", "weather_user")
+          for c in ("temperature_2m_mean", "snowfall_sum", "windspeed_10m_max")),
+        *(("weather_daily", f"{f}_{n}", "info", f"{f}({c})", "IS NOT NULL", "weather_user")
+          for n, c, fs in (("temp", "temperature_2m_min", ["min"]), ("temp", "temperature_2m_max", ["max"]),
+                           ("snow", "snowfall_sum", ["min", "max"]), ("wind", "windspeed_10m_max", ["min", "max"])) for f in fs),
+    )), "susceptibility", "weather_user")

@@ -29,6 +29,7 @@ from nivo import (
     weather,
 )
 from nivo.config import BBox
+from nivo.sources import scratch
 from nivo.plans import testdata as td
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -910,3 +911,83 @@ def conformed_orders(spark, d):
         "note",
         F.col("ingestion_timestamp").isNotNull().alias("stamped"),
     )
+
+
+# --- Tables written and read again -------------------------------------------------------
+
+
+def _stored(spark, d, partition_by=()):
+    """The triggers as a table of the model, written twice."""
+    path = scratch.folder(spark, "sink")
+    for _ in range(2):
+        sinks.write_table(_triggers(spark, d), path, contracts.WEATHER_TRIGGERS, partition_by=partition_by)
+    return path
+
+
+def _read_back(spark, path):
+    table = sources.read_table(spark, path)
+    columns = ["trigger_id", "location_name", "date", "trigger_type", "trigger_severity", "is_critical"]
+    return table.select(*columns, F.round("trigger_value", 6).alias("trigger_value"))
+
+
+@_register
+def sink_overwrite(spark, d):
+    return _read_back(spark, _stored(spark, d))
+
+
+@_register
+def sink_partitioned(spark, d):
+    """Triggers by month; rows are read through the month's folder."""
+    path = _stored(spark, d, sinks.by_month())
+    by_month = sources.read_table(spark, path).groupBy("month").agg(F.count("*").alias("triggers"))
+    return by_month.select(F.date_format(F.to_date("month", "yyyy-MM"), "yyyy-MM").alias("month"), "triggers")
+
+
+@_register
+def sink_replace_partitions(spark, d):
+    """One location's partition is replaced, twice; all others stay."""
+    path = _stored(spark, d, ("location_name",))
+    again = _triggers(spark, d).where((F.col("location_name") == "loc_3") & F.col("is_critical"))
+    options = {"mode": "replace_partitions", "partition_by": ("location_name",), "require_rows": False}
+    for _ in range(2):
+        sinks.write_table(again, path, contracts.WEATHER_TRIGGERS, **options)
+    return _read_back(spark, path)
+
+
+@_register
+def sink_bulletins(spark, d):
+    """The newest bulletins written by issue date and zone, twice, and read back."""
+    path = scratch.folder(spark, "sink")
+    records = frames.latest(bulletins.records(bulletins.aggregate(_backtest(spark, d))), "issue_date")
+    keys_ = ("issue_date", "zone_name")
+    for _ in range(2):
+        sinks.write_table(records, path, contracts.AVALANCHE_BULLETINS, mode="replace_partitions", partition_by=keys_)
+    table = sources.read_table(spark, path, contracts.AVALANCHE_BULLETINS)
+    return table.select("boletin_id", "zone_name", "issue_date", "eaws_level")
+
+
+@_register
+def sink_text(spark, d):
+    """The newest bulletin texts as one file per zone, read back from the files."""
+    path = scratch.folder(spark, "sink")
+    texts = frames.latest(bulletins.records(bulletins.aggregate(_backtest(spark, d))), "issue_date")
+    sinks.write_text(texts, path, ("zone_name", "issue_date"))
+    files = spark.read.text(path, wholetext=True)
+    return files.select("zone_name", F.sha2(F.rtrim(F.lit("\n"), "value"), 256).alias("text_sha256"))
+
+
+@_register
+def checks_of_write(spark, d):
+    """Checks of the susceptibility table and of weather rows, measured while they were written."""
+    path, rows = scratch.folder(spark, "sink"), []
+    kept = sinks.write_checked(
+        terrain.susceptibility_table(_cells_v1(spark, d)),
+        f"{path}/topo",
+        contracts.TOPO_SUSCEPTIBILITY,
+        quality.range_checks("susceptibility_score"),
+    )
+    daily = td.weather_daily(spark, d, per_user=True)
+    measured = sinks.write_checked(daily, f"{path}/daily", daily.schema, quality.weather_checks())
+    rows = [("topo_susceptibility", *r) for r in kept] + [("weather_daily", *r) for r in measured]
+    schema = "table_name string, check string, severity string, value double, passed boolean"
+    return rounded(spark.createDataFrame(rows, schema))
