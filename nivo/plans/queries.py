@@ -973,7 +973,7 @@ def sink_text(spark, d):
     texts = frames.latest(bulletins.records(bulletins.aggregate(_backtest(spark, d))), "issue_date")
     sinks.write_text(texts, path, ("zone_name", "issue_date"))
     files = spark.read.text(path, wholetext=True)
-    return files.select("zone_name", F.sha2(F.rtrim(F.lit("\n"), "value"), 256).alias("text_sha256"))
+    return files.select("zone_name", F.sha2(F.rtrim("value", F.lit("\n")), 256).alias("text_sha256"))
 
 
 @_register
