@@ -6,7 +6,9 @@ without Python workers.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Mapping, Sequence
+from functools import cache
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -28,21 +30,74 @@ SLOPE_PATTERNS = (
 )
 
 
-def phrase_count(text: Column, phrases: Sequence[str]) -> Column:
-    """How many of the phrases occur in the text, each counted once.
+#: Letters that phrases of a group share at least. Fewer would make larger groups, but parts that most texts hold.
+SHARED = 4
+
 
-    The phrases are one constant array: a sum of one expression per phrase generates a
-    method too large to be compiled, and is slower.
+@cache
+def shared_parts(phrases: tuple[str, ...], least: int = SHARED) -> tuple[tuple[str, tuple[str, ...]], ...]:
+    """Groups of phrases with a part that all of the group hold: a text without it holds none of them.
+
+    Parts are chosen greedily, most phrases for the least cost; a search costs more the more
+    often its first letter occurs, which is taken from the phrases themselves.
+    """
+    letters = Counter("".join(phrases))
+    everything = sum(letters.values())
+    left, groups = sorted(set(phrases)), []
+    while left:
+        holders: dict[str, list[str]] = {}
+        for phrase in left:
+            sizes = range(min(least, len(phrase)), len(phrase) + 1)
+            for part in {phrase[i : i + n] for n in sizes for i in range(len(phrase) - n + 1)}:
+                holders.setdefault(part, []).append(phrase)
+
+        def worth(part: str) -> tuple:
+            return len(holders[part]) / (0.4 + 3 * letters[part[0]] / everything), len(part), part
+
+        best = max(holders, key=worth)
+        groups.append((best, tuple(holders[best])))
+        left = [phrase for phrase in left if phrase not in holders[best]]
+    return tuple(groups)
+
+
+def phrases_in(text: Column, phrases: Sequence[str]) -> Column:
+    """The distinct phrases that occur in the text, inside words too.
+
+    The text is searched for the parts that groups of phrases share and, where one occurs, for the phrases of its
+    group, so most of the phrases cost nothing on most texts. All of it is one constant array: an
+    expression per phrase generates a method too large to be compiled.
     """
-    listed = F.split(F.lit("\n".join(phrases)), "\n")
-    return F.size(F.filter(listed, lambda phrase: F.contains(text, phrase)))
+    groups = F.array(
+        *[
+            F.struct(F.lit(part).alias("part"), F.array(*[F.lit(p) for p in held]).alias("phrases"))
+            for part, held in shared_parts(tuple(phrases))
+        ]
+    )
+
+    def search(one: Column) -> Column:
+        likely = F.transform(F.filter(groups, lambda g: F.contains(one, g["part"])), lambda g: g["phrases"])
+        return F.filter(F.flatten(likely), lambda phrase: F.contains(one, phrase))
+
+    # Through the one-element array the text is computed once, not once per part.
+    return F.transform(F.array(text), search)[0]
+
+
+def _number_of(found: Column, phrases: Sequence[str]) -> Column:
+    return F.size(F.array_intersect(found, F.array(*[F.lit(p) for p in phrases])))
+
+
+def phrase_count(text: Column, phrases: Sequence[str]) -> Column:
+    """How many of the phrases occur in the text, each counted once."""
+    return F.size(phrases_in(text, phrases))
 
 
 def mention_counts(
     df: DataFrame, text_col: str = "description", vocab: Mapping[str, Sequence[str]] = VOCABULARY
 ) -> DataFrame:
     """Add one count per vocabulary category. Phrases match inside words, ignoring case."""
-    return df.withColumn("_lower", _lower(F.col(text_col))).withColumns(_counts(vocab)).drop("_lower")
+    phrases = [p for listed in vocab.values() for p in listed]
+    found = phrases_in(_lower(F.col(text_col)), phrases)
+    return df.withColumn("_found", found).withColumns(_counts(vocab)).drop("_found")
 
 
 def _lower(text: Column) -> Column:
@@ -50,7 +105,7 @@ def _lower(text: Column) -> Column:
 
 
 def _counts(vocab: Mapping[str, Sequence[str]]) -> dict[str, Column]:
-    return {name: phrase_count(F.col("_lower"), phrases) for name, phrases in vocab.items()}
+    return {name: _number_of(F.col("_found"), phrases) for name, phrases in vocab.items()}
 
 
 def risk_score(df: DataFrame, weights: TextWeights = config.TEXT_WEIGHTS) -> DataFrame:
@@ -106,12 +161,12 @@ def sentiment(
     neg: Sequence[str] = config.NEGATIVE_WORDS,
 ) -> Column:
     """positivo, negativo or neutral, by which word list has more words in the text."""
-    # Through the one-element array the text is lowered once, not once per word.
-    return F.transform(F.array(_lower(text)), lambda lowered: _mood(lowered, pos, neg))[0]
+    found = phrases_in(_lower(text), [*pos, *neg])
+    return F.transform(F.array(found), lambda listed: _mood(listed, pos, neg))[0]
 
 
-def _mood(lowered: Column, pos: Sequence[str], neg: Sequence[str]) -> Column:
-    sign = F.sign(phrase_count(lowered, pos) - phrase_count(lowered, neg)).cast("int")
+def _mood(found: Column, pos: Sequence[str], neg: Sequence[str]) -> Column:
+    sign = F.sign(_number_of(found, pos) - _number_of(found, neg)).cast("int")
     return F.element_at(F.array(F.lit("negativo"), F.lit("neutral"), F.lit("positivo")), sign + 2)
 
 
@@ -129,12 +184,8 @@ def difficulty() -> Column:
 
 def analyse(df: DataFrame, text_col: str = "description") -> DataFrame:
     """Counts, score, slopes, difficulty and sentiment of every report."""
-    mood = _mood(F.col("_lower"), config.POSITIVE_WORDS, config.NEGATIVE_WORDS)
-    counted = (
-        df.withColumn("_lower", _lower(F.col(text_col)))
-        .withColumns({**_counts(VOCABULARY), "sentiment": mood})
-        .drop("_lower")
-    )
+    # Counts and mood are searched for apart, so that a plan which reads only one of them pays for that.
+    counted = mention_counts(df, text_col).withColumn("sentiment", sentiment(F.col(text_col)))
     scored = slope_mentions(risk_score(counted), text_col)
     return scored.withColumn("difficulty_level", difficulty())
 

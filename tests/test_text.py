@@ -133,3 +133,18 @@ def test_summaries(spark, reports):
 def test_no_python_in_the_plan(spark, reports):
     plan = text.patterns(reports)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Exchange" not in plan
+
+
+def test_parts_are_shared_and_lose_no_phrase():
+    phrases = [p for listed in config.VOCABULARY.values() for p in listed] + ["x", "ab", "abx"]
+    groups = text.shared_parts(tuple(phrases))
+    assert sorted(p for _, held in groups for p in held) == sorted(set(phrases))
+    assert all(part in p for part, held in groups for p in held) and len(groups) < 0.7 * len(set(phrases))
+
+
+def test_overlapping_phrases_by_brute_force(spark):
+    phrases = ["aba", "ab", "bab", "abab", "b a", "ñu", "muy alto", "alto", "x"]
+    values = ["ababab", "b ab", "MUY ALTO ñu", "ÑU muy  alto", "", "b", "xxbabx"]
+    found = texts(spark, *values).select("description", text.phrases_in(F.lower("description"), phrases).alias("f"))
+    for row in found.collect():
+        assert sorted(row.f) == sorted(p for p in phrases if p in row.description.lower())
