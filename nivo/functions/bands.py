@@ -70,64 +70,66 @@ def danger_scale(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([tuple(r[c] for c in columns) for r in config.DANGER_SCALE], schema)
 
 
-#: Places over which the values of one bucket are dealt for the join.
-SALTS = 8
+#: Bands whose index a row can carry while it is looked up; a table of more is refused.
+MOST_BANDS = 1_000
 
 
-def lookup_band(df: DataFrame, value_col: str, bands: DataFrame, bucket: float = 500) -> DataFrame:
-    """Left join each value to the row of ``bands(band, low, high)`` whose interval holds it.
+def breakpoint_index(bands: DataFrame) -> Column:
+    """The intervals of ``bands(band, low, high)`` as one row: their breakpoints in order and the bands from each on.
 
-    A NULL or infinite bound is open. Intervals and values meet on a shared bucket number, so this
-    is an equi-join of any size: Catalyst broadcasts the bands when they are small and shuffles
-    both sides when they are not, the rows of a bucket over ``SALTS`` places. Bands are
-    laid out over the buckets of the values that occur, so one that reaches far takes no more rows than these. A
-    disjoint band table gives one row per input row.
+    Between two neighbouring breakpoints the same bands hold, so overlapping, nested and open intervals become
+    disjoint pieces, each with the list of its bands. It is a scalar subquery: the plan stays lazy, and
+    whatever is looked up needs neither a join nor a shuffle.
     """
-    width = F.lit(float(bucket))
-    value = F.col(value_col)
-
-    def bucket_of(number: Column) -> Column:
-        return F.floor(number / width).cast("bigint")
-
-    finite = F.when(~F.isnan(value.cast("double")) & (F.abs(value.cast("double")) < float("inf")), value)
-    present = df.select(bucket_of(finite).alias("_bucket")).where("_bucket is not null").distinct()
-    low = F.coalesce(F.col("low").cast("double"), F.lit(float("-inf")))
-    high = F.coalesce(F.col("high").cast("double"), F.lit(float("inf")))
-    limits = present.agg(F.struct(F.min("_bucket").alias("least"), F.max("_bucket").alias("most"))).scalar()
-
-    def clamped(number: Column) -> Column:
-        return F.greatest(limits["least"], F.least(limits["most"], number))
-
-    def edge(bound: Column) -> Column:
-        """Bucket of a bound; a bound beyond all buckets is one before or after them."""
-        before, after = limits["least"] - 1, limits["most"] + 1
-        return (
-            F.when(bound / width < before.cast("double"), before)
-            .when(bound / width > after.cast("double"), after)
-            .otherwise(bucket_of(bound))
+    low = F.coalesce(F.col("low").cast("double"), F.lit(float("-inf"))).alias("low")
+    high = F.coalesce(F.col("high").cast("double"), F.lit(float("inf"))).alias("high")
+    real = bands.select(low, high, "band").where("low < high")
+    # A row of at most MOST_BANDS bands; the count is compared before they are gathered.
+    counted = real.agg(F.count(F.lit(1)).alias("n")).scalar()
+    few = F.when(counted > MOST_BANDS, F.raise_error(F.lit(f"more than {MOST_BANDS} bands"))).otherwise(True)
+    listed = real.where(few.cast("boolean")).agg(F.sort_array(F.collect_list(F.struct("low", "high", "band"))).alias("b"))
+    edges = F.flatten(F.transform("b", lambda x: F.array(x["low"], x["high"])))
+    pointed = listed.select("b", F.array_sort(F.array_distinct(edges)).alias("points"))
+
+    def holding(point: Column) -> Column:
+        held = F.filter("b", lambda x: (x["low"] <= point) & (point < x["high"]))
+        return F.transform(held, lambda x: x["band"])
+
+    return pointed.select(F.struct("points", F.transform("points", holding).alias("bands"))).scalar()
+
+
+def piece_of(value: Column, points: Column) -> Column:
+    """How many of the sorted ``points`` are at or below the value, by binary search."""
+    rounds = F.ceil(F.log2(F.greatest(F.size(points), F.lit(1)) + 1)).cast("int")
+    start = F.struct(F.lit(0).alias("lo"), F.size(points).alias("hi"))
+
+    def halve(range_: Column, _: Column) -> Column:
+        middle = F.floor((range_["lo"] + range_["hi"]) / 2).cast("int")
+        open_ = range_["lo"] < range_["hi"]
+        right = open_ & (F.get(points, middle) <= value)
+        return F.struct(
+            F.when(right, middle + 1).otherwise(range_["lo"]).alias("lo"),
+            F.when(open_ & ~right, middle).otherwise(range_["hi"]).alias("hi"),
         )
 
-    reach = (
-        bands.select(F.col("band").alias("_band"), low.alias("_low"), high.alias("_high"))
-        .where("_low < _high")
-        .select(
-            "*",
-            F.when(
-                (edge(F.col("_high")) >= limits["least"]) & (edge(F.col("_low")) <= limits["most"]),
-                F.sequence(clamped(edge(F.col("_low"))), clamped(edge(F.col("_high")))),
-            ).alias("_reach"),
-        )
-        .select("_band", "_low", "_high", F.explode("_reach").alias("_bucket"))
-        .withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    )
-    dealt = df.withColumn("_own", bucket_of(finite)).withColumn(
-        "_place", F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]), F.lit(SALTS)).cast("int")
-    )
-    hit = (
-        (F.col("_own") == F.col("_bucket"))
-        & (F.col("_place") == F.col("_salt"))
-        & (value >= F.col("_low"))
-        & (value < F.col("_high"))
+    return F.aggregate(F.sequence(F.lit(1), rounds), start, halve, lambda range_: range_["lo"])
+
+
+def lookup_band(df: DataFrame, value_col: str, bands: DataFrame) -> DataFrame:
+    """Each row with the ``band`` of ``bands(band, low, high)`` whose interval ``[low, high)`` holds its value.
+
+    A NULL or infinite bound is open. Values are looked up where they lie, by binary search in the breakpoints
+    of the bands: the input is scanned once and not shuffled, wherever values and bounds lie. A value
+    that several bands hold has a row for each; one that none holds, like NULL, NaN and infinite ones, has NULL.
+    Empty intervals hold nothing. A disjoint band table gives one row per input row. The bands are
+    dimension data: more than ``MOST_BANDS`` are an error.
+    """
+    value = F.col(value_col).cast("double")
+    carrying = df.withColumn("_index", breakpoint_index(bands))
+    index = F.col("_index")
+    finite = value.isNotNull() & ~F.isnan(value) & (F.abs(value) < float("inf"))
+    place = piece_of(value, index["points"])
+    held = F.when(finite & (place > 0), F.get(index["bands"], place - 1))
+    return carrying.withColumn("_held", held).select(
+        *[F.col(f"`{c}`") for c in df.columns], F.explode_outer("_held").alias("band")
     )
-    joined = dealt.join(reach, hit, "left").withColumnRenamed("_band", "band")
-    return joined.drop("_low", "_high", "_bucket", "_salt", "_own", "_place")

@@ -877,3 +877,7 @@ _oracle("checks_of_write", " UNION ALL ".join(
           for n, c, fs in (("temp", "temperature_2m_min", ["min"]), ("temp", "temperature_2m_max", ["max"]),
                            ("snow", "snowfall_sum", ["min", "max"]), ("wind", "windspeed_10m_max", ["min", "max"])) for f in fs),
     )), "susceptibility", "weather_user")
+_oracle("band_overlaps", """SELECT o_orderstatus, band, count(*) AS orders FROM orders
+    LEFT JOIN (VALUES ('any', NULL, 90000), ('mid', 50000, 200000), ('inner', 120000, 120500), ('top', 350000, NULL))
+        b(band, low, high)
+    ON o_totalprice >= coalesce(low, -1e300) AND o_totalprice < coalesce(high, 1e300) GROUP BY 1, 2""")

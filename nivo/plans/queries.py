@@ -183,6 +183,15 @@ def band_range_join(spark, d):
     return bands.lookup_band(orders, "elevation", table).select("o_orderkey", "band")
 
 
+@_register
+def band_overlaps(spark, d):
+    """Prices by overlapping, nested and open ranges: a row for each that holds them, NULL where none does."""
+    rows = [("any", None, 90_000.0), ("mid", 50_000.0, 200_000.0), ("inner", 120_000.0, 120_500.0), ("top", 350_000.0, None)]
+    table = spark.createDataFrame(rows, "band string, low double, high double")
+    found = bands.lookup_band(td.read(spark, d, "orders"), "o_totalprice", table)
+    return found.groupBy("o_orderstatus", "band").agg(F.count("*").alias("orders"))
+
+
 @_register
 def critical_slope(spark, d):
     return td.slopes(spark, d).select(

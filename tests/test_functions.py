@@ -63,7 +63,7 @@ def test_lookup_band_with_open_and_far_bounds(spark):
     )
     values = [-1e6, 0.0, 99.9, 100.0, 899.0, 900.0, 1e6, None] + [500.0] * 300
     df = spark.createDataFrame(list(enumerate(values)), "i int, v double")
-    rows = {r["i"]: r["band"] for r in bands.lookup_band(df, "v", table, bucket=200).collect()}
+    rows = {r["i"]: r["band"] for r in bands.lookup_band(df, "v", table).collect()}
     expected = ["low", "low", "low", "mid", "mid", "far", "far", None] + ["mid"] * 300
     assert [rows[i] for i in range(len(values))] == expected
     infinite = spark.createDataFrame([("all", float("-inf"), float("inf"))], "band string, low double, high double")
@@ -76,12 +76,50 @@ def test_lookup_band_matches_the_expression(spark):
     rng = random.Random(1)
     values = [rng.uniform(-500, 7000) for _ in range(500)] + EDGES
     df = column(spark, values)
-    joined = bands.lookup_band(df, "v", table, bucket=700).withColumn("e", bands.elevation_band(F.col("v"), outside="null"))
+    joined = bands.lookup_band(df, "v", table).withColumn("e", bands.elevation_band(F.col("v"), outside="null"))
     rows = joined.collect()
     assert len(rows) == len(values)
     assert all(r["band"] == r["e"] for r in rows)
 
 
+def test_lookup_band_by_brute_force(spark):
+    """Overlapping, nested, repeated, touching and open bands; an outlier costs nothing."""
+    rng = random.Random(4)
+    table = [("all", None, None), ("a", 0.0, 10.0), ("a", 0.0, 10.0), ("b", 5.0, 7.0), ("c", 10.0, 11.0), ("d", None, 3.0)]
+    table += [("e", 8.0, None), ("empty", 4.0, 4.0), ("upside", 6.0, 2.0)]
+    table += [(f"r{i}", x, x + rng.uniform(0, 9)) for i, x in enumerate(rng.uniform(-20, 20) for _ in range(40))]
+    values = [rng.uniform(-25, 25) for _ in range(300)] + [0.0, 3.0, 10.0, 11.0, 7.0, 1e13, -1e300]
+    values += [None, float("nan"), float("inf"), float("-inf")]
+    df = spark.createDataFrame(list(enumerate(values)), "band_id int, v double")
+    found = bands.lookup_band(df, "v", spark.createDataFrame(table, "band string, low double, high double"))
+
+    def holds(low, high, v):
+        return (low is None or low <= v) and (high is None or v < high)
+
+    wanted = []
+    for i, v in enumerate(values):
+        held = [] if v is None or math.isnan(v) or math.isinf(v) else [b for b, low, high in table if holds(low, high, v)]
+        wanted += [(i, b) for b in held] or [(i, None)]
+    assert sorted(((r.band_id, r.band) for r in found.collect()), key=str) == sorted(wanted, key=str)
+    two = spark.createDataFrame([("low", None, 1000.0), ("high", 1000.0, None)], "band string, low double, high double")
+    rows = bands.lookup_band(spark.createDataFrame([(10.0,), (1e13,)], "v double"), "v", two).collect()
+    assert sorted(tuple(r) for r in rows) == [(10.0, "low"), (1e13, "high")]
+    none = bands.lookup_band(df, "v", two.limit(0))
+    assert none.count() == len(values) and none.where("band is not null").count() == 0
+
+
+def test_lookup_band_scans_once_and_shuffles_no_values(spark, tmp_path):
+    spark.range(1000).selectExpr("id", "double(id) AS v").write.parquet(f"{tmp_path}/values")
+    spark.createDataFrame([("x", 1.0, 2.0)], "band string, low double, high double").write.parquet(f"{tmp_path}/bands")
+    found = bands.lookup_band(spark.read.parquet(f"{tmp_path}/values"), "v", spark.read.parquet(f"{tmp_path}/bands"))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    main = plan.split("Subquery")[0] if plan.startswith("Subquery") is False else plan
+    assert plan.count(f"{tmp_path}/values") == 1 and "Join" not in plan and "Exchange" not in main
+    many = spark.range(bands.MOST_BANDS + 1).selectExpr("string(id) AS band", "double(id) AS low", "double(id + 1) AS high")
+    with pytest.raises(Exception, match="more than"):
+        bands.lookup_band(spark.range(1).selectExpr("1.0D AS v"), "v", many).collect()
+
+
 @pytest.mark.parametrize("digits", [0, 1, 2, 3])
 def test_fixed_formats_like_printf(spark, digits):
     rng = random.Random(digits)
