@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -12,7 +13,7 @@ from nivo import config
 from nivo.config import FusionWeights
 from nivo.functions import bands, keys
 from nivo.functions.numbers import fixed
-from nivo.operators import weather
+from nivo.operators import lookback, weather
 
 ZONE_BAND = ["zone_name", "elevation_band"]
 
@@ -52,11 +53,21 @@ def _weather_aggregates() -> list[Column]:
 
 
 def weather_by_band(
-    feature_table: DataFrame, triggers: DataFrame, as_of: dt.date | Column | None = None, days: int = 3
+    feature_table: DataFrame,
+    triggers: DataFrame | None = None,
+    as_of: dt.date | Column | None = None,
+    days: int = 3,
 ) -> DataFrame:
-    """Weather of the last days per zone and band, with the number of critical triggers."""
+    """Weather of the last days per zone and band, with the number of critical triggers.
+
+    Without ``triggers`` they are counted from the column ``critical_triggers`` of the features: no second table, no join.
+    """
     last = feature_table.agg(F.max("date")).scalar() if as_of is None else as_of
     keys_ = ["location_name", "elevation_band"]
+    if triggers is None:
+        fired = F.sum("critical_triggers").cast("long").alias("critical_trigger_count")
+        recent = weather.last_n_days(feature_table, days, last).groupBy(*keys_).agg(*_weather_aggregates(), fired)
+        return recent.withColumnRenamed("location_name", "zone_name")
     recent = weather.last_n_days(feature_table, days, last).groupBy(*keys_).agg(*_weather_aggregates())
     critical = (
         weather.last_n_days(triggers, days, last)
@@ -85,6 +96,70 @@ def fuse(topo: DataFrame, nlp: DataFrame, weather_table: DataFrame) -> DataFrame
     return fused.fillna(_DEFAULTS)
 
 
+def fuse_rows(
+    susceptibility_table: DataFrame,
+    pattern_table: DataFrame,
+    feature_table: DataFrame,
+    triggers: DataFrame | None = None,
+    as_of: dt.date | Column | None = None,
+    days: int = 3,
+) -> DataFrame:
+    """What :func:`fuse` gives for the evidence of these tables, from one aggregation of their narrow rows.
+
+    Rows of all sources are tagged, put one below the other and grouped by zone and band: one
+    shuffle, combined in the map tasks, in place of four groupings and three joins. Without ``triggers`` the number of
+    critical ones is taken from the column ``critical_triggers`` of the features (:func:`weather.feature_table`),
+    which are then evaluated once. ``has_topo``, ``has_nlp`` and ``has_weather`` tell a source without rows from
+    one whose values are 0. The susceptibility table has one row per zone and band.
+    """
+    last = feature_table.agg(F.max("date")).scalar() if as_of is None else as_of
+    recent = weather.last_n_days(feature_table, days, last)
+    fired = F.col("critical_triggers").cast("long") if triggers is None else F.lit(0).cast("long")
+    place = F.col("location_name").alias("zone_name")
+    topo = susceptibility_table.select(
+        *ZONE_BAND,
+        F.lit("topo").alias("_source"),
+        F.col("susceptibility_score").alias("_topo"),
+        F.col("critical_slope_area_km2").alias("_area"),
+    )
+    nlp = pattern_table.select(
+        *ZONE_BAND,
+        F.lit("nlp").alias("_source"),
+        F.col("confidence").alias("_nlp"),
+        F.col("risk_mentions").alias("_risks"),
+        F.col("avalanche_events").alias("_events"),
+    )
+    sky = recent.select(place, "elevation_band", F.lit("weather").alias("_source"), *_MEASURES, fired.alias("_fired"))
+    sources = [topo, nlp, sky]
+    if triggers is not None:
+        alarms = weather.last_n_days(triggers, days, last).where("is_critical")
+        sources.append(
+            alarms.select(place, "elevation_band", F.lit("trigger").alias("_source"), F.lit(1).cast("long").alias("_fired"))
+        )
+    tagged = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), sources)
+
+    def of(source: str) -> Column:
+        return F.count_if(F.col("_source") == source)
+
+    # Fused columns in the order that joining the sources gives.
+    fused = tagged.groupBy(*ZONE_BAND).agg(
+        F.max("_topo").alias("topo_score"),
+        F.max("_area").alias("critical_area_km2"),
+        F.avg("_nlp").alias("nlp_score"),
+        F.sum("_risks").alias("total_risk_mentions"),
+        F.sum("_events").alias("total_avalanche_mentions"),
+        F.when(of("nlp") > 0, of("nlp")).alias("nlp_report_count"),
+        *_weather_aggregates(),
+        F.when(of("weather") > 0, F.sum("_fired")).alias("critical_trigger_count"),
+        (of("topo") > 0).alias("has_topo"),
+        (of("nlp") > 0).alias("has_nlp"),
+        (of("weather") > 0).alias("has_weather"),
+    )
+    # Triggers of a band without weather rows are no evidence of their own.
+    present = F.col("has_topo") | F.col("has_nlp") | F.col("has_weather")
+    return fused.where(present).fillna(_DEFAULTS)
+
+
 def score(df: DataFrame, weights: FusionWeights = config.FUSION_WEIGHTS) -> DataFrame:
     """Add contributions, risk score, danger level, label and confidence."""
 
@@ -225,36 +300,54 @@ def backtest(
     the last one, for the bands on which any of the three inputs has a row. By default
     every location and date of the feature table is asked for.
 
-    Every row of weather counts for the dates of the next days, so it is copied to those
-    dates and one partially aggregated group per zone, date and band collects them: no join
-    of weather with itself, and no task that holds one zone's history.
+    The windows of all dates come from running aggregates over blocks of days (:func:`lookback.trailing`): a row
+    of weather is copied once however long they are, weather is not joined with itself, and no
+    task holds one zone's history.
     """
     if as_of is None:
-        asked = feature_table.select("location_name", "date").distinct().toDF("zone_name", "forecast_date")
+        # Dates and bands of a zone come from one aggregation, whose shuffle is used twice.
+        present = feature_table.select(*_DATED).distinct()
+        asked = present.select("location_name", "date").distinct().toDF("zone_name", "forecast_date")
     else:
         asked = as_of.select("zone_name", "forecast_date").distinct()
         seen = F.sequence(F.date_sub("forecast_date", days - 1), F.col("forecast_date"))
         needed = asked.select(F.col("zone_name").alias("location_name"), F.explode(seen).alias("date"))
         feature_table, triggers = _restrict(feature_table, needed), _restrict(triggers, needed)
+        present = feature_table
     observed = feature_table.select(
         *_DATED, *_MEASURES, F.lit(1).alias("_features"), F.lit(0).alias("_critical")
     )
     critical = triggers.where("is_critical").select(
         *_DATED, F.lit(0).alias("_features"), F.lit(1).alias("_critical")
     )
-    counted_for = F.sequence(F.col("date"), F.date_add("date", days - 1))
-    by_date = (
-        observed.unionByName(critical, allowMissingColumns=True)
-        .withColumn("forecast_date", F.explode(counted_for))
-        .groupBy(F.col("location_name").alias("zone_name"), "forecast_date", "elevation_band")
-        .agg(
-            *_weather_aggregates(),
-            F.sum("_critical").alias("critical_trigger_count"),
-            F.sum("_features").alias("_features"),
-        )
-        .where("_features > 0")
-        .drop("_features")
-        .join(asked, ["zone_name", "forecast_date"], "left_semi")
+    rows = observed.unionByName(critical, allowMissingColumns=True)
+    # Every date asked for a zone, on each band that its weather has at any time.
+    seen_bands = present.select(F.col("location_name").alias("zone_name"), "elevation_band").distinct()
+    targets = asked.join(seen_bands, "zone_name")
+    values = {
+        "max_snowfall_24h": ("max", "snowfall_24h"),
+        "max_snowfall_72h": ("max", "snowfall_72h"),
+        "max_temp_variation": ("max", "temp_variation_24h"),
+        "max_wind_speed": ("max", "windspeed_10m_max"),
+        "_isoterma": ("sum", "isoterma_0c"),
+        "_isotermas": ("sum", "_isoterma"),
+        "critical_trigger_count": ("sum", "_critical"),
+        "_features": ("sum", "_features"),
+    }
+    rows = rows.withColumn("_isoterma", F.when(F.col("isoterma_0c").isNotNull(), 1)).select(
+        F.col("location_name").alias("zone_name"), F.col("date").alias("forecast_date"), "*"
+    )
+    windows = lookback.trailing(rows, targets, ["zone_name", "elevation_band"], "forecast_date", days, values)
+    by_date = windows.where("_features > 0").select(
+        "zone_name",
+        "forecast_date",
+        "elevation_band",
+        "max_snowfall_24h",
+        "max_snowfall_72h",
+        "max_temp_variation",
+        "max_wind_speed",
+        F.try_divide("_isoterma", "_isotermas").alias("avg_isoterma"),
+        "critical_trigger_count",
     )
     static = topo.join(nlp, ZONE_BAND, "full")
     fused = (

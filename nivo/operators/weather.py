@@ -144,8 +144,18 @@ def features(daily: DataFrame, frame: str = "rows", block_days: int = BLOCK_DAYS
     )
 
 
-def feature_table(feature_rows: DataFrame) -> DataFrame:
-    """The columns of :func:`features` that the fusion reads, with key and band."""
+def critical_triggers(thresholds: TriggerThresholds = config.TRIGGERS) -> Column:
+    """How many of the trigger rules fire critically on a feature row."""
+    fired = [severity.isin(*config.CRITICAL_SEVERITIES) for _, _, severity in trigger_severities(thresholds)]
+    return F.size(F.filter(F.array(*fired), lambda critical: critical))
+
+
+def feature_table(feature_rows: DataFrame, with_triggers: bool = False) -> DataFrame:
+    """The columns of :func:`features` that the fusion reads, with key and band.
+
+    ``with_triggers`` adds ``critical_triggers``, so that a fusion of fresh features needs no trigger table.
+    """
+    more = [critical_triggers().alias("critical_triggers")] if with_triggers else []
     return feature_rows.select(
         keys.feature_id(F.col("date"), F.col("location_name")).alias("feature_id"),
         "location_name",
@@ -158,6 +168,7 @@ def feature_table(feature_rows: DataFrame) -> DataFrame:
         "windspeed_10m_max",
         "precipitation_intensity",
         "isoterma_0c",
+        *more,
     )
 
 

@@ -881,3 +881,22 @@ _oracle("band_overlaps", """SELECT o_orderstatus, band, count(*) AS orders FROM
     LEFT JOIN (VALUES ('any', NULL, 90000), ('mid', 50000, 200000), ('inner', 120000, 120500), ('top', 350000, NULL))
         b(band, low, high)
     ON o_totalprice >= coalesce(low, -1e300) AND o_totalprice < coalesce(high, 1e300) GROUP BY 1, 2""")
+
+for _name, _from in (("dated_weather", "dated_weather"), ("dated_fused", "dated_weather"), ("dated_scored", "dated_fused"),
+                     ("backtest", "dated_scored")):
+    _needs, _text = CTES[_name]
+    for _part in ("dated_weather", "dated_fused", "dated_scored"):
+        _text = _text.replace(f" {_part}", f" {_part}_14")
+    _needs = tuple(f"{n}_14" if n.startswith("dated_") else n for n in _needs)
+    CTES[f"{_name}_14"] = _needs, _text.replace("forecast_date - 2 ", "forecast_date - 13 ")
+_select("backtest_fortnight", "zone_name forecast_date elevation_band eaws_level ~risk_score ~confidence", "backtest_14")
+_oracle("fusion_rows", f"""SELECT {_columns(f"""zone_name elevation_band ~topo_score ~critical_area_km2 ~nlp_score
+    total_risk_mentions total_avalanche_mentions nlp_report_count {_WEATHER}""")},
+    (zone_name, elevation_band) IN (SELECT (zone_name, elevation_band) FROM topo) AS has_topo,
+    (zone_name, elevation_band) IN (SELECT (zone_name, elevation_band) FROM nlp) AS has_nlp,
+    (zone_name, elevation_band) IN (SELECT (zone_name, elevation_band) FROM band_weather) AS has_weather FROM fused""",
+        "fused")
+_oracle("trailing_month", """SELECT a.location_name, a.date, round(sum(b.snowfall_sum), 6) + 0.0 AS snow_30d,
+    round(max(b.windspeed_10m_max), 6) + 0.0 AS wind_30d, round(min(b.temperature_2m_min), 6) + 0.0 AS cold_30d
+    FROM weather_user a JOIN weather_user b ON b.location_name = a.location_name AND b.date BETWEEN a.date - 29 AND a.date
+    GROUP BY 1, 2""", "weather_user")

@@ -29,6 +29,7 @@ from nivo import (
     weather,
 )
 from nivo.config import BBox
+from nivo.operators import lookback
 from nivo.sources import scratch
 from nivo.plans import testdata as td
 
@@ -107,9 +108,16 @@ def _fused(spark, d):
     return fusion.fuse(topo, nlp, fusion.weather_by_band(table, triggers))
 
 
+def _fused_rows(spark, d, newest):
+    """The same evidence from one aggregation; features carry their critical triggers."""
+    cells = terrain.features(td.relabelled_slopes(spark, d), "v1")
+    topo, nlp = terrain.susceptibility_table(cells, "v1"), _patterns(spark, d)
+    return fusion.fuse_rows(topo, nlp, weather.feature_table(_features(spark, d), with_triggers=True), None, newest)
+
+
 def _predictions(spark, d):
     newest = td.weather_daily(spark, d).agg(F.max("date")).scalar()
-    return fusion.predictions(fusion.score(_fused(spark, d)), newest)
+    return fusion.predictions(fusion.score(_fused_rows(spark, d, newest)), newest)
 
 
 def _backtest(spark, d):
@@ -707,6 +715,34 @@ def fusion_outer(spark, d):
     return rounded(_fused(spark, d))
 
 
+@_register
+def fusion_rows(spark, d):
+    """The fusion as one aggregation, with flags for the sources that have rows."""
+    newest = td.weather_daily(spark, d).agg(F.max("date")).scalar()
+    return rounded(_fused_rows(spark, d, newest))
+
+
+@_register
+def trailing_month(spark, d):
+    """Snow, wind and cold of the 30 days up to each day of a user's series."""
+    daily = td.weather_daily(spark, d, per_user=True)
+    values = {
+        "snow_30d": ("sum", "snowfall_sum"),
+        "wind_30d": ("max", "windspeed_10m_max"),
+        "cold_30d": ("min", "temperature_2m_min"),
+    }
+    targets = daily.select("location_name", "date")
+    return rounded(lookback.trailing(daily, targets, ["location_name"], "date", 30, values))
+
+
+@_register
+def backtest_fortnight(spark, d):
+    """The backtest with windows of 14 days."""
+    table, triggers, topo, nlp = _fusion_inputs(spark, d)
+    rows = fusion.backtest(table, triggers, topo, nlp, days=14)
+    return rounded(rows.select("zone_name", "forecast_date", "elevation_band", "eaws_level", "risk_score", "confidence"))
+
+
 @_register
 def risk_scores(spark, d):
     scored = fusion.score(_fused(spark, d))

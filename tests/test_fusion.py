@@ -5,8 +5,9 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from nivo import bulletins, fusion, validation, weather
+from nivo import bulletins, fusion, text, validation, weather
 from nivo.functions import templates
+from nivo.operators import lookback
 from tests.test_weather import DAY, random_series
 
 ZONE = "La Parva"
@@ -118,6 +119,57 @@ def test_backtest_equals_one_run_per_date(history):
         assert as_rows(past.where(F.col("forecast_date") == day)) == wanted
 
 
+@pytest.mark.parametrize("days", [1, 2, 30])
+def test_backtest_windows_of_any_length(history, days):
+    table, triggers, topo, nlp = history
+    past = fusion.backtest(table, triggers, topo, nlp, days=days).cache()
+    for n in (0, 3, 24):
+        day = DAY + dt.timedelta(n)
+        fused = fusion.fuse(topo, nlp, fusion.weather_by_band(table, triggers, day, days))
+        single = as_rows(fusion.predictions(fusion.score(fused), day))
+        zones = {r[0] for r in table.where(F.col("date") == day).select("location_name").collect()}
+        assert as_rows(past.where(F.col("forecast_date") == day)) == {k: v for k, v in single.items() if k[0] in zones}
+
+
+@pytest.mark.parametrize("days", [1, 2, 7, 30])
+def test_trailing_by_brute_force(spark, days):
+    rng = random.Random(days)
+    rows = [(rng.choice("ab"), DAY + dt.timedelta(rng.randrange(-40, 90)), rng.choice([None, rng.uniform(-5, 5)])) for _ in range(150)]
+    targets = sorted({(k, DAY + dt.timedelta(n)) for k in "abc" for n in rng.sample(range(-60, 130), 60)})
+    values = {"s": ("sum", "v"), "m": ("max", "v"), "n": ("min", "v")}
+    df = spark.createDataFrame(rows, "k string, d date, v double")
+    asked = spark.createDataFrame([(*t, i) for i, t in enumerate(targets)], "k string, d date, _at int")
+    found = lookback.trailing(df, asked, ["k"], "d", days, values)
+    assert found.count() == len(targets)
+    for row in found.collect():
+        inside = [v for k, d, v in rows if k == row.k and row.d - dt.timedelta(days - 1) <= d <= row.d and v is not None]
+        if not inside:
+            assert (row.s, row.m, row.n) == (None, None, None)
+        else:
+            assert math.isclose(row.s, sum(inside), abs_tol=1e-9) and (row.m, row.n) == (max(inside), min(inside))
+    with pytest.raises(ValueError):
+        lookback.trailing(df, asked, ["k"], "d", 0, values)
+
+
+def test_fusion_of_rows_equals_joins_and_knows_missing_sources(spark, history):
+    table, triggers, topo, _ = history
+    patterns = spark.createDataFrame(
+        [("l0", "Alta", 0.0, 0, 0), ("l0", "Alta", 0.5, 2, 1), ("elsewhere", "Baja", 0.25, 1, 0)],
+        "zone_name string, elevation_band string, confidence double, risk_mentions int, avalanche_events int",
+    )
+    sus = topo.select("zone_name", "elevation_band", F.col("topo_score").alias("susceptibility_score"),
+                      F.col("critical_area_km2").alias("critical_slope_area_km2"))
+    day = DAY + dt.timedelta(5)
+    joined = fusion.fuse(fusion.topo_evidence(sus), text.by_band(patterns), fusion.weather_by_band(table, triggers, day))
+    rows = fusion.fuse_rows(sus, patterns, table, triggers, day)
+    same = rows.select(*joined.columns)
+    assert sorted(map(str, same.collect())) == sorted(map(str, joined.collect()))
+    flags = {(r.zone_name, r.elevation_band): (r.has_topo, r.has_nlp, r.has_weather) for r in rows.collect()}
+    assert flags["elsewhere", "Baja"] == (False, True, False)
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan
+
+
 def test_backtest_of_asked_dates_only(spark, history):
     asked = spark.createDataFrame([("l0", DAY), ("l0", DAY), ("nowhere", DAY)], "zone_name string, forecast_date date")
     rows = as_rows(fusion.backtest(*history, asked))
