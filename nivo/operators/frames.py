@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Mapping, Sequence
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
@@ -103,3 +105,43 @@ def sample(df: DataFrame, fraction: float, seed: int = 0, keys: list[str] | None
     digest = F.md5(F.concat_ws("~", F.lit(str(seed)), *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in names]))
     draw = F.conv(F.substring(digest, 1, 8), 16, 10).cast("double") / float(2**32)
     return df.where(draw < float(fraction))
+
+
+def reports(df: DataFrame, sets: Mapping[str, Sequence[str]], aggregates: Sequence[Column]) -> DataFrame:
+    """Several groupings of one table from one scan: the aggregates per group, with ``report``, the name of its grouping.
+
+    ``sets`` names each report and its key columns (none for the whole table). A key that a report does not
+    group by is NULL in its rows; a NULL key of the table is a group of its own, told apart by ``report``. The
+    aggregates may not be distinct ones of many columns, as each would copy the rows again.
+    """
+    dims = list(dict.fromkeys(c for keys in sets.values() for c in keys))
+    # The grouping number has a bit for each key column, the first the highest; it is set where the column is left out.
+    numbers = {name: sum(1 << (len(dims) - 1 - i) for i, c in enumerate(dims) if c not in keys) for name, keys in sets.items()}
+    if len(set(numbers.values())) < len(numbers):
+        raise ValueError("two reports have the same keys")
+    if not dims:
+        (name,) = sets
+        return df.agg(*aggregates).select(F.lit(name).alias("report"), "*")
+    grouped = df.groupingSets([[F.col(c) for c in keys] for keys in sets.values()], *dims)
+    result = grouped.agg(*aggregates, F.grouping_id().alias("_number"))
+    report = F.coalesce(*[F.when(F.col("_number") == n, F.lit(name)) for name, n in numbers.items()])
+    return result.select(report.alias("report"), *[c for c in result.columns if c != "_number"])
+
+
+def newest_from_footers(spark: SparkSession, path: str, col: str) -> DataFrame:
+    """One row with the greatest ``col`` of a Parquet table, taken from the statistics in its footers.
+
+    Spark pushes the aggregate into its Parquet reader of the second kind, so no row group is read. That
+    reader is asked for in a session of its own; settings of the given one stay as they are. For dates and numbers;
+    statistics of texts may be cut short, so Spark reads these as usual.
+    """
+    own = spark.newSession()
+    own.conf.set("spark.sql.sources.useV1SourceList", "")
+    own.conf.set("spark.sql.parquet.aggregatePushdown", "true")
+    return own.read.parquet(path).agg(F.max(col).alias(col))
+
+
+def newest_slice(spark: SparkSession, path: str, col: str) -> DataFrame:
+    """The rows of a Parquet table that carry the greatest ``col``: the value from the footers, the rows by a pushed filter."""
+    newest = newest_from_footers(spark, path, col).first()[0]
+    return spark.read.parquet(path).where(F.col(col) == F.lit(newest))

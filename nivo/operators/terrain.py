@@ -6,6 +6,8 @@ elevation`` and optionally ``scale`` (metres per cell side). Row 0 is the southe
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import math
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -97,6 +99,45 @@ def coarsen(cells: DataFrame, factor: int, base_scale: float = config.BASE_SCALE
     )
 
 
+def levels(cells: DataFrame, factors: Sequence[int], base_scale: float = config.BASE_SCALE_M) -> DataFrame:
+    """The grids of several factors (see :func:`coarsen`) from one aggregation, told apart by ``factor``.
+
+    Each cell is counted in one block per level; blocks of all levels are combined in the map tasks and shuffled once.
+    """
+    factors = sorted(set(factors))
+    blocks = {f: [F.floor(F.col(name) / f).cast("int") for name in ("row", "col")] for f in factors}
+    numbered = cells.select(
+        "zone_name",
+        "latitude",
+        "longitude",
+        "elevation",
+        *[block.alias(f"_{name}{f}") for f in factors for block, name in zip(blocks[f], ("row", "col"))],
+    )
+    sets = [["zone_name", f"_row{f}", f"_col{f}"] for f in factors]
+    means = [F.avg(name).alias(name) for name in ("latitude", "longitude", "elevation")]
+    places = [c for keys_ in sets for c in keys_[1:]]
+    # grouping() is 0 for the columns of a row's own level.
+    own = F.coalesce(*[F.when(F.col(f"_without{f}") == 0, F.lit(f)) for f in factors])
+    grouped = numbered.groupingSets([[F.col(c) for c in keys_] for keys_ in sets], "zone_name", *places).agg(
+        *means, F.count(F.lit(1)).alias("n_cells"), *[F.grouping(f"_row{f}").alias(f"_without{f}") for f in factors]
+    )
+
+    def of_level(name: str) -> Column:
+        return F.coalesce(*[F.when(F.col("factor") == f, F.col(f"_{name}{f}")) for f in factors]).alias(name)
+
+    return grouped.withColumn("factor", own).select(
+        "zone_name",
+        "factor",
+        of_level("row"),
+        of_level("col"),
+        "latitude",
+        "longitude",
+        "elevation",
+        "n_cells",
+        (F.lit(float(base_scale)) * F.col("factor")).alias("scale"),
+    )
+
+
 # --- Slope and aspect --------------------------------------------------------------------
 
 

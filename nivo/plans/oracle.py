@@ -900,3 +900,29 @@ _oracle("trailing_month", """SELECT a.location_name, a.date, round(sum(b.snowfal
     round(max(b.windspeed_10m_max), 6) + 0.0 AS wind_30d, round(min(b.temperature_2m_min), 6) + 0.0 AS cold_30d
     FROM weather_user a JOIN weather_user b ON b.location_name = a.location_name AND b.date BETWEEN a.date - 29 AND a.date
     GROUP BY 1, 2""", "weather_user")
+
+_AGG = """count(*) AS count, round(avg(confidence), 6) + 0.0 AS avg_confidence,
+    round(avg(risk_score), 6) + 0.0 AS avg_risk_score, max(eaws_level) AS max_eaws_level,
+    count(*) FILTER (eaws_level >= 3) AS high_risk_count FROM backtest"""
+_oracle("prediction_reports", f"""SELECT 'level' AS report, eaws_level, eaws_label, NULL::VARCHAR AS elevation_band,
+    NULL::VARCHAR AS zone_name, {_AGG} GROUP BY eaws_level, eaws_label
+    UNION ALL SELECT 'band', NULL, NULL, elevation_band, NULL, {_AGG} GROUP BY elevation_band
+    UNION ALL SELECT 'zone', NULL, NULL, NULL, zone_name, {_AGG} GROUP BY zone_name
+    UNION ALL SELECT 'all', NULL, NULL, NULL, NULL, {_AGG}""", "backtest")
+_AGG = "count(*) AS count, count(*) FILTER (is_critical) AS critical FROM triggers_user"
+_oracle("trigger_reports", f"""SELECT 'type' AS report, trigger_type, trigger_severity, NULL::DATE AS date, {_AGG} GROUP BY 2, 3
+    UNION ALL SELECT 'severity', NULL, trigger_severity, NULL, {_AGG} GROUP BY trigger_severity
+    UNION ALL SELECT 'date', NULL, NULL, date, {_AGG} GROUP BY date""", "triggers_user")
+_AGG = """count(*) AS count, round(avg(confidence), 6) + 0.0 AS avg_confidence,
+    sum(avalanche_events)::BIGINT AS total_avalanche_mentions FROM patterns"""
+_oracle("text_reports", f"""SELECT 'difficulty' AS report, difficulty_level, NULL::VARCHAR AS elevation_band,
+    NULL::VARCHAR AS sentiment, {_AGG} GROUP BY difficulty_level
+    UNION ALL SELECT 'elevation', NULL, elevation_band, NULL, {_AGG} GROUP BY elevation_band
+    UNION ALL SELECT 'sentiment', NULL, NULL, sentiment, {_AGG} GROUP BY sentiment""", "patterns")
+_oracle("terrain_levels", " UNION ALL ".join(
+    f"""SELECT zone_name, {f} AS factor, CAST("row" // {f} AS INTEGER) AS "row", CAST(col // {f} AS INTEGER) AS col,
+    round(avg(latitude), 6) + 0.0 AS latitude, round(avg(longitude), 6) + 0.0 AS longitude,
+    round(avg(elevation), 6) + 0.0 AS elevation, count(*) AS n_cells, {60 * f}::DOUBLE AS scale
+    FROM cells GROUP BY zone_name, "row" // {f}, col // {f}""" for f in (1, 2, 4, 8)), "cells")
+_oracle("newest_orders", """SELECT o_orderkey, o_orderstatus FROM orders
+    WHERE o_orderkey = (SELECT max(o_orderkey) FROM orders)""")

@@ -1036,3 +1036,50 @@ def checks_of_write(spark, d):
     rows = [("topo_susceptibility", *r) for r in kept] + [("weather_daily", *r) for r in measured]
     schema = "table_name string, check string, severity string, value double, passed boolean"
     return rounded(spark.createDataFrame(rows, schema))
+
+
+# --- Several groupings at once -----------------------------------------------------------
+
+
+@_register
+def prediction_reports(spark, d):
+    """Predictions by level, by band, by zone and as a whole, from one scan."""
+    sets = {"level": ["eaws_level", "eaws_label"], "band": ["elevation_band"], "zone": ["zone_name"], "all": []}
+    aggregates = [
+        F.count("*").alias("count"),
+        F.avg("confidence").alias("avg_confidence"),
+        F.avg("risk_score").alias("avg_risk_score"),
+        F.max("eaws_level").alias("max_eaws_level"),
+        F.count_if(F.col("eaws_level") >= 3).alias("high_risk_count"),
+    ]
+    return rounded(frames.reports(_backtest(spark, d), sets, aggregates))
+
+
+@_register
+def trigger_reports(spark, d):
+    sets = {"type": ["trigger_type", "trigger_severity"], "severity": ["trigger_severity"], "date": ["date"]}
+    critical = F.count_if("is_critical").alias("critical")
+    return frames.reports(_triggers(spark, d, per_user=True), sets, [F.count("*").alias("count"), critical])
+
+
+@_register
+def text_reports(spark, d):
+    sets = {"difficulty": ["difficulty_level"], "elevation": ["elevation_band"], "sentiment": ["sentiment"]}
+    aggregates = [
+        F.count("*").alias("count"),
+        F.avg("confidence").alias("avg_confidence"),
+        F.sum("avalanche_events").alias("total_avalanche_mentions"),
+    ]
+    return rounded(frames.reports(_patterns(spark, d), sets, aggregates))
+
+
+@_register
+def terrain_levels(spark, d):
+    """The grid at 1, 2, 4 and 8 times its spacing."""
+    return rounded(terrain.levels(td.cells(spark, d), (1, 2, 4, 8), td.CELL_M))
+
+
+@_register
+def newest_orders(spark, d):
+    """Orders of the newest date, which comes from the footers."""
+    return frames.newest_slice(spark, f"{d}/orders.parquet", "o_orderkey").select("o_orderkey", "o_orderstatus")

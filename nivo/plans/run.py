@@ -69,6 +69,12 @@ class Layers:
         self.record(table, results)
         return self.read(table, schema)
 
+    def newest(self, table: str, column: str):
+        """The greatest value of a stored column, from the footers of its files; None without a table."""
+        if sources.find(self.spark, self.path(table)) is None:
+            return None
+        return frames.newest_from_footers(self.spark, self.path(table), column).first()[0]
+
     def record(self, table: str, results: list) -> None:
         columns = "check string, severity string, value double, passed boolean"
         rows = self.spark.createDataFrame(results, columns).withColumn("table_name", F.lit(table))
@@ -308,7 +314,7 @@ def build_predictions(layers: Layers, as_of: dt.date | None = None) -> DataFrame
     """
     features, triggers = layers.read("weather_features"), layers.read("weather_triggers")
     topo, nlp = _evidence(layers)
-    date = F.lit(as_of) if as_of else features.agg(F.max("date")).scalar()
+    date = F.lit(as_of or layers.newest("weather_features", "date")).cast("date")
     fused = fusion.fuse(topo, nlp, fusion.weather_by_band(features, triggers, date))
     return layers.write(
         fusion.predictions(fusion.score(fused), date),

@@ -103,3 +103,37 @@ def test_sample_is_repeatable_and_its_rate_fixed(spark):
     assert first == again and first != other and 850 < len(first) < 1150
     assert {r[0] for r in frames.sample(df.limit(2000), 0.05, seed=1).collect()} <= first
     assert frames.sample(df.limit(0), 0.5).count() == 0
+
+
+def test_reports_equal_single_groupings(spark):
+    rows = [(x % 3 if x % 5 else None, "ab"[x % 2], float(x)) for x in range(60)]
+    df = spark.createDataFrame(rows, "k int, s string, v double")
+    sets = {"k": ["k"], "both": ["k", "s"], "s": ["s"], "all": []}
+    found = frames.reports(df, sets, [F.count("*").alias("n"), F.sum("v").alias("total")])
+    for name, keys in sets.items():
+        single = df.groupBy(*keys).agg(F.count("*").alias("n"), F.sum("v").alias("total"))
+        part = found.where(F.col("report") == name).select(*single.columns)
+        assert sorted(map(str, part.collect())) == sorted(map(str, single.collect()))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("+- Expand") + plan.count(" Expand [") >= 1 and plan.count("Scan ExistingRDD") == 1
+    assert frames.reports(df, {"all": []}, [F.count("*").alias("n")]).collect() == [("all", 60)]
+    with pytest.raises(ValueError):
+        frames.reports(df, {"a": ["k", "s"], "b": ["s", "k"]}, [F.count("*").alias("n")])
+
+
+def test_newest_value_comes_from_the_footers(spark, tmp_path):
+    path = str(tmp_path / "t")
+    days = spark.range(4_000).selectExpr("id", "date_add(date'2024-01-01', int(id % 97)) AS date")
+    days.repartition(3).write.parquet(path)
+    newest = frames.newest_from_footers(spark, path, "date")
+    plan = newest._jdf.queryExecution().executedPlan().toString()
+    assert "PushedAggregation: [MAX(date)]" in plan
+    expected = days.agg(F.max("date")).first()[0]
+    assert newest.first()[0] == expected
+    slice_ = frames.newest_slice(spark, path, "date")
+    assert slice_.count() == days.where(F.col("date") == expected).count() > 0
+    pushed = slice_._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(date" in pushed and spark.conf.get("spark.sql.parquet.aggregatePushdown") == "false"
+    empty = str(tmp_path / "empty")
+    days.limit(0).write.parquet(empty)
+    assert frames.newest_slice(spark, empty, "date").count() == 0

@@ -203,3 +203,14 @@ def test_band_shares_and_area_stats(spark):
     shares = {r["elevation_band"]: r for r in terrain.band_shares(cells).collect()}
     assert shares["Alta"]["share_pct"] == 50.0 and shares["Alta"]["critical_share_pct"] == 25.0
     assert terrain.area_stats(cells, ["slope_degrees"]).first() == (10.0, 30.0, 20.0, 3)
+
+
+def test_levels_equal_single_grids(spark):
+    rows = [("z" if r % 3 else "y", r, c, 1.0 * r, 2.0 * c, r * 7.0 + c) for r in range(-5, 20) for c in range(13)]
+    cells = spark.createDataFrame(rows, "zone_name string, row int, col int, latitude double, longitude double, elevation double")
+    found = terrain.levels(cells, (1, 2, 4, 8)).cache()
+    for factor in (1, 2, 4, 8):
+        single = terrain.coarsen(cells, factor)
+        part = found.where(f"factor = {factor}").select(*single.columns)
+        assert sorted(map(str, part.collect())) == sorted(map(str, single.collect()))
+    assert found.agg({"n_cells": "sum"}).first()[0] == 4 * len(rows)
