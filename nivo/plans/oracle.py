@@ -926,3 +926,7 @@ _oracle("terrain_levels", " UNION ALL ".join(
     FROM cells GROUP BY zone_name, "row" // {f}, col // {f}""" for f in (1, 2, 4, 8)), "cells")
 _oracle("newest_orders", """SELECT o_orderkey, o_orderstatus FROM orders
     WHERE o_orderkey = (SELECT max(o_orderkey) FROM orders)""")
+
+_select("terrain_dense", _SLOPES, "slopes")
+_select("terrain_dense_masked", _SLOPES, "masked_slopes")
+_select("terrain_dense_horn", _SLOPES, "horn_slopes")

@@ -372,6 +372,29 @@ def terrain_horn_compass(spark, d):
     return rounded(turned.select("zone_name", "row", "col", "slope_degrees", "aspect_degrees"))
 
 
+@_register
+def terrain_dense(spark, d):
+    """Slope and aspect from dense arrays of 16 by 16 cells."""
+    steep = terrain.gradient_dense(td.cells(spark, d), td.CELL_M, td.CELL_M, tile=16)
+    turned = terrain.aspect(terrain.slope(steep))
+    return rounded(turned.select("zone_name", "row", "col", "slope_degrees", "aspect_degrees"))
+
+
+@_register
+def terrain_dense_masked(spark, d):
+    """The same over a grid with cells cut out."""
+    masked = terrain.mask_elevation(terrain.clip(td.cells(spark, d), CELL_BOX))
+    steep = terrain.aspect(terrain.slope(terrain.gradient_dense(masked, td.CELL_M, td.CELL_M)))
+    return rounded(steep.select("zone_name", "row", "col", "slope_degrees", "aspect_degrees"))
+
+
+@_register
+def terrain_dense_horn(spark, d):
+    steep = terrain.gradient_dense(td.cells(spark, d), td.CELL_M, td.CELL_M, method="horn")
+    turned = terrain.aspect(terrain.slope(steep), "compass")
+    return rounded(turned.select("zone_name", "row", "col", "slope_degrees", "aspect_degrees"))
+
+
 @_register
 def terrain_features(spark, d):
     return rounded(_cells_v1(spark, d))

@@ -214,3 +214,23 @@ def test_levels_equal_single_grids(spark):
         part = found.where(f"factor = {factor}").select(*single.columns)
         assert sorted(map(str, part.collect())) == sorted(map(str, single.collect()))
     assert found.agg({"n_cells": "sum"}).first()[0] == 4 * len(rows)
+
+
+@pytest.mark.parametrize("method,step,tile", [("central", 1, 5), ("horn", 1, 64), ("horn", 2, 7), ("central", 3, 8)])
+def test_dense_tiles_equal_windows(spark, method, step, tile):
+    rng = random.Random(tile)
+    rows = [
+        (rng.choice("yz"), r, c, rng.choice([None, *[rng.uniform(0, 3_000)] * 9]), f"{r}/{c}")
+        for r in range(-9, 22) for c in range(-3, 17) if rng.random() < 0.85
+    ]
+    cells = spark.createDataFrame(rows, "zone_name string, row int, col int, elevation double, at string")
+    cells = cells.dropDuplicates(["zone_name", "row", "col"]).cache()
+    plain = terrain.gradient(cells, 10.0, 20.0, step, method)
+    dense = terrain.gradient_dense(cells, 10.0, 20.0, step, method, tile)
+    assert dense.columns == plain.columns and dense.count() == len(rows)
+    assert sorted(map(str, dense.collect())) == sorted(map(str, plain.collect()))
+    fresh = terrain.gradient_dense(spark.createDataFrame(rows, cells.schema), 10.0, 20.0, step, method, tile)
+    plan = fresh._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "Window" not in plan
+    with pytest.raises(ValueError):
+        terrain.gradient_dense(cells, 1.0, 1.0, method="sobel")
