@@ -220,7 +220,7 @@ def test_levels_equal_single_grids(spark):
 def test_dense_tiles_equal_windows(spark, method, step, tile):
     rng = random.Random(tile)
     rows = [
-        (rng.choice("yz"), r, c, rng.choice([None, *[rng.uniform(0, 3_000)] * 9]), f"{r}/{c}")
+        (rng.choice("yz"), r * step, c * step, rng.choice([None, *[rng.uniform(0, 3_000)] * 9]), f"{r}/{c}")
         for r in range(-9, 22) for c in range(-3, 17) if rng.random() < 0.85
     ]
     cells = spark.createDataFrame(rows, "zone_name string, row int, col int, elevation double, at string")
