@@ -21,6 +21,8 @@ PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 #: Payloads below this many bytes are stored again and again rather than referred to.
 LEAST_BYTES = 100
+#: Tasks that read archives, at most.
+MOST_TASKS = 10_000
 #: Bytes of an archive that one row of the ranges covers.
 SPLIT_BYTES = 4 << 20
 CHUNK = 1 << 16
@@ -105,7 +107,12 @@ def write(pages: DataFrame, scratch: Scratch) -> DataFrame:
         .drop("n")
     )
     refers = F.when(~F.col("page_id").eqNullSafe(F.col("first")), F.col("first"))
-    records = rows.join(first, (F.col("digest") == F.col("same")) & long_enough, "left").select(
+    # Short payloads have no key to meet at, so the many pages that share one stay where they are.
+    keyed = rows.withColumn("key", F.when(long_enough, F.col("digest")))
+    long_rows = keyed.where("key is not null").join(first, F.col("key") == F.col("same"), "left")
+    short_rows = keyed.where("key is null").withColumn("first", F.lit(None).cast("long"))
+    columns = ["page_id", "url", "payload", "digest", "first"]
+    records = long_rows.select(*columns).unionByName(short_rows.select(*columns)).select(
         "page_id", "url", "payload", "digest", refers.alias("refers_to")
     )
     folder = scratch.path("archives")
@@ -222,14 +229,20 @@ def read(files: DataFrame, split: int = SPLIT_BYTES) -> DataFrame:
     A task looks for gzip magic in its range, takes a place for a member only if it unpacks to a
     WARC header, and reads the records that start inside, past the end of the range if need
     be. Members that are damaged or cut off are passed over. Empty files give no records.
+
+    Ranges are dealt over a stated number of tasks, as many as there are ranges up to ``MOST_TASKS``: rows of
+    ranges are a few bytes, so a plan that sizes its tasks by them would read all archives in one.
     """
-    workers_find_package(files.sparkSession)
+    spark = files.sparkSession
+    workers_find_package(spark)
+    n_ranges = files.agg(F.sum(F.ceil(F.col("bytes") / split))).first()[0] or 0
+    tasks = max(1, min(int(n_ranges), MOST_TASKS))
     starts = F.sequence(F.lit(0).cast("long"), F.col("bytes") - 1, F.lit(split).cast("long"))
     ranges = (
         files.where("bytes > 0")
         .select("file", "bytes", F.explode(starts).alias("start"))
         .select("file", "start", F.least(F.col("start") + split, F.col("bytes")).alias("end"))
-        .repartition("file", "start")
+        .repartition(tasks, "file", "start")
     )
     return ranges.mapInArrow(_scan, RECORD)
 

@@ -128,3 +128,11 @@ def test_pipeline_of_an_empty_table(spark, tables, tmp_path):
     empty.write.parquet(f"{tmp_path}/documents.parquet")
     spark.read.parquet(f"{tables}/benchmark.parquet").write.parquet(f"{tmp_path}/benchmark.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_ranges_are_read_by_many_tasks(spark):
+    pages = spark.range(400).selectExpr("id AS page_id", "'u' AS url", "repeat(sha2(string(id), 512), 40) AS html")
+    files = warc.write(pages.repartition(3), Scratch(spark, "t"))
+    records = warc.read(files, split=2_000)
+    tasks = records.groupBy(F.spark_partition_id().alias("task")).count().collect()
+    assert sum(r["count"] for r in tasks) == 400 and len(tasks) > 10
