@@ -308,3 +308,23 @@ def test_queries_are_registered():
 
     assert {int(n[2:].split("_")[0]) for n in QUERIES} == set(range(1, 11))
     assert F is not None
+
+
+def test_near_passages_by_brute_force(docs_of):
+    """Passages of similarity 0.8 to 1 around one frequent line, in groups that no head is like: recall is measured."""
+    rng = random.Random(21)
+    line = prose(rng, 34)
+    rows = [(i, f"{prose(rng, 50)} {line} {prose(rng, 50)}") for i in (*range(15), *range(5000, 5015))]
+    planted = []
+    for pair in range(80):
+        passage = f"{prose(rng, 30)} {line} {prose(rng, 30)}"
+        other = edited(rng, passage, pair % 3)
+        u, v = 100 + 2 * pair, 101 + 2 * pair
+        rows += [(u, f"{prose(rng, 50)} {passage} {prose(rng, 50)}"), (v, f"{prose(rng, 70)} {other} {prose(rng, 30)}")]
+        a, b = ({tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (passage.split(), other.split()))
+        if len(a & b) >= 0.8 * len(a | b):
+            planted.append((u, v))
+    found = {r.doc_id: r.first_doc_id for r in passages.repeated_passages(docs_of(rows)).collect()}
+    assert set(found) <= set(range(100, 260)) and all(first == doc // 2 * 2 for doc, first in found.items())
+    caught = sum(u in found and v in found for u, v in planted)
+    assert len(planted) > 60 and caught >= 0.9 * len(planted)
