@@ -24,6 +24,8 @@ SLACK = 0.2
 CENTRES = 1
 #: Shingles of the documents that are compared in one group.
 BLOCK_SHINGLES = 1 << 17
+#: Shingles of decoded texts that a worker remembers.
+REMEMBERED = 4 << 20
 
 
 def sketch(sets: list[np.ndarray]) -> np.ndarray:
@@ -107,21 +109,71 @@ def _sketcher(width: int):
     return run
 
 
-def _setter(width: int):
+def _packer(width: int):
+    """Texts in compressed form, with their sketches: less than half of what their shingles take."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = pa.Codec("zstd", 3)
         for whole in batches:
             for batch in _in_parts(whole):
-                sets = [shingle_set(text, width) for text in batch.column(1).to_pylist()]
-                ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
-                values = np.concatenate(sets) if sets else np.empty(0, np.uint64)
+                texts = batch.column(1).to_pylist()
+                sets = [shingle_set(text, width) for text in texts]
+                raw = [text.encode("utf-8", "surrogatepass") for text in texts]
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0),
-                        pa.ListArray.from_arrays(ends, pa.array(values.view(np.int64))),
+                        pa.array([len(s) for s in sets], pa.int64()),
+                        pa.array([len(r) for r in raw], pa.int64()),
+                        pa.array([codec.compress(r, asbytes=True) for r in raw], pa.binary()),
                         pa.array(brief(sets), pa.binary()),
                     ],
-                    names=["id", "shingles", "sketch"],
+                    names=["id", "n", "bytes", "body", "sketch"],
+                )
+
+    return run
+
+
+class Unpacker:
+    """Shingle sets of packed texts; those of REMEMBERED shingles at most are kept by id."""
+
+    def __init__(self, width: int):
+        self.width, self.codec, self.held, self.size = width, pa.Codec("zstd"), {}, 0
+
+    def __call__(self, id_: int, n_bytes: int, body: pa.Buffer) -> np.ndarray:
+        if id_ not in self.held:
+            raw = self.codec.decompress(body, n_bytes, asbytes=True)
+            found = shingle_set(raw.decode("utf-8", "surrogatepass"), self.width)
+            if self.size + len(found) > REMEMBERED:
+                self.held.clear()
+                self.size = 0
+            self.held[id_] = found
+            self.size += len(found)
+        return self.held[id_]
+
+
+def alike(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
+    """Whether two shingle sets have a similarity of ``percent`` or more."""
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return 100 * both >= percent * (len(a) + len(b) - both)
+
+
+def _confirmer(width: int, percent: int):
+    """The pairs ``u, v`` whose full sets are alike."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sets = Unpacker(width)
+        for batch in batches:
+            u, v, bytes_u, bytes_v = [batch.column(i).to_numpy() for i in range(4)]
+            body_u, body_v = batch.column(4), batch.column(5)
+            good = [
+                alike(
+                    sets(int(u[i]), int(bytes_u[i]), body_u[i].as_buffer()),
+                    sets(int(v[i]), int(bytes_v[i]), body_v[i].as_buffer()),
+                    percent,
                 )
+                for i in range(batch.num_rows)
+            ]
+            yield batch.select(["u", "v"]).filter(pa.array(good, pa.bool_()))
 
     return run
 
@@ -129,24 +181,24 @@ def _setter(width: int):
 class _Block:
     """Rows of one block, gathered from consecutive batches."""
 
-    def __init__(self):
-        self.ids, self.components, self.owns, self.sketches, self.sets = [], [], [], [], []
+    def __init__(self, unpack: Unpacker):
+        self.unpack = unpack
+        self.ids, self.components, self.owns, self.sizes, self.sketches, self.packed = [], [], [], [], [], []
 
     def add(self, batch: pa.RecordBatch) -> None:
-        column = {name: batch.column(name) for name in ("id", "component", "own", "sketch", "shingles")}
-        self.ids.append(column["id"].to_numpy())
-        self.components.append(column["component"].to_numpy())
-        self.owns.append(column["own"].to_numpy())
-        self.sketches += [np.frombuffer(x.as_buffer(), np.uint8) for x in column["sketch"]]
-        ends = np.cumsum(column["shingles"].value_lengths().to_numpy())
-        values = column["shingles"].flatten().to_numpy()
-        self.sets += [np.sort(x) for x in np.split(values, ends[:-1])]
+        self.ids.append(batch.column("id").to_numpy())
+        self.components.append(batch.column("component").to_numpy())
+        self.owns.append(batch.column("own").to_numpy())
+        self.sizes.append(batch.column("n").to_numpy())
+        self.sketches += [np.frombuffer(x.as_buffer(), np.uint8) for x in batch.column("sketch")]
+        bodies = [x.as_buffer() for x in batch.column("body")]
+        self.packed += zip(batch.column("bytes").to_pylist(), bodies)
 
     def links(self, band: int, low: int, across: bool, percent: int) -> list[tuple[int, int]]:
         """Links between documents that are not in one component yet."""
         ids, own = np.concatenate(self.ids), np.concatenate(self.owns)
-        component = np.concatenate(self.components)
-        sizes, packed = np.array([len(s) for s in self.sets]), np.stack(self.sketches)
+        component, sizes = np.concatenate(self.components), np.concatenate(self.sizes)
+        packed = np.stack(self.sketches)
         rows = np.ascontiguousarray(packed[:, : 2 * COORDINATES]).view(np.uint16)
         keys = np.ascontiguousarray(packed[:, 2 * COORDINATES :]).view(np.uint32)
         found = []
@@ -161,18 +213,18 @@ class _Block:
             for other in may[(rows[may] == rows[at]).mean(axis=1) >= percent / 100 - SLACK]:
                 if component[other] == component[at]:
                     continue
-                both = len(np.intersect1d(self.sets[at], self.sets[other], assume_unique=True))
-                if 100 * both >= percent * (sizes[at] + sizes[other] - both):
+                mine, theirs = [self.unpack(int(ids[i]), *self.packed[i]) for i in (at, other)]
+                if alike(mine, theirs, percent):
                     found.append((int(min(ids[at], ids[other])), int(max(ids[at], ids[other]))))
                     component[component == component[other]] = component[at]
         return found
 
 
-def _linker(percent: int):
+def _linker(width: int, percent: int):
     """Links of the blocks of a partition sorted by block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, block = None, None
+        held, block, unpack = None, None, Unpacker(width)
 
         def done() -> pa.RecordBatch:
             band, _, low, high = held
@@ -188,7 +240,7 @@ def _linker(percent: int):
                 if now != held:
                     if held is not None:
                         yield done()
-                    held, block = now, _Block()
+                    held, block = now, _Block(unpack)
                 block.add(batch.slice(start, end - start))
         if held is not None:
             yield done()
@@ -248,6 +300,8 @@ def near_duplicates(
        each other, in blocks of bounded size: by sketches first, pairs that can be similar enough by
        their sets.
 
+    What is verified moves as compressed texts, whose sets are built where a pair is looked at.
+
     So no bucket is ever gathered or expanded into all pairs, and none is cut short: pairs
     are left out only if they were verified before or their documents are in one component already.
     Verification intersects full shingle sets.
@@ -285,24 +339,32 @@ def near_duplicates(
     )
     members = scratch.write(banded.join(shared, ["band", "bucket"]), "members")
 
-    wanted = members.select("id").distinct()
-    sets = scratch.write(
+    # Written, so that Spark knows its size: where it is small, no text is shuffled to be picked out.
+    wanted = scratch.write(members.select("id").distinct(), "wanted")
+    bodies = scratch.write(
         rows.select("id", "body")
         .join(wanted, "id", "left_semi")
-        .dropDuplicates(["id", "body"])
-        .mapInArrow(_setter(width), "id long, shingles array<long>, sketch binary")
-        .dropDuplicates(["id"]),
-        "sets",
+        .groupBy("id")
+        .agg(F.min("body").alias("body"))
+        .mapInArrow(_packer(width), "id long, n long, bytes long, body binary, sketch binary"),
+        "bodies",
     )
 
     def verified(pairs: DataFrame, name: str) -> DataFrame:
         """Pairs u < v whose sets are similar enough."""
-        u = sets.select(F.col("id").alias("u"), F.col("shingles").alias("su"))
-        v = sets.select(F.col("id").alias("v"), F.col("shingles").alias("sv"))
-        both = F.size(F.array_intersect("su", "sv"))
-        either = F.size("su") + F.size("sv") - both
-        found = pairs.select("u", "v").join(u, "u").join(v, "v").where(100 * both >= percent * either)
-        return scratch.write(found.select("u", "v"), name)
+        sides = [
+            bodies.select(F.col("id").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("n", "bytes", "body")])
+            for x in "uv"
+        ]
+        near = 100 * F.least("n_u", "n_v") >= percent * F.greatest("n_u", "n_v")
+        both = (
+            pairs.select("u", "v")
+            .join(sides[0], "u")
+            .join(sides[1], "v")
+            .where(near)
+            .select("u", "v", "bytes_u", "bytes_v", "body_u", "body_v")
+        )
+        return scratch.write(both.mapInArrow(_confirmer(width, percent), "u long, v long"), name)
 
     def pair_of(a: str, b: str) -> list[Column]:
         return [F.least(a, b).alias("u"), F.greatest(a, b).alias("v")]
@@ -381,13 +443,13 @@ def near_duplicates(
             "id",
             "component",
         )
-        .join(sets, "id")
+        .join(bodies, "id")
     )
     block = ["band", "bucket", "low", "high"]
     last = (
         blocks.repartition(*block)
         .sortWithinPartitions(*block)
-        .mapInArrow(_linker(percent), "u long, v long")
+        .mapInArrow(_linker(width, percent), "u long, v long")
     )
     waves.append(scratch.write(last.distinct(), "links-0"))
     found = components(scratch, reduce(DataFrame.union, waves), "components-0")
@@ -407,7 +469,7 @@ def near_duplicates(
     rest_of = labels.where("same IS NOT NULL").join(classes, "same", "left")
     linked = rest_of.select("id", "print", "n", F.coalesce("component_id", "id").alias("component_id"))
     turns = range(2 + CENTRES)
-    scratch.drop("nodes", "members", "sets", *[f"{t}-{n}" for t in ("tested", "links", "labelled") for n in turns])
+    scratch.drop("nodes", "members", "wanted", "bodies", *[f"{t}-{n}" for t in ("tested", "links", "labelled") for n in turns])
     return linked.union(lone).select(
         "id",
         "print",

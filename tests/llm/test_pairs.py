@@ -89,12 +89,14 @@ def test_block_links_are_those_of_all_pairs():
             pa.array(range(40), pa.int64()),
             pa.array(range(40), pa.int64()),
             pa.array([0] * 40, pa.int64()),
+            pa.array([len(s) for s in sets], pa.int64()),
             pa.array(minhash.brief(sets), pa.binary()),
-            pa.array([s.view(np.int64).tolist() for s in sets], pa.list_(pa.int64())),
+            pa.array([len(t) for t in texts], pa.int64()),
+            pa.array([pa.Codec("zstd").compress(t.encode(), asbytes=True) for t in texts], pa.binary()),
         ],
-        names=["id", "component", "own", "sketch", "shingles"],
+        names=["id", "component", "own", "n", "sketch", "bytes", "body"],
     )
-    block = minhash._Block()
+    block = minhash._Block(minhash.Unpacker(3))
     for at in range(0, 40, 7):
         block.add(batch.slice(at, 7))
     links = block.links(0, 0, False, 85)
