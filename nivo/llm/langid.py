@@ -20,10 +20,12 @@ ROW_SYMBOLS = 4_000
 #: Labels that may be learned; more than these are refused.
 MOST_LABELS = 200
 #: Codes of a language: 0 is everything but letters, 1 a letter it lacks, then its letters by falling frequency but
-#: for END, the end of a block. Moves of codes below SYMBOLS are a table, those of its rarer letters a sorted list.
+#: for END, the end of a text. Moves of codes below SYMBOLS are a table, those of its rarer letters a sorted list.
 SYMBOLS, END = 64, 63
-#: A text is parsed in blocks of so many symbols, side by side; no phrase goes over a block's end.
-BLOCK = 256
+#: A text is parsed in blocks of so many symbols, so many of them side by side; phrases go on over a block's end.
+BLOCK, SLAB = 256, 1 << 14
+#: Times that blocks are begun again side by side; those not settled then are parsed one after the other.
+PASSES = 8
 UNKNOWN = "und"
 SEED = 41
 
@@ -70,7 +72,7 @@ def suffix_automaton(symbols: list[int]) -> list[dict[int, int]]:
 
 
 def own_codes(symbols: np.ndarray, n: int) -> np.ndarray:
-    """A language's code of each of the sample's ``n`` symbols, the last of which ends a block."""
+    """A language's code of each of the sample's ``n`` symbols, the last of which ends a text."""
     counts = np.bincount(symbols, minlength=n)
     held = np.flatnonzero(counts[2 : n - 1]) + 2
     held = held[np.argsort(-counts[held], kind="stable")]
@@ -108,6 +110,60 @@ class Parser:
                 move[rare] = np.where(self.keys[spot] == key, self.targets[spot], begin)
         return move
 
+    def blocks(self, codes: np.ndarray, first: np.ndarray, carry: int) -> tuple[np.ndarray, np.ndarray]:
+        """Phrases that end in each block (a column of codes) and the state after it, as in a parse of whole texts.
+
+        ``first`` marks the blocks that begin a text; the text that the first block may go on with is in
+        state ``carry``. All blocks are parsed from the first state; then each one is begun again in the state that
+        the block before it ends in, until it comes to a state it had at that place: from there on all is as it was.
+        """
+        steps, rows = codes.shape
+        states, ended = np.empty((steps, rows), np.uint32), np.empty((steps, rows), np.uint8)
+        mask = np.uint32((1 << 30) - 1)
+        state = np.zeros(rows, np.int64)
+        for at in range(steps):
+            move = self.moves(state, codes[at])
+            ended[at] = move >> 30
+            states[at] = state[:] = move & mask
+        entry = np.zeros(rows, np.int64)
+
+        def before() -> np.ndarray:
+            return np.where(first, 0, np.r_[carry, states[-1, :-1].astype(np.int64)])
+
+        for _ in range(PASSES):
+            found = before()
+            again = np.flatnonzero(found != entry)
+            state = entry[again] = found[again]
+            for at in range(steps):
+                if not len(again):
+                    break
+                move = self.moves(state, codes[at, again])
+                ended[at, again] = move >> 30
+                state = (move & mask).astype(np.int64)
+                new = states[at, again] != state
+                states[at, again] = state
+                again, state = again[new], state[new]
+        if (before() != entry).any():
+            self._settle(codes, first, carry, entry, states, ended)
+        return ended.sum(axis=0, dtype=np.int64), states[-1]
+
+    def _settle(self, codes, first, carry, entry, states, ended) -> None:
+        """Blocks in order, each from the state that the one before ends in; for texts of one long repetition."""
+        for row in range(codes.shape[1]):
+            state = 0 if first[row] else int(states[-1, row - 1]) if row else carry
+            if state == entry[row]:
+                continue
+            for at, code in enumerate(codes[:, row].tolist()):
+                if code < SYMBOLS:
+                    move = int(self.table[state + code])
+                else:
+                    move = int(self.moves(np.array([state]), np.array([code]))[0])
+                ended[at, row] = move >> 30
+                state = move & ((1 << 30) - 1)
+                if states[at, row] == state:
+                    break
+                states[at, row] = state
+
 
 def parser(symbols: np.ndarray) -> Parser:
     moves = suffix_automaton(symbols.tolist())
@@ -194,7 +250,7 @@ class Model:
         self.sample = sample
         self.languages = sorted(sample.texts)
         codes = [np.frombuffer(sample.texts[lang], sample.kind) for lang in self.languages]
-        #: The sample's symbols, and one that ends a block.
+        #: The sample's symbols, and one that ends a text.
         self.end = len(sample.alphabet) + 2
         self.own = [own_codes(symbols, self.end + 1) for symbols in codes]
         self.parsers = [parser(own[symbols]) for own, symbols in zip(self.own, codes)]
@@ -208,23 +264,23 @@ class Model:
         found = np.zeros((len(texts), len(self.languages)))
         if not rows:
             return found
-        grid = np.full((rows, BLOCK + 1), self.end, np.min_scalar_type(self.end))
-        first = np.cumsum(blocks) - blocks
-        for text, row, n, size in zip(texts, first, blocks, lengths):
-            if size:
-                body = np.full(n * BLOCK, self.end, grid.dtype)
-                body[:size] = text
-                grid[row : row + n, :BLOCK] = body.reshape(n, BLOCK)
-        grid = np.ascontiguousarray(grid.T)
+        grid = np.full((rows, BLOCK), self.end, np.min_scalar_type(self.end))
+        begin = np.cumsum(blocks) - blocks
+        for text, row, size in zip(texts, begin, lengths):
+            grid.reshape(-1)[row * BLOCK : row * BLOCK + size] = text
         owner = np.repeat(np.arange(len(texts)), blocks)
-        mask = np.uint32((1 << 30) - 1)
-        for at, (own, parse) in enumerate(zip(self.own, self.parsers)):
-            state, count = np.zeros(rows, np.int64), np.zeros(rows, np.int64)
-            for symbols in grid:
-                move = parse.moves(state, own[symbols])
-                count += move >> 30
-                state[:] = move & mask
-            found[:, at] = np.bincount(owner, weights=count, minlength=len(texts))
+        first = np.r_[True, owner[1:] != owner[:-1]]
+        last = np.r_[first[1:], True]
+        carry = [0] * len(self.languages)
+        for low in range(0, rows, SLAB):
+            part = slice(low, low + SLAB)
+            symbols = np.ascontiguousarray(grid[part].T)
+            for at, (own, parse) in enumerate(zip(self.own, self.parsers)):
+                count, state = parse.blocks(own[symbols], first[part], carry[at])
+                carry[at] = int(state[-1])
+                # A text that fills its last block ends a phrase with it.
+                count += last[part] & (state != 0)
+                found[:, at] += np.bincount(owner[part], weights=count, minlength=len(texts))
         return found
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:

@@ -38,6 +38,25 @@ def test_parse_counts_longest_matches(monkeypatch):
             assert count == brute_phrases(symbols.tobytes(), model.sample.texts[name])
 
 
+@pytest.mark.parametrize(("slab", "passes"), [(1 << 14, 8), (3, 1), (5, 0)])
+def test_phrases_go_on_over_the_ends_of_blocks(monkeypatch, slab, passes):
+    monkeypatch.setattr(langid, "BLOCK", 16)
+    monkeypatch.setattr(langid, "SLAB", slab)
+    monkeypatch.setattr(langid, "PASSES", passes)
+    rng = random.Random(2)
+    letters = "abc " + "".join(chr(0x4E00 + i) for i in range(90))
+    rows = [("x", "aaa bab " * 20 + "".join(rng.choice("abc ") for _ in range(400))), ("y", "".join(rng.choice(letters) for _ in range(900)))]
+    model = langid.Model(langid.sample_of(rows))
+    texts = ["a" * 1_000, "b" * 16, "ab" * 160, "".join(rng.choice("abcde ") for _ in range(700)), rows[0][1] * 2]
+    texts += ["".join(rng.choice(letters + "\u05d0") for _ in range(n)) for n in (15, 16, 17, 32, 500)]
+    codes = [model.sample.codes(langid.letters(t)) for t in texts]
+    as_text = lambda symbols: "".join(map(chr, symbols.tolist()))
+    for row, symbols in zip(model.phrases(codes), codes):
+        for count, name in zip(row, model.languages):
+            training = as_text(np.frombuffer(model.sample.texts[name], model.sample.kind))
+            assert count == brute_phrases(as_text(symbols), training)
+
+
 def test_blocks_do_not_change_the_winner(docs_of):
     rows = [("en", "the cat sat on the mat and the dog ran " * 30), ("de", "der hund und die katze sind nicht hier " * 30)]
     model = langid.Model(langid.sample_of(rows))
