@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from nivo.llm.shared import Scratch, lower_ascii, packed, words
@@ -12,15 +12,19 @@ from nivo.llm.shared import Scratch, lower_ascii, packed, words
 #: What separates words: ASCII that is neither a digit nor a letter.
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WINDOW = 10
-#: Rows of a table that is broadcast; larger ones are taken in blocks of this size, a pass each.
-BLOCK_ROWS = 100_000
+#: Rows and bytes of a table that is broadcast; larger ones are taken in blocks of this size, a pass each.
+BLOCK_ROWS, BLOCK_BYTES = 100_000, 64 << 20
 
 
-def _blocks(table: DataFrame, column: str) -> Iterator[DataFrame]:
-    """The rows of a written table in broadcast blocks of a checked size."""
-    parts = -(-table.count() // BLOCK_ROWS)
+def _blocks(table: DataFrame, size: Column) -> Iterator[DataFrame]:
+    """The rows of a written table in broadcast blocks of a checked size; ``size``: about the bytes of a row.
+
+    Rows are dealt by a hash of all their columns, so that no word or window fills a block by itself.
+    """
+    rows, bytes_ = table.agg(F.count(F.lit(1)), F.coalesce(F.sum(size), F.lit(0))).first()
+    parts = max(-(-rows // BLOCK_ROWS), -(-bytes_ // BLOCK_BYTES))
     for part in range(parts):
-        block = table if parts == 1 else table.where(F.pmod(F.xxhash64(column), F.lit(parts)) == part)
+        block = table if parts == 1 else table.where(F.pmod(F.xxhash64(*table.columns), F.lit(parts)) == part)
         yield F.broadcast(block)
 
 
@@ -32,7 +36,7 @@ def _union(frames: list[DataFrame]) -> DataFrame:
 
 
 def windows(benchmark: DataFrame, size: int, text: str, item: str) -> DataFrame:
-    """``window`` (its words) and ``items`` (ids of the items that have it), each window once."""
+    """``item``, ``window`` (its words) and ``number`` (a digest of these), a row per window of an item."""
     tokens = words(lower_ascii(F.col(text)), SEPARATORS)
     long_enough = F.size("tokens") >= size
     slices = F.transform(
@@ -42,8 +46,8 @@ def windows(benchmark: DataFrame, size: int, text: str, item: str) -> DataFrame:
         benchmark.select(F.col(item).cast("string").alias("item"), tokens.alias("tokens"))
         .where(F.size("tokens") > 0)
         .select("item", F.explode(F.when(long_enough, slices).otherwise(F.array("tokens"))).alias("window"))
-        .groupBy("window")
-        .agg(F.collect_set("item").alias("items"))
+        .select("item", "window", F.md5(F.array_join("window", " ")).alias("number"))
+        .distinct()
     )
 
 
@@ -63,7 +67,8 @@ def decontaminate(
     their frequency in all documents, the rarest alone is a necessary prefix. Documents' words
     are joined with these prefix words; a match fixes where the window would begin, and it must
     lie inside the document (length and position) and agree word for word. A word of the document
-    inside any occurrence is hit. Windows are broadcast in blocks of a checked size.
+    inside any occurrence is hit. Windows are broadcast in blocks of a checked number of rows and
+    bytes; the items that have a window are joined to what was found.
 
     NULL texts have no words; NULL items and items without words have no windows. NULL and
     repeated keys are no trouble: a row's result follows from its text. Items with NULL ids
@@ -71,24 +76,23 @@ def decontaminate(
     rows. Input columns with the names of the results are replaced.
     """
     scratch = Scratch(docs.sparkSession, "decontaminate")
-    found_windows = scratch.write(windows(benchmark, size, item_text, item), "windows")
+    item_windows = scratch.write(windows(benchmark, size, item_text, item), "windows")
+    found_windows = item_windows.select("number", "window").distinct()
     own = docs.select(F.col(f"`{text}`").alias("body")).where("body IS NOT NULL")
     tokens = words(lower_ascii(F.col("body")), SEPARATORS)
-    tokens_of = own.select(tokens.alias("tokens"), F.xxhash64("body").alias("print"),
-                           F.octet_length("body").alias("bytes"))
+    tokens_of = own.select(tokens.alias("tokens"), F.md5("body").alias("print"))
 
     vocabulary = scratch.write(found_windows.select(F.explode("window").alias("word")).distinct(), "words")
     corpus = tokens_of.select(F.explode("tokens").alias("word"))
     counted = [
         corpus.join(block, "word").groupBy("word").agg(F.count(F.lit(1)).alias("n"))
-        for block in _blocks(vocabulary, "word")
+        for block in _blocks(vocabulary, F.octet_length("word") + 32)
     ]
     body = F.col(f"`{text}`")
     base = docs.select(
         packed(docs, "n_words", "n_hit", "hit_items", "contaminated").alias("row"),
         F.size(words(lower_ascii(body), SEPARATORS)).cast("long").alias("n_words"),
-        F.xxhash64(body).alias("own_print"),
-        F.octet_length(body).alias("own_bytes"),
+        F.md5(body).alias("own_print"),
     )
     if not counted:
         return base.select(
@@ -99,32 +103,32 @@ def decontaminate(
             F.lit(False).alias("contaminated"),
         )
     frequency = scratch.write(_union(counted), "frequency")
-    placed = found_windows.select("window", F.posexplode("window").alias("place", "word"))
+    placed = found_windows.select("number", "window", F.posexplode("window").alias("place", "word"))
     rarest = (
         placed.join(frequency, "word")
-        .groupBy("window")
+        .groupBy("number", "window")
         .agg(
             F.min(F.struct("n", "place", "word")).alias("prefix"),
             F.count(F.lit(1)).alias("known"),
         )
         .where(F.col("known") == F.size("window"))  # A word that no document has rules the window out.
-        .select("window", F.col("prefix.word").alias("word"), F.col("prefix.place").alias("place"))
+        .select("number", "window", F.col("prefix.word").alias("word"), F.col("prefix.place").alias("place"))
     )
-    prefixes = scratch.write(rarest.join(found_windows, "window"), "prefixes")
-    seen = tokens_of.select("print", "bytes", "tokens", F.posexplode("tokens").alias("at", "word"))
+    prefixes = scratch.write(rarest, "prefixes")
+    row_bytes = F.octet_length(F.array_join("window", " ")) + 24 * F.size("window") + 128
+    seen = tokens_of.select("print", "tokens", F.posexplode("tokens").alias("at", "word"))
     begin = F.col("at") - F.col("place")
     matches = [
         seen.join(block, "word")
         .where(begin >= 0)
         .where(begin + F.size("window") <= F.size("tokens"))
         .where(F.slice("tokens", F.greatest(begin, F.lit(0)) + 1, F.size("window")) == F.col("window"))
-        .select("print", "bytes", begin.alias("begin"), F.size("window").alias("length"), "items")
-        for block in _blocks(prefixes, "word")
+        .select("print", begin.alias("begin"), F.size("window").alias("length"), "number")
+        for block in _blocks(prefixes, row_bytes)
     ]
     if not matches:
-        matches = [seen.limit(0).select("print", "bytes", F.col("at").alias("begin"),
-                                        F.col("at").alias("length"),
-                                        F.array().cast("array<string>").alias("items"))]
+        at = F.col("at")
+        matches = [seen.limit(0).select("print", at.alias("begin"), at.alias("length"), F.col("word").alias("number"))]
     covered = F.aggregate(
         F.array_sort("spans"),
         F.struct(F.lit(0).alias("end"), F.lit(0).alias("hit")),
@@ -140,25 +144,22 @@ def decontaminate(
         ),
     )["hit"]
     # Equal texts have equal matches, so sets keep one of each: a text's length bounds its group.
-    hits = (
+    matched = scratch.write(
         _union(matches)
-        .groupBy("print", "bytes")
-        .agg(
-            F.collect_set(F.struct("begin", "length")).alias("spans"),
-            F.collect_set("items").alias("lists"),
-        )
-        .select(
-            "print",
-            "bytes",
-            covered.cast("long").alias("n_hit"),
-            F.array_sort(F.array_distinct(F.flatten("lists"))).alias("hit_items"),
-        )
+        .groupBy("print")
+        .agg(F.collect_set(F.struct("begin", "length")).alias("spans"), F.collect_set("number").alias("numbers"))
+        .select("print", covered.cast("long").alias("n_hit"), "numbers"),
+        "matched",
     )
-    hits = scratch.write(hits, "hits")
-    scratch.drop("windows", "words", "frequency", "prefixes")
-    joined = base.join(
-        hits, (F.col("own_print") == F.col("print")) & (F.col("own_bytes") == F.col("bytes")), "left"
+    listed = (
+        matched.select("print", F.explode("numbers").alias("number"))
+        .join(item_windows.select("number", "item"), "number")
+        .groupBy("print")
+        .agg(F.array_sort(F.collect_set("item")).alias("hit_items"))
     )
+    hits = scratch.write(matched.select("print", "n_hit").join(listed, "print"), "hits")
+    scratch.drop("windows", "words", "frequency", "prefixes", "matched")
+    joined = base.join(hits, F.col("own_print") == F.col("print"), "left")
     return joined.select(
         "row.*",
         "n_words",

@@ -257,8 +257,9 @@ def test_word_hashes_split_at_ascii_blanks_only():
 # --- Benchmark windows ----------------------------------------------------------------------
 
 
-def test_decontamination_by_brute_force(spark, docs_of, clashing, monkeypatch):
-    monkeypatch.setattr(decontaminate, "BLOCK_ROWS", 40)  # Several blocks.
+@pytest.mark.parametrize(("limit", "most"), [("BLOCK_ROWS", 40), ("BLOCK_BYTES", 20_000)])  # Several blocks.
+def test_decontamination_by_brute_force(spark, docs_of, clashing, monkeypatch, limit, most):
+    monkeypatch.setattr(decontaminate, limit, most)
     rng = random.Random(11)
     items = [(i, prose(rng, n)) for i, n in enumerate([25, 10, 9, 3, 1, 40])] + [(6, None), (7, " .")]
     items += [(8, items[0][1]), (10, items[1][1].upper())]
@@ -289,6 +290,16 @@ def test_decontamination_by_brute_force(spark, docs_of, clashing, monkeypatch):
     assert sorted(got) == sorted(expected)
 
 
+def test_windows_that_share_their_rarest_word_are_dealt_over_blocks(spark, docs_of, monkeypatch):
+    monkeypatch.setattr(decontaminate, "BLOCK_ROWS", 5)
+    filler = " ".join(f"w{i}" for i in range(40))
+    items = [(i, f"rare w{i} w{i + 1} w{i + 2}") for i in range(30)]
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    rows = [(i, f"{filler} {text} {filler}") for i, text in items] + [(99, f"{filler} rare")]
+    got = {r.doc_id: (list(r.hit_items), r.n_hit) for r in decontaminate.decontaminate(docs_of(rows), benchmark).collect()}
+    assert got == {**{i: ([str(i)], 4) for i in range(30)}, 99: ([], 0)}
+
+
 def test_decontamination_of_nothing(spark, docs_of):
     none = spark.createDataFrame([], "item_id long, text string")
     out = decontaminate.decontaminate(docs_of([(1, "a b")]), none).collect()
