@@ -111,6 +111,8 @@ OPENINGS = ("", "this work is", "this text is", "the source code is", "it is")
 
 #: Bounds of the sample of paragraphs without a licence, and of the n-grams in the model.
 NEGATIVES = 4_000
+#: Words of each of them that are learned from; a scan takes paragraphs whole.
+NEGATIVE_WORDS = 200
 MOST_FEATURES = 5_000
 #: A word in more than this share of those paragraphs is no feature by itself.
 COMMON = 0.01
@@ -204,7 +206,7 @@ def train(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Model:
         .where(~F.exists(pairs(F.col("tokens")), lambda pair: pair.isin(known)))
         .orderBy("order", "id", "paragraph")
         .limit(NEGATIVES)
-        .select(F.lit(NONE).alias("label"), F.slice("tokens", 1, 200).alias("tokens"))
+        .select(F.lit(NONE).alias("label"), F.slice("tokens", 1, NEGATIVE_WORDS).alias("tokens"))
     )
     scratch = Scratch(spark, "licences")
     sample = scratch.write(
@@ -342,3 +344,28 @@ def scan(docs: DataFrame, model: Model, text: str = "text", key: str = "doc_id")
         "probability",
         "agreement",
     )
+
+
+def per_document(docs: DataFrame, model: Model, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """A row per row of ``docs``: ``key``, ``families`` (in order, comma-joined), ``n_notices`` and ``n_unknown``.
+
+    A row is known by key and text, so NULL keys keep their notices, rows that share a key have their own, and
+    repeated rows have equal results. Rows without notices, blank and NULL texts among them, have an empty list and 0.
+    """
+    body = F.col(f"`{text}`")
+    rows = docs.select(F.struct(F.col(f"`{key}`").alias("key"), F.md5(body).alias("print")).alias("row"), body.alias("text"))
+    # Rows of one key and text have the same notices.
+    found = scan(rows, model, key="row").select("row", "paragraph", "family").distinct()
+    counted = found.groupBy(F.col("row.key").alias("k"), F.col("row.print").alias("p")).agg(
+        F.array_join(F.array_sort(F.collect_set("family")), ",").alias("families"),
+        F.count_if(F.col("family") != UNKNOWN).alias("n_notices"),
+        F.count_if(F.col("family") == UNKNOWN).alias("n_unknown"),
+    )
+    same = F.col("row.key").eqNullSafe(F.col("k")) & (F.col("row.print") == F.col("p"))
+    none = F.lit(0).cast("long")
+    return rows.select("row").join(counted, same, "left").select(
+        F.col("row.key").alias(key),
+        F.coalesce("families", F.lit("")).alias("families"),
+        F.coalesce("n_notices", none).alias("n_notices"),
+        F.coalesce("n_unknown", none).alias("n_unknown"),
+    )

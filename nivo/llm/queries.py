@@ -53,23 +53,7 @@ def op1_near_dedup(spark, directory):
 def op2_licence_scan(spark, directory):
     """Licence families named in every document, by a classifier of paragraphs."""
     docs = _table(spark, directory, "documents").select("doc_id", "text")
-    found = licences.scan(docs, licences.train(docs))
-    per_doc = found.groupBy("doc_id").agg(
-        F.array_join(F.array_sort(F.collect_set("family")), ",").alias("families"),
-        F.count_if(F.col("family") != licences.UNKNOWN).alias("n_notices"),
-        F.count_if(F.col("family") == licences.UNKNOWN).alias("n_unknown"),
-    )
-    none = F.lit(0).cast("long")
-    return (
-        docs.select("doc_id")
-        .join(per_doc, "doc_id", "left")
-        .select(
-            "doc_id",
-            F.coalesce("families", F.lit("")).alias("families"),
-            F.coalesce("n_notices", none).alias("n_notices"),
-            F.coalesce("n_unknown", none).alias("n_unknown"),
-        )
-    )
+    return licences.per_document(docs, licences.train(docs))
 
 
 @_register

@@ -185,6 +185,15 @@ def test_licences_of_notices_not_in_the_templates(docs_of, model, clashing):
     assert licences.scan(docs_of([]), model).count() == 0
 
 
+def test_notices_stay_with_their_rows(docs_of, clashing, model):
+    mit, rows = "Licensed under the MIT License.", []
+    rows = [(None, mit), (None, "no notice here"), (1, mit + "\n" + mit), (1, "nothing"), (2, mit), (2, mit), (3, None), (4, "")]
+    got = [tuple(r) for r in licences.per_document(clashing(docs_of(rows)), model).collect()]
+    expected = [(None, "mit", 1, 0), (None, "", 0, 0), (1, "mit", 2, 0), (1, "", 0, 0), *[(2, "mit", 1, 0)] * 2]
+    assert sorted(got, key=repr) == sorted([*expected, (3, "", 0, 0), (4, "", 0, 0)], key=repr)
+    assert licences.per_document(docs_of([]), model).count() == 0
+
+
 def test_licence_lines_of_the_documents(spark, model):
     docs = spark.read.parquet(f"{DIRECTORY}/documents.parquet")
     found = licences.scan(docs, model).where(F.col("family") != licences.UNKNOWN).select("doc_id", "paragraph", "family")
