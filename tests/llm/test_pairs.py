@@ -341,3 +341,60 @@ def test_near_passages_by_brute_force(docs_of):
     assert set(found) <= set(range(100, 260)) and all(first == doc // 2 * 2 for doc, first in found.items())
     caught = sum(u in found and v in found for u, v in planted)
     assert len(planted) > 60 and caught >= 0.9 * len(planted)
+
+
+def near_a_line(rng):
+    """Documents around a frequent line, of which pairs share more: like no head of their groups, but like each other."""
+    line = prose(rng, 40)
+    rows = [(i, f"{prose(rng, 60)} {line} {prose(rng, 60)}") for i in (*range(12), *range(1000, 1012))]
+    for pair in range(12):
+        passage = f"{line} {prose(rng, 12)}" if pair % 2 else f"{prose(rng, 12)} {line}"
+        rows += [(100 + 2 * pair + k, f"{prose(rng, 60)} {passage} {prose(rng, 60)}") for k in (0, 1)]
+    return rows
+
+
+def test_passages_write_what_texts_share_only(docs_of, monkeypatch):
+    """Windows of copies of one text go no further, and runs around a shingle of few documents are compared without a row per shingle."""
+    written = {}
+    write = passages.Scratch.write
+
+    def counted(self, df, name):
+        written[name] = write(self, df, name)
+        return written[name]
+
+    monkeypatch.setattr(passages.Scratch, "write", counted)
+    monkeypatch.setattr(passages.Scratch, "drop", lambda self, *names: None)
+    rng = random.Random(31)
+    copies = [(5000 + 10 * i + k, text) for i, text in enumerate(prose(rng, 300) for _ in range(6)) for k in range(5)]
+    found = passages.repeated_passages(docs_of(near_a_line(rng) + copies)).collect()
+    assert len([r for r in found if r.doc_id >= 5000]) == 30
+    assert {r.doc_id for r in found if r.doc_id < 5000} == set(range(100, 124))
+    assert written["signed"].where("id >= 5000").count() == 0
+    cores = written["cores"]
+    assert cores.count() == cores.select("id", "centre").distinct().count() > 0
+    assert "rare" not in written
+
+
+def test_crowded_shingles_give_the_same_passages(docs_of, monkeypatch):
+    rows = near_a_line(random.Random(32))
+    plain = sorted(map(tuple, passages.repeated_passages(docs_of(rows)).collect()))
+    monkeypatch.setattr(passages, "CROWD", 3)
+    monkeypatch.setattr(passages, "BLOCK", 5)
+    crowded = sorted(map(tuple, passages.repeated_passages(docs_of(rows)).collect()))
+    assert plain == crowded and {row[0] for row in plain} == set(range(100, 124))
+
+
+def test_alike_runs_by_brute_force():
+    rng = np.random.default_rng(33)
+    for _ in range(20):
+        tokens = [rng.permutation(60)[: rng.integers(1, 50)] for _ in range(40)]
+        ids, is_open = rng.integers(0, 25, 40), rng.random(40) < 0.4
+        a, b = passages.alike_runs(tokens, ids, is_open, 12)
+        sets = [set(t.tolist()) for t in tokens]
+        expected = {
+            (i, j)
+            for i in range(40)
+            for j in range(i + 1, 40)
+            if ids[i] != ids[j] and (is_open[i] or is_open[j]) and len(sets[i] & sets[j]) >= 12
+        }
+        assert set(zip(a.tolist(), b.tolist())) == expected
