@@ -398,3 +398,68 @@ def test_alike_runs_by_brute_force():
             if ids[i] != ids[j] and (is_open[i] or is_open[j]) and len(sets[i] & sets[j]) >= 12
         }
         assert set(zip(a.tolist(), b.tolist())) == expected
+
+
+def test_places_tell_which_runs_may_add():
+    """Against all stretches around the centre, where runs hold shingles twice as well."""
+    rng = np.random.default_rng(34)
+    least, percent, hits = 6, 80, 0
+    for _ in range(200):
+        start = rng.integers(0, least, 5)
+        base = rng.integers(0, 40, 2 * least - 1)
+        rows = [np.where(rng.random(len(base)) < 0.15, rng.integers(0, 40, len(base)), base) for _ in start]
+        rows = [row[s : len(row) - rng.integers(0, least)] for row, s in zip(rows, start)]
+        fresh = rng.random((5, 2 * least - 1)) < 0.2
+        places = passages.Places(rows, start, fresh, least, percent)
+        a, b = (x.ravel() for x in np.meshgrid(range(5), range(5)))
+        a, b = a[a != b], b[a != b]
+        hopeful = places.hopeful()
+        for x, y, may in zip(a, b, places.may_add(a, b)):
+            row, other = rows[x], set(rows[y])
+            wanted = False
+            for i in range(least - start[x]):
+                for j in range(max(i + least, least - start[x]), len(row) + 1):
+                    stretch = set(row[i:j])
+                    enough = 100 * len(stretch & other) >= percent * len(stretch)
+                    wanted |= enough and any(fresh[x, start[x] + k] and row[k] in other for k in range(i, j))
+            assert may or not wanted
+            assert hopeful[x] or not may
+            if len(set(row)) == len(row):
+                assert may == wanted
+            hits += wanted
+    assert hits > 100
+
+
+def test_copies_of_copies_are_not_verified_all_with_all(docs_of, monkeypatch):
+    """The least and the greatest document hold pieces of a text only, its edited copies are like each other; no shuffle file stays."""
+    written = {}
+    write = passages.Scratch.write
+
+    def counted(self, df, name):
+        written[name] = write(self, df, name)
+        return written[name]
+
+    monkeypatch.setattr(passages.Scratch, "write", counted)
+    monkeypatch.setattr(passages.Scratch, "drop", lambda self, *names: None)
+    rng = random.Random(35)
+    line = prose(rng, 40)
+    rows = [(i, f"{prose(rng, 60)} {line} {prose(rng, 60)}") for i in (*range(10), *range(1000, 1010))]
+    body = f"{prose(rng, 20)} {line} {prose(rng, 20)}"
+    rows += [(100 + i, f"{prose(rng, 60)} {edited(rng, body, 1)} {prose(rng, 60)}") for i in range(200)]
+    docs = docs_of(rows)
+    disk = docs.sparkSession._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    shuffled = lambda: {n for n in disk.getAllFiles().mkString(" ").split() if "/shuffle_" in n}
+    before = shuffled()
+    found = passages.repeated_passages(docs)
+    assert not shuffled() - before
+    assert {r.doc_id for r in found.collect()} == set(range(100, 300))
+    pairs = [df.select("u", "v") for name, df in written.items() if name.startswith("more-pairs")]
+    assert 0 < sum(df.count() for df in pairs) < 200 * 199 / 2 / 2
+
+
+def test_pairs_verified_in_slices_give_the_same_passages(docs_of, monkeypatch):
+    rows = near_a_line(random.Random(36))
+    plain = sorted(map(tuple, passages.repeated_passages(docs_of(rows)).collect()))
+    monkeypatch.setattr(passages, "PAIRS", 0.3)
+    sliced = sorted(map(tuple, passages.repeated_passages(docs_of(rows)).collect()))
+    assert plain == sliced and {row[0] for row in plain} == set(range(100, 124))
